@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import id_text, mix64, runs, shuffle_partitions
 
 MIN_LEN, GRAM = 50, 24
-BLOCK = 1 << 20  # windows worked on at once
+BLOCK = 1 << 18  # bytes worked on at once
 SUB_CONTEXTS = 60_000  # contexts of a suffix array, about
 HOT_SHARE = 4  # a key with more than a quarter of the mean bucket is dealt by windows
 BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -49,8 +49,7 @@ def gram_hashes(buf: np.ndarray, k: int) -> np.ndarray:
     n = len(buf)
     if n < k:
         return np.zeros(0, np.uint64)
-    power, have, out, length, base = buf.astype(np.uint64) + np.uint64(1), None, None, 1, BASE
-    rest, width = k, 0
+    power, have, width, length, base, rest = buf.astype(np.uint64) + np.uint64(1), None, 0, 1, BASE, k
     while True:  # binary parts of k, from the lowest bit
         if rest & 1:
             if have is None:
@@ -67,7 +66,7 @@ def gram_hashes(buf: np.ndarray, k: int) -> np.ndarray:
         base = np.uint64(int(base) ** 2 & (1 << 64) - 1)
         length *= 2
     out = have[: n - k + 1]
-    return mix64(out)
+    return (out ^ out >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -80,41 +79,75 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[:n], x[w - have : w - have + n]) if have < w else x[:n]
 
 
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def digests(buf: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit digests of buf[a:b] for arrays a and b: sums of bytes times powers of an odd base, shifted to one place."""
+    n = len(buf)
+    if len(_POWERS[0]) < n:
+        for i, base in enumerate((BASE, np.uint64(pow(int(BASE), -1, 1 << 64)))):
+            _POWERS[i] = np.r_[np.uint64(1), np.cumprod(np.full(n, base, np.uint64))]
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _POWERS[0][:n], out=total[1:])
+    return mix64((total[b] - total[a]) * _POWERS[1][a] + (b - a).astype(np.uint64) * np.uint64(0x94D049BB133111EB))
+
+
+def gather(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions begin[i], ..., begin[i] + size[i] - 1 for every i, in a row."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
 class Windows:
-    """The windows of a block: starts of runs of one key, for valid windows only."""
-
-    def __init__(self, parts: list[tuple[int, bytes, bytes]], min_len: int, gram: int, buckets: int):
-        """parts: (document's place, byte before, bytes)."""
-        self.parts = parts
-        self.data = b"".join(b for _, _, b in parts)
-        sizes = np.array([len(b) for _, _, b in parts], np.int64)
-        begins = np.cumsum(sizes) - sizes
-        buf = np.frombuffer(self.data, np.uint8)
-        least = sliding_min(gram_hashes(buf, gram), min_len - gram + 1)
-        wins = np.maximum(0, sizes - min_len + 1)
-        part = np.repeat(np.arange(len(parts)), wins)
-        at = np.arange(len(part)) + np.repeat(begins - (np.cumsum(wins) - wins), wins)
-        m = least[at] if len(at) else np.zeros(0, np.uint64)
-        key = (m % np.uint64(buckets)) << np.uint64(32) | (m // np.uint64(buckets)) & np.uint64(0xFFFFFFFF)
+    """The runs of neighbouring windows with one key in a block of texts.
+
+    at, count: first window and number of windows of a run; key: its key; part: the place of its text in the block.
+    """
+
+    def __init__(self, parts: list[tuple[int, int, bytes, bytes]], min_len: int, gram: int, buckets: int):
+        """parts: (row of the text, where in it the bytes begin, the byte before them, bytes)."""
+        self.min_len = min_len
+        self.rows, self.bases = np.array([p[0] for p in parts], np.int64), np.array([p[1] for p in parts], np.int64)
+        self.buf = np.frombuffer(b"".join(x for p in parts for x in p[2:]), np.uint8)
+        self.sizes = np.array([len(p[3]) for p in parts], np.int64)
+        self.begins = np.cumsum(self.sizes + 1) - self.sizes
+        least = sliding_min(gram_hashes(self.buf, gram), min_len - gram + 1)
+        wins = np.maximum(0, self.sizes - min_len + 1)
+        first = np.zeros(len(least), bool)
+        first[1:] = least[1:] != least[:-1]
+        has = wins > 0
+        first[self.begins[has]] = True
+        live = np.zeros(len(least) + 1, np.int8)
+        live[self.begins[has]] += 1
+        live[(self.begins + wins)[has]] -= 1
+        stop = first.copy()
+        ends = (self.begins + wins)[has]
+        stop[ends[ends < len(stop)]] = True
+        first &= np.cumsum(live[:-1]) > 0
+        at, stops = np.flatnonzero(first), np.r_[np.flatnonzero(stop), len(least)]
+        count = stops[np.searchsorted(stops, at, side="right")] - at if len(at) else at
         cap = min_len - gram + 1
-        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])]) if len(key) else np.zeros(0, np.int64)
-        count = np.diff(np.r_[first, len(key)])
         if len(count) and count.max() > cap:  # a k-gram that recurs: cut its run
             pieces = -(-count // cap)
             step = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            first, total = np.repeat(first, pieces) + step * cap, np.repeat(count, pieces)
+            at, total = np.repeat(at, pieces) + step * cap, np.repeat(count, pieces)
             count = np.minimum(cap, total - step * cap)
-        self.key, self.part, self.at, self.count, self.min_len = key[first], part[first], at[first], count, min_len
-        self.begins = begins
+        m = mix64(least[at])
+        self.key = (m % np.uint64(buckets)) << np.uint64(32) | m >> np.uint64(32)
+        self.at, self.count = at, count
+        self.part = np.searchsorted(self.begins, at, side="right") - 1
+
+    def contexts(self, at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(digest, begin, size) of the byte before and the bytes of ``count`` windows from ``at``."""
+        size = count + self.min_len
+        return digests(self.buf, at - 1, at - 1 + size), at - 1, size
 
-    def context(self, i: int) -> bytes:
-        """The byte before the run's first window, and the run's bytes."""
-        at, p = self.at[i], self.part[i]
-        before = self.data[at - 1 : at] if at > self.begins[p] else self.parts[p][1]
-        return before + self.data[at : at + self.count[i] + self.min_len - 1]
+    def single(self, runs_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(run, window) for every window of the runs."""
+        return np.repeat(runs_, self.count[runs_]), gather(self.at[runs_], self.count[runs_])
 
 
-def blocks(texts: Iterator[bytes], min_len: int) -> Iterator[list[tuple[int, bytes, bytes]]]:
+def blocks(texts: Iterator[bytes], min_len: int) -> Iterator[list[tuple[int, int, bytes, bytes]]]:
     """Whole texts together up to BLOCK bytes; a longer text in overlapping blocks, so that no window is lost."""
     held, total = [], 0
     for i, text in enumerate(texts):
@@ -122,14 +155,11 @@ def blocks(texts: Iterator[bytes], min_len: int) -> Iterator[list[tuple[int, byt
             yield held
             held, total = [], 0
         if len(text) <= BLOCK + min_len:
-            held.append((i, START, text))
+            held.append((i, 0, START, text))
             total += len(text)
             continue
-        if held:
-            yield held
-            held, total = [], 0
         for at in range(0, len(text) - min_len + 1, BLOCK):
-            yield [(i, text[at - 1 : at] if at else START, text[at : at + BLOCK + min_len - 1])]
+            yield [(i, at, text[at - 1 : at] if at else START, text[at : at + BLOCK + min_len - 1])]
     if held:
         yield held
 
@@ -171,17 +201,15 @@ class SuffixArray:
     A context is one byte to the left, then bytes; its suffixes are those of at least ``min_len`` bytes.
     """
 
-    def __init__(self, contexts: list[bytes], min_len: int):
+    def __init__(self, data: np.ndarray, size: np.ndarray, min_len: int):
         self.min_len = min_len
-        data = b"".join(contexts)
-        size = np.array([len(c) for c in contexts], np.int64)
         begin = np.cumsum(size) - size
         wins = size - min_len  # one byte to the left
-        self.owner = np.repeat(np.arange(len(contexts)), wins)
-        self.offset = np.arange(len(self.owner)) - np.repeat(np.cumsum(wins) - wins, wins)
+        self.owner = np.repeat(np.arange(len(size)), wins)
+        self.offset = gather(np.zeros(len(wins), np.int64), wins)
         start = begin[self.owner] + 1 + self.offset
         self.first_window = np.cumsum(wins) - wins
-        buf = np.frombuffer(data + bytes(8 + 2 * min_len), np.uint8)
+        buf = np.r_[data, np.zeros(8 + 2 * min_len, np.uint8)]
         words = np.zeros(len(buf) - 7, np.uint64)
         for j in range(8):
             words = words << np.uint64(8) | buf[j : j + len(words)]
@@ -291,7 +319,7 @@ class Passes:
                 keys, docs = held.setdefault(int(p), ([], []))
                 for w in self.windows(texts_of(batch.column(1).take(pa.array(own)) if len(own) < len(part) else batch.column(1))):
                     keys.append(w.key)
-                    docs.append(ids[own[np.array([x[0] for x in w.parts], np.int64)[w.part]]])
+                    docs.append(ids[own[w.rows[w.part]]])
         for part in held:
             yield self._key_blobs(part, *map(np.concatenate, held[part]))
 
@@ -345,93 +373,91 @@ class Passes:
                 to.append(np.frombuffer(raw, np.uint32).astype(np.uint64) | np.uint64(b << 32))
         plain, hot = np.sort(np.concatenate(plain)), np.sort(np.concatenate(hot))
         ids, whole = self._table(texts)
-        held: dict[bytes, list[int]] = {}
+        found = []
         for w in self.windows(whole):
-            is_hot = member(hot, w.key)
-            for i in np.flatnonzero(is_hot | member(plain, w.key)):
-                doc, ctx, key = int(ids[w.parts[w.part[i]][0]]), w.context(i), int(w.key[i])
-                for piece in [ctx[j : j + self.min_len + 1] for j in range(w.count[i])] if is_hot[i] else [ctx]:
-                    if piece in held:
-                        x = held[piece]
-                        x[0], x[1] = min(x[0], doc), max(x[1], doc)
-                    else:
-                        held[piece] = [doc, doc, key | HOT if is_hot[i] else key]
-        part = texts.column("part")[0].as_py() if texts.num_rows else 0
-        groups: dict[int, list[bytes]] = {}
-        for ctx, x in held.items():
-            groups.setdefault(xxhash.xxh64_intdigest(ctx[1:], 7) % self.buckets if x[2] & HOT else x[2] >> 32, []).append(ctx)
-        rows = []
-        for b, own in sorted(groups.items()):
-            least, most, key = zip(*(held[c] for c in own))
-            rows.append((self.label[b], part, squeeze(b"".join(own), np.array([len(c) for c in own], np.uint8), np.array(least, np.int64), np.array(most, np.int64), np.array(key, np.uint64))))
+            use = np.flatnonzero(member(plain, w.key))
+            at, count, key, part = w.at[use], w.count[use], w.key[use], w.part[use]
+            if len(hot):
+                run, win = w.single(np.flatnonzero(member(hot, w.key)))
+                at, count = np.r_[at, win], np.r_[count, np.ones(len(win), np.int64)]
+                key, part = np.r_[key, w.key[run] | np.uint64(HOT)], np.r_[part, w.part[run]]
+            digest, begin, size = w.contexts(at, count)
+            digest, first, least, most = _by_digest(digest, ids[w.rows[part]], ids[w.rows[part]])
+            found.append((digest, w.buf[gather(begin[first], size[first])], size[first], least, most, key[first]))
+        if not found:
+            return pa.Table.from_batches([_blobs([])])
+        digest, data, size, least, most, key = map(np.concatenate, zip(*found))
+        begin = np.cumsum(size) - size
+        digest, first, least, most = _by_digest(digest, least, most)
+        key, begin, size = key[first], begin[first], size[first]
+        is_hot = key & np.uint64(HOT) > 0
+        bucket = np.where(is_hot, mix64(digest) % np.uint64(self.buckets), (key & np.uint64(HOT - 1)) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        part, rows = texts.column("part")[0].as_py(), []
+        for f, n in zip(*runs(bucket[order])):
+            own = order[f : f + n]
+            rows.append((self.label[bucket[own[0]]], part, squeeze(data[gather(begin[own], size[own])], size[own].astype(np.uint8), least[own], most[own], key[own])))
         return pa.Table.from_batches([_blobs(rows)])
 
-    @staticmethod
-    def _unpack(blob: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-        data, sizes, least, most, key = unsqueeze(blob)
-        ends = np.cumsum(np.frombuffer(sizes, np.uint8), dtype=np.int64)
-        return [data[a:b] for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())], np.frombuffer(least, np.int64), np.frombuffer(most, np.int64), np.frombuffer(key, np.uint64)
-
-    def _arrays(self, blobs: list[tuple[int, bytes]]) -> Iterator[tuple[list[bytes], np.ndarray, list]]:
-        """Distinct contexts of a bucket with their smallest documents, a range of keys at a time, and where each was."""
-        total = sum(len(np.frombuffer(unsqueeze(b)[1], np.uint8)) for _, b in blobs)
-        sets = max(1, -(-total // SUB_CONTEXTS))
+    def _arrays(self, blobs: list[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, ...]]:
+        """Distinct contexts of a bucket, a range of keys at a time: bytes, sizes, smallest documents, digests; and every
+        part's share: part, which of the contexts, its largest document, key."""
+        cols: list[list[np.ndarray]] = [[] for _ in range(7)]
+        for part, blob in blobs:
+            data, size, least, most, key = (np.frombuffer(x, t) for x, t in zip(unsqueeze(blob), (np.uint8, np.uint8, np.int64, np.int64, np.uint64)))
+            size = size.astype(np.int64)
+            end, made = np.cumsum(size), []
+            for i in range(0, len(size), 4096):  # digests of a bounded stretch of bytes at once
+                stop = min(len(size), i + 4096)
+                base = end[i] - size[i]
+                made.append(digests(data[base : end[stop - 1]], end[i:stop] - size[i:stop] - base, end[i:stop] - base))
+            for to, x in zip(cols, (data, size, least, most, key, np.concatenate(made), np.full(len(size), part, np.int64))):
+                to.append(x)
+        data, size, least, most, key, digest, part = map(np.concatenate, cols)
+        begin, sets = np.cumsum(size) - size, max(1, -(-len(size) // SUB_CONTEXTS))
+        which = mix64(key & np.uint64(HOT - 1)) % np.uint64(sets)
         for s in range(sets):
-            place: dict[bytes, int] = {}
-            least: list[int] = []
-            where = []
-            for part, blob in blobs:
-                ctx, lo, hi, key = self._unpack(blob)
-                own = np.flatnonzero(mix64(key) % np.uint64(sets) == s)
-                at = np.empty(len(own), np.int64)
-                for j, i in enumerate(own):
-                    k = place.setdefault(ctx[i], len(place))
-                    at[j] = k
-                    if k == len(least):
-                        least.append(int(lo[i]))
-                    elif lo[i] < least[k]:
-                        least[k] = int(lo[i])
-                where.append((part, at, hi[own], key[own]))
-            if place:
-                yield list(place), np.array(least, np.int64), where
+            own = np.flatnonzero(which == s)
+            if not len(own):
+                continue
+            unique, first, at = np.unique(digest[own], return_index=True, return_inverse=True)
+            low = np.full(len(unique), NO_ID)
+            np.minimum.at(low, at, least[own])
+            one = own[first]
+            yield data[gather(begin[one], size[one])], size[one], low, unique, part[own], at, most[own], key[own]
 
     def marks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each part: contexts with windows that a document smaller than one of the part's has, and the smallest."""
         for bucket, blobs in by_bucket(batches):
-            out: dict[int, list] = {}
-            for ctx, least, where in self._arrays(blobs):
-                array = SuffixArray(ctx, self.min_len)
+            out = []
+            for data, size, least, digest, part, at, most, key in self._arrays(blobs):
+                array = SuffixArray(data, size, self.min_len)
                 best = array.least_by_window(least)
-                lows = np.minimum.reduceat(best, array.first_window)
-                sizes = np.diff(np.r_[array.first_window, len(best)])
-                digest = np.array([xxhash.xxh64_intdigest(c) for c in ctx], np.uint64)
-                for part, at, most, key in where:
-                    use = lows[at] < most
-                    k = at[use]
-                    if len(k):
-                        n = sizes[k]
-                        idx = np.repeat(array.first_window[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                        out.setdefault(part, []).append((digest[k], n.astype(np.uint8), best[idx], key[use]))
-            for part, own in out.items():
-                yield _blobs([(bucket, part, squeeze(*(np.concatenate(x) for x in zip(*own))))])
+                n = size - self.min_len
+                use = np.flatnonzero(np.minimum.reduceat(best, array.first_window)[at] < most)
+                k = at[use]
+                out.append((part[use], digest[k], n[k], key[use], best[gather(array.first_window[k], n[k])]))
+            part, digest, n, key, best = map(np.concatenate, zip(*out))
+            begin, order = np.cumsum(n) - n, np.argsort(part, kind="stable")
+            for f, c in zip(*runs(part[order])):
+                own = order[f : f + c]
+                yield _blobs([(bucket, int(part[own[0]]), squeeze(digest[own], n[own].astype(np.uint8), best[gather(begin[own], n[own])], key[own]))])
 
     def groups(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each part: its contexts that hold a maximal repeat (a left-diverse interval of the tree), where, and which."""
         for bucket, blobs in by_bucket(batches):
             out: dict[int, list] = {}
-            for ctx, _, where in self._arrays(blobs):
-                array, held = SuffixArray(ctx, self.min_len), {}
+            for data, size, _, digest, part, at, _, key in self._arrays(blobs):
+                array, held = SuffixArray(data, size, self.min_len), {}
                 for first, last, depth, diverse in array.intervals():
                     if diverse:
                         places = array.order[first : last + 1]
-                        at = array.start[places[0]]
-                        group = xxhash.xxh64_intdigest(bytes(array.buf[at : at + depth]))
+                        start = array.start[places[0]]
+                        group = xxhash.xxh64_intdigest(bytes(array.buf[start : start + depth]))
                         for o, f in zip(array.owner[places].tolist(), array.offset[places].tolist()):
                             held.setdefault(o, []).append((f, depth, group))
-                digest = [xxhash.xxh64_intdigest(c) for c in ctx]
-                for part, at, _, key in where:
-                    rows = [(digest[k], *g, int(y)) for k, y in zip(at.tolist(), key.tolist()) for g in held.get(k, ())]
-                    out.setdefault(part, []).extend(rows)
+                for p, k, y in zip(part.tolist(), at.tolist(), key.tolist()):
+                    out.setdefault(p, []).extend((int(digest[k]), *g, y) for g in held.get(k, ()))
             for part, rows in out.items():
                 if rows:
                     d, f, n, g, y = zip(*rows)
@@ -447,76 +473,69 @@ class Passes:
             for a, b, c, e, k in zip(*(c.tolist() for c in cols)):
                 found.setdefault(a, []).append((b, c, e))
                 (hot if k & HOT else keys).add(k & ~HOT)
-        wanted = np.sort(np.array([*(keys | hot)], np.uint64))
+        wanted, hots = np.sort(np.array([*keys], np.uint64)), np.sort(np.array([*hot], np.uint64))
         ids = texts.column("doc_id").to_pylist()
-        source, rows = list(texts_of(texts.column("text"))), set()
-        for w in self.windows(iter(source)) if found else ():
-            base = self._bases(w, source)
-            for i in np.flatnonzero(member(wanted, w.key)):
-                ctx, p = w.context(i), w.part[i]
-                start, row = int(w.at[i] - w.begins[p]) + base[p], w.parts[p][0]
-                pieces = [(j, ctx[j : j + self.min_len + 1]) for j in range(w.count[i])] if int(w.key[i]) in hot else [(0, ctx)]
-                rows.update((g, n, row, start + j + f) for j, x in pieces for f, n, g in found.get(xxhash.xxh64_intdigest(x), ()))
+        rows = set()
+        for w in self.windows(texts_of(texts.column("text"))) if found else ():
+            use = np.flatnonzero(member(wanted, w.key))
+            run, win = w.single(np.flatnonzero(member(hots, w.key)))
+            at, part = np.r_[w.at[use], win], w.part[np.r_[use, run]]
+            digest = w.contexts(at, np.r_[w.count[use], np.ones(len(win), np.int64)])[0]
+            place = at - w.begins[part] + w.bases[part]
+            rows.update((g, n, r, p + f) for x, r, p in zip(digest.tolist(), w.rows[part].tolist(), place.tolist()) for f, n, g in found.get(x, ()))
         g, n, r, a = zip(*sorted(rows)) if rows else ((), (), (), ())
         return pa.table([pa.array(g, pa.int64()), pa.array(n, pa.int64()), pa.array([ids[x] for x in r], pa.int64()), pa.array(a, pa.int64())], names=["group_id", "length", "doc_id", "start"])
 
-    def covered(self, texts: pa.Table, marks: pa.Table) -> Iterator[tuple[int, bytes, np.ndarray]]:
+    def covered(self, texts: pa.Table, marks: pa.Table) -> Iterator[tuple[int, bytes, np.ndarray | None]]:
         """Pass 3: (row, text, mask of its removed bytes) of every document of a part."""
-        digest, size, best, keys = [], [], [], []
+        cols: list[list] = [[np.zeros(0, t)] for t in (np.uint64, np.int64, np.int64, np.uint64)]
         for blob in marks.column("blob").to_pylist():
-            d, n, m, key = unsqueeze(blob)
-            digest.append(np.frombuffer(d, np.uint64))
-            size.append(np.frombuffer(n, np.uint8).astype(np.int64))
-            best.append(np.frombuffer(m, np.int64))
-            keys.append(np.frombuffer(key, np.uint64))
-        size = np.concatenate(size or [np.zeros(0, np.int64)])
-        begin = np.cumsum(size) - size
-        best = np.concatenate(best or [np.zeros(0, np.int64)])
-        found = dict(zip(np.concatenate(digest or [np.zeros(0, np.uint64)]).tolist(), zip(begin.tolist(), size.tolist())))
-        keys = np.unique(np.concatenate(keys or [np.zeros(0, np.uint64)]))
-        hot = {k & ~HOT for k in keys.tolist() if k & HOT}
-        keys = np.unique(keys & np.uint64(~HOT & (1 << 64) - 1))
+            for to, raw, t in zip(cols, unsqueeze(blob), (np.uint64, np.uint8, np.int64, np.uint64)):
+                to.append(np.frombuffer(raw, t).astype(to[0].dtype))
+        digest, size, best, key = map(np.concatenate, cols)
+        begin, order = np.cumsum(size) - size, np.argsort(digest)
+        digest, size, begin = digest[order], size[order], begin[order]
+        hot = np.unique(key[key >= np.uint64(HOT)] & np.uint64(HOT - 1))
+        keys = np.unique(key[key < np.uint64(HOT)])
         ids, whole = self._table(texts)
-        source = list(whole)
-        done = 0
-        edges: dict[int, list[tuple[int, np.ndarray]]] = {}
-        for w in self.windows(iter(source)):
-            rows = sorted({p[0] for p in w.parts})
-            for r in range(done, rows[0]):  # all their blocks are through
-                yield r, source[r], self._mask(edges.pop(r, []), len(source[r]))
-                done = r + 1
-            base = self._bases(w, source)
-            for i in np.flatnonzero(member(keys, w.key)):
-                ctx, row = w.context(i), w.parts[w.part[i]][0]
-                hit = found.get(xxhash.xxh64_intdigest(ctx))
-                if hit:
-                    dup = np.flatnonzero(best[hit[0] : hit[0] + hit[1]] < ids[row])
-                    if len(dup):
-                        edges.setdefault(row, []).append((int(w.at[i] - w.begins[w.part[i]]) + base[w.part[i]], dup))
-                elif int(w.key[i]) in hot:
-                    dup = [j for j in range(w.count[i]) if (h := found.get(xxhash.xxh64_intdigest(ctx[j : j + self.min_len + 1]))) and best[h[0]] < ids[row]]
-                    if dup:
-                        edges.setdefault(row, []).append((int(w.at[i] - w.begins[w.part[i]]) + base[w.part[i]], np.array(dup)))
+        source, done = list(whole), 0
+        masks: dict[int, np.ndarray] = {}
+        for w in self.windows(iter(source)) if len(digest) else ():
+            for r in range(done, int(w.rows[0])):  # all their blocks are through
+                yield r, source[r], masks.pop(r, None)
+            done = max(done, int(w.rows[0]))
+            use = np.flatnonzero(member(keys, w.key))
+            at, count, part = w.at[use], w.count[use], w.part[use]
+            if len(hot):
+                run, win = w.single(np.flatnonzero(member(hot, w.key)))
+                at, count, part = np.r_[at, win], np.r_[count, np.ones(len(win), np.int64)], np.r_[part, w.part[run]]
+            if not len(at):
+                continue
+            mine = w.contexts(at, count)[0]
+            place = np.minimum(np.searchsorted(digest, mine), len(digest) - 1)
+            hit = np.flatnonzero((digest[place] == mine) & (size[place] == count))
+            n, place = count[hit], place[hit]
+            dup = best[gather(begin[place], n)] < np.repeat(ids[w.rows[part[hit]]], n)
+            starts = gather(at[hit], n)[dup]
+            if not len(starts):
+                continue
+            edge = np.bincount(starts, minlength=len(w.buf) + 1) - np.bincount(starts + self.min_len, minlength=len(w.buf) + 1)
+            mask = np.cumsum(edge[:-1]) > 0
+            for p in np.unique(np.searchsorted(w.begins, starts, side="right") - 1):
+                row, a, b = int(w.rows[p]), w.begins[p], w.sizes[p]
+                own = masks.setdefault(row, np.zeros(len(source[row]), bool))
+                own[w.bases[p] : w.bases[p] + b] |= mask[a : a + b]
         for r in range(done, len(source)):
-            yield r, source[r], self._mask(edges.pop(r, []), len(source[r]))
-
-    def _bases(self, w: Windows, source: list[bytes]) -> list[int]:
-        """Where in its text each part of a block starts: blocks of a long text come in order."""
-        if len(w.parts) == 1 and len(source[w.parts[0][0]]) > BLOCK + self.min_len:
-            row = w.parts[0][0]
-            self._seen = (row, self._seen[1] + BLOCK) if getattr(self, "_seen", (None, 0))[0] == row else (row, 0)
-            return [self._seen[1]]
-        self._seen = (None, 0)
-        return [0] * len(w.parts)
-
-    def _mask(self, found: list[tuple[int, np.ndarray]], n: int) -> np.ndarray | None:
-        if not found:
-            return None
-        edge = np.zeros(n + 1, np.int32)
-        at = np.concatenate([a + dup for a, dup in found])
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + self.min_len, -1)
-        return np.cumsum(edge[:n]) > 0
+            yield r, source[r], masks.pop(r, None)
+
+
+def _by_digest(digest: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct digests, where each is first, and the least and greatest of its documents."""
+    order = np.argsort(digest, kind="stable")
+    first, _ = runs(digest[order])
+    if not len(first):
+        return digest, order, least, most
+    return digest[order[first]], order[first], np.minimum.reduceat(least[order], first), np.maximum.reduceat(most[order], first)
 
 
 def labels(n: int) -> list[int]:
