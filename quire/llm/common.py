@@ -62,6 +62,26 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
     yield batch.slice(first)
 
 
+def all_columns(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Every column, a null text as an empty one."""
+    return docs.withColumn(text_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def with_texts(docs: DataFrame, change, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """Every column, the texts (a list of str, of one slice) replaced by ``change``; n_chars follows where there is one. Map only."""
+    told = all_columns(docs, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = change()
+        for big in batches:
+            for part in slices(big, text_col):
+                i = part.schema.get_field_index(text_col)
+                yield part.set_column(i, part.schema.field(i), pa.array(make(part.column(i).to_pylist()), part.schema.field(i).type))
+
+    out = told.mapInArrow(run, told.schema)
+    return out.withColumn(length_col, F.length(text_col).cast(dict(docs.dtypes)[length_col])) if length_col in docs.columns else out
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix): spreads the bits of an unsigned array."""
     x = x.astype(np.uint64, copy=True)

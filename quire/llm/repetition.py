@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import id_text, mix64, runs, slices
+from .common import all_columns, id_text, mix64, runs, slices
 
 BASE_N, MIN_WORDS, BASE_PERCENT = 5, 10, 20
 #: n-gram length -> largest share of word characters inside repeated n-grams.
@@ -112,3 +112,15 @@ def assess(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0)] + [pa.array(x[k]) for k in names[1:]], names)
 
     return id_text(docs).mapInArrow(run, SCHEMA)
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The documents that ``assess`` keeps, with all their columns. Map only: texts aren't exchanged."""
+    told = all_columns(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for part in slices(big):
+                yield part.filter(pa.array(verdict(measure(part.column(part.schema.get_field_index("text"))))[1]))
+
+    return told.mapInArrow(run, told.schema)

@@ -217,6 +217,15 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The documents that are the first of their group (or have no id), with all their columns."""
-    dropped = near_duplicates(docs, radius).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti")
+    """One document of each group (the one with the smallest id), with all its columns; documents without an id all stay.
+
+    Rows that repeat an id and its text are one document. Only ids are joined to the documents' rows.
+    """
+    found = near_duplicates(docs, radius)
+    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    twice = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if twice.isEmpty():
+        return kept
+    once = kept.join(twice, "doc_id", "left_anti").select(docs.columns)
+    return once.unionByName(kept.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))

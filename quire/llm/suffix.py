@@ -558,21 +558,22 @@ def labels(n: int) -> list[int]:
 # ---- operators -----------------------------------------------------------------------------------------------
 
 
-def _parts(docs: DataFrame, n: int) -> DataFrame:
-    """One exchange of the texts, in n parts of about one size; every pass reads it again."""
+def _parts(docs: DataFrame, n: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One exchange of the texts, in n parts of about one size; every pass reads it again. ``carry``: columns to take along."""
     part = F.element_at(F.array(*map(F.lit, labels(n))), (F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)) + 1).cast("int"))
-    return id_text(docs).withColumn("part", part).repartition(n, "part")
+    own = id_text(docs) if not carry else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)))
+    return own.select("doc_id", "text", part.alias("part"), *own.columns[2:]).repartition(n, "part")
 
 
 def _dealt(df: DataFrame, n: int) -> DataFrame:
     return df.repartition(n, "bucket").sortWithinPartitions("bucket")
 
 
-def _context_blobs(docs: DataFrame, min_len: int, gram: int) -> tuple[DataFrame, DataFrame, Passes, int]:
+def _context_blobs(docs: DataFrame, min_len: int, gram: int, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, Passes, int]:
     if not 8 <= gram <= min_len <= 127:
         raise ValueError("8 <= gram <= min_len <= 127")
     n = shuffle_partitions(docs.sparkSession)
-    passes, parts = Passes(min_len, gram, n), _parts(docs, n)
+    passes, parts = Passes(min_len, gram, n), _parts(docs, n, carry)
     shared = _dealt(parts.mapInArrow(passes.keys, BLOBS), n).mapInArrow(passes.shared_keys, BLOBS)
     contexts = parts.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(lambda texts, own: passes.contexts(texts, own), BLOBS)
     return parts, _dealt(contexts, n), passes, n
@@ -615,6 +616,25 @@ def whole_characters(raw: np.ndarray, mask: np.ndarray) -> bytes:
     return raw[~np.repeat(gone, np.diff(np.r_[first, len(raw)]))].tobytes()
 
 
+def without_repeats(docs: DataFrame, min_len: int = MIN_LEN, gram: int = GRAM) -> DataFrame:
+    """The documents with repeated passages taken out of their texts (whole characters only); all columns, n_chars as the new
+    length. Documents that lose everything stay, with an empty text. Rules for nulls and ids are those of remove_repeats."""
+    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    parts, contexts, passes, _ = _context_blobs(docs, min_len, gram, carry)
+    marks = contexts.mapInArrow(passes.marks, BLOBS)
+    kinds = dict(docs.dtypes)
+    schema = "doc_id long, text string" + "".join(f", _carry{i} {kinds[c]}" for i, c in enumerate(carry))
+
+    def finish(texts: pa.Table, own: pa.Table) -> pa.Table:
+        left = [t if mask is None else whole_characters(np.frombuffer(t, np.uint8), mask) for _, t, mask in passes.covered(texts, own)]
+        taken = [texts.column(f"_carry{i}") for i in range(len(carry))]
+        return pa.table([texts.column("doc_id"), pa.array([t.decode() for t in left], pa.string()), *taken], names=["doc_id", "text", *(f"_carry{i}" for i in range(len(carry)))])
+
+    out = parts.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(finish, schema)
+    told = {"doc_id": F.col("doc_id").cast(kinds["doc_id"]), "text": F.col("text"), "n_chars": F.length("text").cast(kinds.get("n_chars", "long"))} | {c: F.col(f"_carry{i}") for i, c in enumerate(carry)}
+    return out.select(*(told[c].alias(c) for c in docs.columns))
+
+
 def maximal_repeats(docs: DataFrame, min_len: int = MIN_LEN, gram: int = GRAM) -> DataFrame:
     """Maximal repeat groups with all their occurrences: group_id, length, doc_id, start (bytes), one row each.
 
