@@ -41,7 +41,14 @@ def sniff_bytes(data: bytes) -> tuple[str | None, str | None]:
 
 
 def binary_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "length", "content")
+    """(path, length, content) of all files at ``path``. Spark's source passes over empty files, so these are listed apart: an
+    empty book is an error that has to be told."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s for top in fs.globStatus(where) or () for s in ([top] if top.isFile() else fs.listStatus(top.getPath()))]
+    empty = [(s.getPath().toString(), 0, bytearray()) for s in found if s.isFile() and s.getLen() == 0 and not s.getPath().getName().startswith(("_", "."))]
+    return files.unionByName(spark.createDataFrame(empty, "path string, length long, content binary")) if empty else files
 
 
 def sniff(files: DataFrame) -> DataFrame:
