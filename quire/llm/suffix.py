@@ -377,21 +377,22 @@ class Passes:
         for w in self.windows(whole):
             use = np.flatnonzero(member(plain, w.key))
             at, count, key, part = w.at[use], w.count[use], w.key[use], w.part[use]
+            bucket = key >> np.uint64(32)
             if len(hot):
                 run, win = w.single(np.flatnonzero(member(hot, w.key)))
                 at, count = np.r_[at, win], np.r_[count, np.ones(len(win), np.int64)]
                 key, part = np.r_[key, w.key[run] | np.uint64(HOT)], np.r_[part, w.part[run]]
+                # by the window alone: equal windows meet whatever stands before them
+                bucket = np.r_[bucket, digests(w.buf, win, win + self.min_len) % np.uint64(self.buckets)]
             digest, begin, size = w.contexts(at, count)
             digest, first, least, most = _by_digest(digest, ids[w.rows[part]], ids[w.rows[part]])
-            found.append((digest, w.buf[gather(begin[first], size[first])], size[first], least, most, key[first]))
+            found.append((digest, w.buf[gather(begin[first], size[first])], size[first], least, most, key[first], bucket[first].astype(np.int64)))
         if not found:
             return pa.Table.from_batches([_blobs([])])
-        digest, data, size, least, most, key = map(np.concatenate, zip(*found))
+        digest, data, size, least, most, key, bucket = map(np.concatenate, zip(*found))
         begin = np.cumsum(size) - size
         digest, first, least, most = _by_digest(digest, least, most)
-        key, begin, size = key[first], begin[first], size[first]
-        is_hot = key & np.uint64(HOT) > 0
-        bucket = np.where(is_hot, mix64(digest) % np.uint64(self.buckets), (key & np.uint64(HOT - 1)) >> np.uint64(32)).astype(np.int64)
+        key, bucket, begin, size = key[first], bucket[first], begin[first], size[first]
         order = np.argsort(bucket, kind="stable")
         part, rows = texts.column("part")[0].as_py(), []
         for f, n in zip(*runs(bucket[order])):
