@@ -19,13 +19,14 @@ class Shelf:
         self.count += 1
         path = f"{self.top}/{self.count}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._shelf_path = path  # of this very DataFrame; what is derived from it has none
+        return out
 
-    def drop(self, df: DataFrame) -> None:
-        for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-            if f.partition(":")[2].lstrip("/").startswith(self.top.partition(":")[2].lstrip("/")) or self.top in f:
-                path = self.spark._jvm.org.apache.hadoop.fs.Path(f)
-                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, kept: DataFrame) -> None:
+        """Deletes the table of a DataFrame that ``keep`` returned."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(kept._shelf_path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(links: DataFrame, shelf: Shelf, a: str = "a", b: str = "b") -> DataFrame:
@@ -41,14 +42,15 @@ def components(links: DataFrame, shelf: Shelf, a: str = "a", b: str = "b") -> Da
     pointers: list[DataFrame] = []
     while not links.isEmpty():
         both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
-        to = shelf.keep(both.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("root")))
-        while True:
+        table = shelf.keep(both.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("root")))
+        moved = True
+        while moved:
+            to = table.select("node", "root")
             nxt = to.select(F.col("node").alias("root"), F.col("root").alias("far"))
             jumped = shelf.keep(to.join(nxt, "root").select("node", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved")))
-            shelf.drop(to)
-            to = jumped.select("node", "root")
-            if jumped.where("moved").isEmpty():
-                break
+            shelf.drop(table)
+            table, moved = jumped, not jumped.where("moved").isEmpty()
+        to = table.select("node", "root")
         pointers.append(to)
         left = links.join(to.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(to.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
         fewer = shelf.keep(left.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).where("a < b").distinct())

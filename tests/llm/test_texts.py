@@ -1,0 +1,235 @@
+"""Operators on one text at a time, against plain restatements of their rules."""
+
+import hashlib
+import html as H
+import re
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from quire.llm import bpe, htmltree, pii, queries, repetition, toxicity, urlfilter
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+# ---- quality rules
+
+
+def plain_rules(text):
+    w = WORD.findall(text)
+
+    def cover(n):
+        grams = [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
+        seen = Counter(grams)
+        return {j for i, g in enumerate(grams) if seen[g] > 1 for j in range(i, i + n)}
+
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    count = Counter(lines)
+    dup = {n: sum(len(w[j]) for j in cover(n)) for n in repetition.LIMITS}
+    out = [len(w), sum(map(len, w)), len(re.findall(repetition.SYMBOLS, text)), len(lines) - len(count), len(cover(5))]
+    failed = out[0] < 10 or 100 * out[4] > 20 * out[0]
+    line_chars = sum(len(x) for x in lines if count[x] > 1)
+    kept = not failed and line_chars <= 0.3 * len(text) and out[2] <= 0.3 * out[0] and all(dup[n] <= v * out[1] for n, v in repetition.LIMITS.items())
+    return (*out, failed, kept)
+
+
+@given(st.lists(st.text(alphabet="ab \n\t#é\x1c", max_size=80), min_size=1, max_size=5))
+@settings(deadline=None)
+def test_repetition_by_slices(texts):
+    x = repetition.measure(pa.array(texts))
+    failed, kept = repetition.verdict(x)
+    got = list(zip(*(x[k].tolist() for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), failed.tolist(), kept.tolist()))
+    assert got == [plain_rules(t) for t in texts]
+
+
+def test_repetition(spark, sf, edge_docs):
+    for df in (spark.read.parquet(f"{sf}/documents.parquet"), edge_docs):
+        got = sorted((str(r.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for r in repetition.assess(df).collect())
+        assert got == sorted((str(r.doc_id), *plain_rules(r.text or "")) for r in df.collect())
+        good = repetition.keep_good(df)
+        assert good.columns == df.columns and good.count() == sum(g[-1] for g in got)
+    assert repetition.assess(edge_docs.limit(0)).count() == 0
+
+
+# ---- personal data
+
+EMAIL, KINDS = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("email", "ip", "card", "phone")
+
+
+def luhn(s):
+    return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
+
+
+def plain_base(t):
+    out = [(m.start(), 0, m.end()) for m in EMAIL.finditer(t)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 14 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= len(digits(m[0])) <= 15]
+    return sorted(out)
+
+
+@given(st.text(alphabet="ab1.@-+% é", max_size=60))
+def test_emails(text):
+    assert [x for x in pii.find_spans(text, pii.Anchors())[0] if x[1] == 0] == [x for x in plain_base(text) if x[1] == 0]
+
+
+@given(st.text(alphabet="0123456789.+ -()x", max_size=70))
+def test_numbers(text):
+    assert pii.find_spans(text, pii.Anchors())[0] == plain_base(text)
+
+
+@pytest.mark.parametrize(
+    "text, kind, span",
+    [
+        ("mail jürgen.groß@bücher.example now", "email", "jürgen.groß@bücher.example"), ('token = "04dbebab91ab85687d33" x', "secret", "04dbebab91ab85687d33"), ("IBAN: DE89 3704 0044 0532 0130 00.", "account", "DE89 3704 0044 0532 0130 00"),
+        ("Account number: 12-3456-789 is", "account", "12-3456-789"), ("see https://bob:pw@host.example/x y", "address", "https://bob:pw@host.example/x"), ("http://10.0.0.1:80/a b", "address", "http://10.0.0.1:80/a"),
+        ("call tel:+49-30-1234567.", "address", "tel:+49-30-1234567."),
+    ],
+)
+def test_added_spans(text, kind, span):
+    base, every = pii.find_spans(text, pii.Anchors())
+    assert set(base) <= set(every) and (kind, span) in {(pii.KINDS[k], text[s:e]) for s, k, e in every}
+    assert span.rstrip(".") not in pii.redact_text(text, pii.Anchors())
+
+
+@pytest.mark.parametrize("text", ["see https://example.com/page and more", "IBAN: DE89 3704 0044 0532 0130 01", "a token of thanks", "the secret = of it", "accounting: 12345", "@", "x@y", "iban"])
+def test_left_alone(text):
+    assert pii.find_spans(text, pii.Anchors())[1] == []
+
+
+def test_detect(spark, sf, edge_docs):
+    for df in (spark.read.parquet(f"{sf}/documents.parquet"), edge_docs):
+        texts = sorted(((str(r.doc_id), r.text or "") for r in df.collect()))
+        want = []
+        for d, t in texts:
+            base = plain_base(t)
+            told = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in base)
+            want.append((d, *([k for _, k, _ in base].count(i) for i in range(4)), hashlib.sha256(told.encode()).hexdigest()))
+        got = pii.detect(df).collect()
+        assert sorted((str(r.doc_id), r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in got) == sorted(want)
+        assert pii.redact(df).columns == df.columns
+
+
+# ---- urls
+
+
+@given(st.lists(st.text(alphabet="ab*", max_size=6), min_size=1, max_size=30), st.lists(st.text(alphabet="ab", max_size=70), min_size=1, max_size=8))
+def test_globs(globs, strings):
+    got = urlfilter.GlobSet(tuple(globs)).match([s.encode() for s in strings])
+    want = [[re.fullmatch(".*".join(map(re.escape, g.split("*"))), s) is not None for g in globs] for s in strings]
+    assert got.tolist() == want
+
+
+def test_judge(spark, sf):
+    import duckdb
+
+    c = duckdb.connect()
+    urls = [None, "", "nothing", "http://COM/", "http://com", "https://a.Example.com/en/x?y#z", "http://www.example.com/en/", "http://x.www.example.com/en/1", "http://evil.org/x.com /", "http://notcom/", "http://n.net/es/1", "http://n.net/es", "http://best-casino.org/", "x://é.net/fr/"]
+    df = spark.createDataFrame(list(enumerate(urls)) + [(0, None)], "page_id long, url string")
+    c.register("pages", df.toPandas())
+    got = urlfilter.judge(df).toPandas()
+    want = c.execute(urlfilter.judge_sql()).df()
+    key = lambda d: sorted(tuple(None if v is None or v != v else v for v in r) for r in d[["page_id", "host", "path", "rule", "verdict", "glob"]].itertuples(index=False))
+    assert sorted(map(str, key(got))) == sorted(map(str, key(want)))
+    by = dict(zip(got.page_id, zip(got.rule, got.verdict)))
+    assert by[5] == ("example.com/en/", "block") and by[6] == ("www.example.com/en/", "allow") and by[7] == ("www.example.com/en/", "allow") and by[8][0] is None and by[12] == (None, "block")
+    assert urlfilter.judge(df.limit(0)).count() == 0
+
+
+# ---- bpe
+
+
+def test_bpe(spark, sf, edge_docs, make_docs):
+    t = Tokenizer.from_file(public_tokenizers.path(bpe.VOCABULARY))
+    t.no_truncation()
+    t.no_padding()
+    odd = make_docs(["It's <|endoftext|> ΣΑΣ İstanbul", "a\u0301 A\u0301 é", "１２3 ½ Ⅷ", "don't''s ..!?", "<|startoftext|><|endoftext|>", "\x00\x1c\x85\u2028x", "中文 🎉👩‍👩‍👧", "<|ENDOFTEXT|>"])
+    for df in (spark.read.parquet(f"{sf}/documents.parquet"), edge_docs, odd):
+        want = []
+        for r in df.collect():
+            ids = t.encode(r.text or "", add_special_tokens=False).ids
+            want.append((str(r.doc_id), len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+        assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.digest(df).collect()) == sorted(want)
+    r = bpe.encode(odd).where("doc_id = 0").first()
+    assert t.decode(r.ids, skip_special_tokens=False) == r.decoded
+    assert bpe.digest(odd.limit(0)).count() == 0
+
+
+# ---- toxicity
+
+
+def test_machine_learns_pairs():
+    """Label 1 only where both words are: an additive model can't tell."""
+    rng, rows, y = np.random.default_rng(1), [], []
+    for i in range(1200):
+        a, b = (rng.random(2) < 0.5).tolist()
+        rows.append(toxicity.terms(" ".join([*(["alpha"] * a), *(["beta"] * b), f"w{i % 40}"])))
+        y.append(int(a and b))
+    m = toxicity.FactorizationMachine.fit(rows, np.array(y))
+    score = lambda t: m.score(toxicity.terms(t))
+    assert score("alpha beta") > 0.7 > 0.3 > max(score("alpha"), score("beta"), score("other"))
+
+
+def test_toxicity(spark, edge_docs):
+    top = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{top}/documents.parquet"), spark.read.parquet(f"{top}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    known = [(got[r.doc_id], r.toxic) for r in labels.collect()]
+    held = [(g.score, y) for g, y in known if g.held_out]
+    pos, neg = [s for s, y in held if y], [s for s, y in held if not y]
+    assert np.mean([(a > b) + 0.5 * (a == b) for a in pos for b in neg]) > 0.75
+    assert sum(g.predicted and not y for g, y in known) <= 3
+    import zlib
+
+    assert all(g.held_out == (zlib.crc32(str(d).encode()) % 4 == 2) for d, g in got.items())
+    edge = toxicity.score(edge_docs, model).collect()
+    assert len(edge) == 8 and all(0 <= r.score <= 1 for r in edge)
+    none = toxicity.fit(docs, labels.limit(0))
+    assert toxicity.score(docs.limit(3), none).count() == 3 and toxicity.score(docs.limit(0), none).count() == 0
+
+
+# ---- html
+
+
+def page(body, head=""):
+    return f"<!DOCTYPE html><html><head><title>T</title>{head}</head><body>{body}</body></html>"
+
+
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        ("<nav><a>m</a></nav><article><h1>H</h1><p>a &amp;amp; b<br>c</p><p>d  e\n f</article><footer>x</footer>", "H a &amp; b c d e f"), ("<div class='cookie-notice'>no</div><p>yes", "yes"), ("<p>one<p>two", "one two"), ("<script>var a='<p>x</p>'</script><p>t</p><style>p{}</style>", "t"),
+        ("<main><p>t</p><form><input><p>f</p></form><div id='comments'><p>c</p></div><aside>s</aside></main><p>out</p>", "t"), ("<header>h</header><p>t</p>", "t"), ("<!-- <p>c</p> --><p title='a>b'>t</p>", "t"), ("", ""), ("just text", "just text"), ("<p>&nbsp;x&eacute;&#33;</p>", "xé!"),
+        ("<ul><li>a<li>b</ul><table><tr><td>1<td>2</table>", "a b 1 2"), ("<p>bad <b>nest</p> tail</b>", "bad nest tail"), ("<div class=ad>x</div><p>y</p></div></p>", "y"),
+    ],
+)
+def test_main_text(body, want):
+    assert htmltree.main_text(page(body), frozenset()) == want
+
+
+def test_style_tree_removes_furniture(spark):
+    rows = [(i, "http://h.example/a", page(f"<div class='x'><p>Written by the house</p></div><div class='y'><p>Story {i} of its own</p></div>")) for i in range(20)]
+    rows += [(100, "http://few.example/", page("<div class='x'><p>Written by the house</p></div>")), (101, None, None), (None, "u", ""), (5, "http://h.example/b", rows[5][2])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS host", "3 AS low")
+    got = {(r.page_id, r.url): r for r in htmltree.extract(df).collect()}
+    assert len(got) == len(rows)
+    assert got[3, "http://h.example/a"].text == "Story 3 of its own" and got[100, "http://few.example/"].text == "Written by the house" and got[101, None].text == "" and got[3, "http://h.example/a"].n_chars == 18
+    assert htmltree.extract(df.limit(0)).count() == 0
+
+
+def test_pages(spark, sf):
+    df = spark.read.parquet(f"{sf}/pages.parquet")
+    want = {r.page_id: " ".join(H.unescape(re.sub(r"<[^>]+>", " ", re.search(r"<article>(.*?)</article>", r.html, re.S)[1])).split()) for r in df.collect()}
+    assert {r.page_id: r.text for r in htmltree.extract(df).collect()} == want
+
+
+def test_registered():
+    assert sorted(queries.queries()) == sorted(f"op{i}_{n}" for i, n in ((1, "harmonic_packing"), (2, "repetition_rules"), (3, "interval_tree_dedup"), (4, "factorization_toxicity"), (5, "style_tree_text"), (6, "anchor_pii"), (7, "url_automaton"), (8, "distinct_word_bpe"), (9, "kmeans_embeddings"), (10, "simhash_bk_trees")))
