@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame
 from .common import all_columns, id_text, mix64, runs, slices
 
 BASE_N, MIN_WORDS, BASE_PERCENT = 5, 10, 20
-#: n-gram length -> largest share of word characters inside repeated n-grams.
-LIMITS = {5: 0.20, 6: 0.19, 7: 0.18, 8: 0.17, 9: 0.16, 10: 0.15}
+#: n-gram length -> largest share of word characters inside repeated n-grams. Prose repeats short n-grams here and there,
+#: so only texts made of them pass the first two; the base rule has rejected most of what the others look for.
+LIMITS = {3: 0.75, 4: 0.70, 5: 0.35, 6: 0.34, 7: 0.33, 8: 0.32, 9: 0.31, 10: 0.30}
 #: Largest share of a text's characters inside repeated lines, and of symbols for each word.
-LINE_LIMIT, SYMBOL_LIMIT = 0.30, 0.30
+LINE_LIMIT, SYMBOL_LIMIT = 0.65, 0.30
 SYMBOLS = r"[#*$%&|<>]"
 MULT = np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, dup_line_chars long, " + ", ".join(f"dup_chars_{n} long" for n in LIMITS)

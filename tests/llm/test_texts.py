@@ -35,7 +35,7 @@ def plain_rules(text):
     out = [len(w), sum(map(len, w)), len(re.findall(repetition.SYMBOLS, text)), len(lines) - len(count), len(cover(5))]
     failed = out[0] < 10 or 100 * out[4] > 20 * out[0]
     line_chars = sum(len(x) for x in lines if count[x] > 1)
-    kept = not failed and line_chars <= 0.3 * len(text) and out[2] <= 0.3 * out[0] and all(dup[n] <= v * out[1] for n, v in repetition.LIMITS.items())
+    kept = not failed and line_chars <= repetition.LINE_LIMIT * len(text) and out[2] <= 0.3 * out[0] and all(dup[n] <= v * out[1] for n, v in repetition.LIMITS.items())
     return (*out, failed, kept)
 
 
