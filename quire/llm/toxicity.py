@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import id_text, slices
 
 MAX_SAMPLE = 16_384
-FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 40, 256, 0.1, 1e-4
+FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 60, 256, 0.3, 3e-6
 MIN_ROWS, MIN_Z = 5, 3.5
 THRESHOLD = 0.3
 TERM = re.compile(r"\w+")
