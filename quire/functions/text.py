@@ -113,7 +113,7 @@ def is_italic(font: Column) -> Column:
 def is_bold_heading(html: Column, text: Column, longest: int = 80, share: float = 0.85) -> Column:
     """All in one bold element, short, and nearly all its letters capitals."""
     t = strip(text)
-    letters, capitals = F.length(F.regexp_replace(t, r"\P{L}", "")), F.length(F.regexp_replace(t, r"\P{Lu}", ""))
+    letters, capitals = F.length(F.regexp_replace(t, r"\P{L}", "")), F.regexp_count(t, F.lit(r"\p{Lu}"))
     return strip(html).rlike(r"(?s)^<b>(.*)</b>$") & (F.length(t).between(1, longest)) & (letters > 0) & (capitals >= share * letters)
 
 
