@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed, htmltree, packing, pii, repetition, simhash, suffix, toxicity, urlfilter
+from . import bpe, embed, htmltree, packing, pii, repetition, simhash, sql, suffix, toxicity, urlfilter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,4 +60,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_automaton": urlfilter.judge_sql()}
+    return {"op2_repetition_rules": sql.repetition(), "op3_interval_tree_dedup": sql.removal(), "op7_url_automaton": urlfilter.judge_sql(), "op9_kmeans_embeddings": sql.links()}
