@@ -61,24 +61,24 @@ def picture_height(height: Column, scale: Column) -> Column:
     return F.greatest(F.lit(PICTURE_LEAST), F.lit(PICTURE_SHARE) * height) * scale
 
 
-def stack(anchor: str, height: str, left: str, right: str, top: float, bottom: float, gap: float | str) -> Column:
+def stack(anchor: str, height: str, left: str, right: str, top: float, bottom: float | str, gap: float | str) -> Column:
     """Tops of a page's items as array<double>, or null if they can't all be on it. The arguments name array columns.
 
     Down: every item at its anchor, or below all earlier items that share some of its width. If that runs over the
     bottom: up from the last, each item raised just so far that it and the later ones sharing its width fit.
     """
     n, g = f"size({anchor})", f"double({gap})"
-    every = f"sequence(0, {n} - 1)"
+    every, end = f"sequence(0, {n} - 1)", f"double({bottom})"
     shares = f"({left}[_i] < {right}[_j] AND {left}[_j] < {right}[_i])"
     down = (
         f"aggregate({every}, cast(array() AS array<double>), (_t, _i) -> array_append(_t, greatest({anchor}[_i], {float(top)}D, "
         f"coalesce(array_max(transform(filter({every}, _j -> _j < _i AND {shares}), _j -> _t[_j] + {height}[_j] + {g})), -1e18D))))"
     )
     later = f"coalesce(array_min(transform(filter({every}, _j -> _j > _i AND {shares}), _j -> _m[{n} - 1 - _j] - {g} - {height}[_i])), 1e18D)"
-    up = f"reverse(aggregate(sequence({n} - 1, 0, -1), cast(array() AS array<double>), (_m, _i) -> array_append(_m, least(_y[_i], {float(bottom)}D - {height}[_i], {later}))))"
+    up = f"reverse(aggregate(sequence({n} - 1, 0, -1), cast(array() AS array<double>), (_m, _i) -> array_append(_m, least(_y[_i], {end} - {height}[_i], {later}))))"
     ends = f"array_max(transform({every}, _i -> _y[_i] + {height}[_i]))"
     # _y and _z are bound by transforms of one element: what they stand for is evaluated once.
-    packed = f"transform(array({down}), _y -> CASE WHEN {ends} <= {float(bottom)}D + 1e-6D THEN _y ELSE {up} END)[0]"
+    packed = f"transform(array({down}), _y -> CASE WHEN {ends} <= {end} + 1e-6D THEN _y ELSE {up} END)[0]"
     return F.expr(f"CASE WHEN {n} = 0 THEN cast(array() AS array<double>) ELSE transform(array({packed}), _z -> CASE WHEN array_min(_z) >= {float(top)}D - 1e-6D THEN _z END)[0] END")
 
 
@@ -97,3 +97,39 @@ def insert_figures(items: DataFrame, figures: DataFrame) -> DataFrame:
 def page_scale(feasible: DataFrame) -> DataFrame:
     """(book_id, page_no, scale): the largest scale that a page's items fit at; null where the page needs the fallback."""
     return feasible.groupBy("book_id", "page_no").agg(F.max(F.when(F.col("fits"), F.col("scale"))).alias("scale"))
+
+
+def text_height(html: Column, size: Column, width: Column) -> Column:
+    """A stand-in for a measuring library: lines of letters half as wide as the size, 1.2 sizes high."""
+    per_line = F.greatest(F.lit(1.0), F.floor(width / (size * 0.5)))
+    return F.ceil(F.greatest(F.length(html), F.lit(1)) / per_line) * size * 1.2
+
+
+def place_pages(items: DataFrame, measure=text_height, margin: float = MARGIN) -> DataFrame:
+    """Items of pages with their places: scale, left, right, top, height; scale is null where no scale of the ladder fits, and
+    the item then keeps its own box.
+
+    ``items``: book_id, page_no, ord, kind (``picture`` for a picture's box), html, size, x0..y1, page_width, page_height,
+    body_size. Sizes, frames, heights and the vertical order are worked out for each scale; the largest that fits counts.
+    """
+    scaled = items.withColumn("scale", F.explode(F.array(*map(F.lit, PAGE_SCALES))))
+    left, right = F.lit(margin), F.col("page_width") - margin
+    picture = F.col("kind") == "picture"
+    a, b = frame(F.col("x0"), F.col("x1"), left, right)
+    pa, pb = F.greatest("x0", left), F.least(F.col("x1"), right)
+    thin = (pb - pa) < 1
+    size = font_size(F.col("kind"), F.col("size"), F.col("body_size")) * F.col("scale")
+    told = scaled.withColumn("l", F.when(~picture, a).when(thin, left).otherwise(pa)).withColumn("r", F.when(~picture, b).when(thin, right).otherwise(pb))
+    told = told.withColumn("h", F.when(picture, picture_height(F.col("y1") - F.col("y0"), F.col("scale"))).otherwise(measure(F.col("html"), size, F.col("r") - F.col("l"))))
+    row = F.struct("ord", F.col("y0").alias("y"), "h", "l", "r")
+    page = told.groupBy("book_id", "page_no", "scale").agg(F.sort_array(F.collect_list(row)).alias("i"), F.first("page_height").alias("ph"), F.first("body_size").alias("bs"))
+    arrays = page.selectExpr("book_id", "page_no", "scale", "ph", "bs", "i", "i.y AS y", "i.h AS h", "i.l AS l", "i.r AS r")
+    bottom = f"(ph - {float(margin)}D)"
+    fits = F.expr(f"array_max(h) <= {bottom} - {float(margin)}D")
+    tops = arrays.withColumn("tops", F.when(fits, stack("y", "h", "l", "r", margin, bottom, f"{GAP_SHARE}D * bs * scale")))
+    best = tops.groupBy("book_id", "page_no").agg(F.max_by(F.struct("scale", "tops", "i"), F.when(F.col("tops").isNotNull(), F.col("scale"))).alias("b"))
+    flat = best.where("b IS NOT NULL").select("book_id", "page_no", "b.scale", F.explode(F.arrays_zip(F.col("b.i").alias("i"), F.col("b.tops").alias("top"))).alias("z"))
+    placed = flat.select("book_id", "page_no", F.col("z.i.ord").alias("ord"), "scale", F.col("z.i.l").alias("left"), F.col("z.i.r").alias("right"), F.col("z.top").alias("top"), F.col("z.i.h").alias("height"))
+    out = items.join(placed, ["book_id", "page_no", "ord"], "left")
+    own = {"left": "x0", "right": "x1", "top": "y0"}
+    return out.withColumns({k: F.coalesce(k, v) for k, v in own.items()}).withColumn("height", F.coalesce("height", F.col("y1") - F.col("y0")))

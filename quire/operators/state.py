@@ -42,21 +42,23 @@ def edit_block(blocks: DataFrame, book_id: str, block_id: int, html: str) -> Dat
 
 
 def reset_range(blocks: DataFrame, chunks: DataFrame, first: int, last: int) -> tuple[DataFrame, DataFrame]:
-    """Blocks of a page range without target and flag, and their chunks pending again with nothing spent on them."""
-    inside = F.col("page_no").between(first, last)
-    cleared = blocks.withColumn("dst_html", F.when(~inside, F.col("dst_html"))).withColumn("flag", F.when(~inside, F.col("flag")))
+    """Done blocks of a page range without target and flag, and their chunks pending again with no error and nothing spent."""
+    inside = F.col("page_no").between(first, last) & F.col("dst_html").isNotNull()
+    cleared = blocks.withColumn("_in", inside).withColumn("dst_html", F.when(~F.col("_in"), F.col("dst_html"))).withColumn("flag", F.when(~F.col("_in"), F.col("flag"))).drop("_in")
     hit = blocks.where(inside & F.col("chunk_id").isNotNull()).select("book_id", "chunk_id").distinct().withColumn("_hit", F.lit(True))
     told = chunks.join(hit, ["book_id", "chunk_id"], "left")
     hit_col = F.col("_hit").isNotNull()
-    zero = {c: F.when(hit_col, F.lit(0)).otherwise(F.col(c)).cast(t) for c, t in (("attempts", "int"), ("in_tokens", "long"), ("out_tokens", "long"), ("cache_read", "long"), ("cache_write", "long"))}
+    zero = {c: F.when(hit_col, F.lit(0)).otherwise(F.col(c)).cast("long") for c in ("in_tokens", "out_tokens", "cache_read", "cache_write")}
     renewed = told.withColumn("status", F.when(hit_col, "pending").otherwise(F.col("status"))).withColumn("error", F.when(~hit_col, F.col("error"))).withColumns(zero)
     return cleared, renewed.drop("_hit")
 
 
-def reset_preview(blocks: DataFrame, first: int, last: int) -> DataFrame:
-    """One row: how many blocks and chunks a reset would touch, and how many targets it would drop."""
-    inside = blocks.where(F.col("page_no").between(first, last))
-    return inside.agg(F.count("*").alias("blocks"), F.count("dst_html").alias("targets"), F.count_distinct("book_id", "chunk_id").alias("chunks"))
+def reset_preview(blocks: DataFrame, chunks: DataFrame, first: int, last: int) -> DataFrame:
+    """One row: the targets and chunks that a reset would take back, and the tokens spent on them."""
+    inside = blocks.where(F.col("page_no").between(first, last) & F.col("dst_html").isNotNull())
+    hit = chunks.join(inside.select("book_id", "chunk_id").distinct(), ["book_id", "chunk_id"], "left_semi")
+    spent = hit.agg(F.count("*").alias("chunks"), F.coalesce(F.sum("in_tokens"), F.lit(0)).alias("in_tokens"), F.coalesce(F.sum("out_tokens"), F.lit(0)).alias("out_tokens"))
+    return inside.agg(F.count("*").alias("targets")).crossJoin(spent)  # a row each
 
 
 def overflow_flags(blocks: DataFrame, overflows: DataFrame, first: int, last: int) -> DataFrame:

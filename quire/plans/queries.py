@@ -353,12 +353,20 @@ def vertical_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("page_no", F.col("b.scale").cast("double").alias("scale"), F.size("b.tops").alias("items"), F.round(F.aggregate("b.tops", F.lit(0.0), lambda a, x: a + x), 6).alias("sum_of_tops"))
 
 
+def vertical_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lines in one column: each item's top, null on pages where they can't all stand."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page_no"), F.struct(F.expr(SEQ).alias("ord"), F.expr("double(l_partkey % 480)").alias("y"), F.expr("double(40 + l_suppkey % 90)").alias("h"), F.lit(0.0).alias("l"), F.lit(1.0).alias("r")).alias("i"))
+    p = li.groupBy("page_no").agg(F.sort_array(F.collect_list("i")).alias("i")).selectExpr("page_no", "i.y AS y", "i.h AS h", "i.l AS l", "i.r AS r")
+    tops = p.withColumn("tops", packing.stack("y", "h", "l", "r", 22.0, 525.0, 4.0))
+    return tops.select("page_no", F.posexplode("y").alias("i", "anchor"), "tops").select("page_no", "i", "anchor", F.get("tops", F.col("i")).alias("top"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         html_leaf_blocks, html_block_stats, html_book_rollup, apply_targets, chunk_pack, chunk_page_range, page_specs, glossary_candidates, dq_check, dq_numbers, dq_missing_term,
         running_heads, head_slots, continuation_groups, reading_order, paragraph_groups, hyphen_join, classify_blocks, fragment_merge, span_merge, column_gap, ocr_rows, figure_noise, figure_regions,
         text_kinds, toc_order, spine_order, prev_context, chunk_context, status_rollup, pages_complete, chunk_status, model_usage, flag_counts, cost_estimate, json_layout, snapshot_reset,
-        overflow_flags, upsert_meta, seg_parse, pad_text, frame_fit, box_fit, fit_totals, upper_median, vertical_pack,
+        overflow_flags, upsert_meta, seg_parse, pad_text, frame_fit, box_fit, fit_totals, upper_median, vertical_pack, vertical_stack,
     )
 }

@@ -199,7 +199,7 @@ ORACLE: dict[str, str] = {
     "snapshot_reset": """
         WITH b AS (SELECT l_orderkey AS k, count(*) FILTER (WHERE l_orderkey % 100 NOT BETWEEN 10 AND 19) AS targets FROM lineitem GROUP BY 1),
         c AS (SELECT o_orderkey, o_custkey, o_orderkey % 100 BETWEEN 10 AND 19 AND b.k IS NOT NULL AS hit, targets FROM orders LEFT JOIN b ON b.k = o_orderkey)
-        SELECT CASE WHEN hit THEN 'pending' ELSE 'done' END AS status, count(*) AS chunks, sum(CASE WHEN hit THEN 0 ELSE o_custkey END) AS in_tokens, sum(CASE WHEN hit THEN 0 ELSE 2 END) AS attempts, sum(targets) AS targets FROM c GROUP BY 1""",
+        SELECT CASE WHEN hit THEN 'pending' ELSE 'done' END AS status, count(*) AS chunks, sum(CASE WHEN hit THEN 0 ELSE o_custkey END) AS in_tokens, sum(2) AS attempts, sum(targets) AS targets FROM c GROUP BY 1""",
     "overflow_flags": f"WITH {BOOKS} SELECT page_no, CASE WHEN block_id % 17 = 0 THEN 'overflow' WHEN page_no BETWEEN 2 AND 4 THEN NULL ELSE flag END AS flag, count(*) AS n FROM books GROUP BY 1, 2",
     "upsert_meta": "WITH o AS (SELECT o_custkey AS key, arg_max(o_orderpriority, o_orderkey) AS value FROM orders GROUP BY 1) SELECT coalesce(o.key, c_custkey) AS key, coalesce(o.value, c_mktsegment) AS value FROM customer FULL JOIN o ON o.key = c_custkey",
     "seg_parse": "SELECT doc_id, doc_id AS id, 'last' AS body FROM documents UNION ALL SELECT doc_id, doc_id + 1, left(text, 20) FROM documents",
@@ -225,4 +225,37 @@ _FIT = """
 ORACLE["box_fit"] = f"WITH {_FIT} SELECT * FROM fit"
 ORACLE["fit_totals"] = f"WITH {_FIT} SELECT count(*) AS items, count(*) FILTER (WHERE overflow) AS overflows, round(coalesce(median(ratio), 1.0), 6) AS median_ratio, round(coalesce(100.0::DOUBLE * count(*) FILTER (WHERE ratio < 0.85) / count(*), 0.0), 6) AS percent_low FROM fit"
 
+#: Two columns: a position runs over the page step by step; the widest run of positions that no narrow line crosses is the gutter.
+ORACLE["column_gap"] = """
+    WITH RECURSIVE a AS (SELECT l_orderkey // 20 AS page_no, (CASE WHEN (l_orderkey // 20) % 3 = 0 THEN 40 ELSE 40 + (l_linenumber % 2) * 160 END + l_partkey % 5)::DOUBLE AS x0 FROM lineitem),
+    l AS (SELECT page_no, x0, x0 + CASE WHEN page_no % 3 = 0 THEN 300 ELSE 130 END AS x1 FROM a),
+    m AS (SELECT page_no, count(*) AS lines, sum(x1 - x0) / count(*) AS mean FROM l GROUP BY page_no),
+    nr AS (SELECT page_no, x0, x1 FROM l JOIN m USING (page_no) WHERE x1 - x0 < mean * 1.5::DOUBLE AND lines >= 6),
+    e AS (SELECT page_no, min(x0) AS lo, max(x1) AS hi FROM nr GROUP BY page_no HAVING count(*) >= 6),
+    xs AS (SELECT page_no, lo + 380.0::DOUBLE / 100.0::DOUBLE AS x, hi FROM e UNION ALL SELECT page_no, x + 380.0::DOUBLE / 100.0::DOUBLE, hi FROM xs WHERE x + 380.0::DOUBLE / 100.0::DOUBLE < hi),
+    f AS (SELECT page_no, x FROM xs WHERE x < hi AND NOT EXISTS (SELECT 1 FROM nr WHERE nr.page_no = xs.page_no AND nr.x0 < xs.x AND xs.x < nr.x1)),
+    g AS (SELECT *, sum(CASE WHEN x - px > 3.8::DOUBLE * 1.5::DOUBLE THEN 1 ELSE 0 END) OVER (PARTITION BY page_no ORDER BY x) AS run FROM (SELECT *, lag(x) OVER (PARTITION BY page_no ORDER BY x) AS px FROM f)),
+    h AS (SELECT page_no, run, min(x) AS a, max(x) AS b FROM g GROUP BY ALL),
+    w AS (SELECT page_no, (a + b) / 2 AS middle FROM (SELECT *, row_number() OVER (PARTITION BY page_no ORDER BY b - a DESC, run) AS k FROM h) WHERE k = 1 AND b - a >= 380.0::DOUBLE * 0.04::DOUBLE),
+    s AS (SELECT page_no, middle, sum(CASE WHEN x0 < middle THEN x1 - x0 ELSE 0 END) AS lw, sum(CASE WHEN x0 >= middle THEN x1 - x0 ELSE 0 END) AS rw FROM nr JOIN w USING (page_no) GROUP BY ALL),
+    ok AS (SELECT page_no, middle FROM s WHERE lw + rw > 0 AND least(lw, rw) >= (lw + rw) * 0.10::DOUBLE)
+    SELECT l.page_no, count(*) AS lines, count(*) FILTER (WHERE x1 - x0 < mean * 1.5::DOUBLE AND x0 >= middle) AS right_lines FROM l JOIN m USING (page_no) LEFT JOIN ok USING (page_no) GROUP BY l.page_no"""
+#: One column: down the page, then up again where the bottom is passed.
+ORACLE["vertical_stack"] = """
+    WITH RECURSIVE src AS (SELECT l_orderkey AS page_no, row_number() OVER (PARTITION BY l_orderkey ORDER BY (l_linenumber * 1000000 + l_partkey) * 100000 + l_suppkey) AS i, (l_partkey % 480)::DOUBLE AS a, (40 + l_suppkey % 90)::DOUBLE AS h FROM lineitem),
+    d AS (SELECT page_no, i, a, h, greatest(a, 22.0::DOUBLE) AS y FROM src WHERE i = 1 UNION ALL SELECT s.page_no, s.i, s.a, s.h, greatest(s.a, 22.0::DOUBLE, d.y + d.h + 4) FROM d JOIN src s ON s.page_no = d.page_no AND s.i = d.i + 1),
+    z AS (SELECT page_no, max(i) AS n, max(y + h) <= 525 + 1e-6 AS fits FROM d GROUP BY page_no),
+    u AS (SELECT d.page_no, d.i, least(d.y, 525 - d.h) AS y FROM d JOIN z ON z.page_no = d.page_no AND z.n = d.i WHERE NOT fits
+          UNION ALL SELECT d.page_no, d.i, least(d.y, 525 - d.h, u.y - 4 - d.h) FROM u JOIN d ON d.page_no = u.page_no AND d.i = u.i - 1),
+    v AS (SELECT d.page_no, d.i, d.a, CASE WHEN fits THEN d.y ELSE u.y END AS y FROM d JOIN z USING (page_no) LEFT JOIN u ON u.page_no = d.page_no AND u.i = d.i)
+    SELECT page_no, i - 1 AS i, a AS anchor, CASE WHEN min(y) OVER (PARTITION BY page_no) >= 22 - 1e-6 THEN y END AS top FROM v"""
+
+#: Sums of whole numbers are wider in DuckDB than in Spark.
+WHOLE = {
+    "html_block_stats": "chars", "html_book_rollup": "blocks chars chunks", "chunk_pack": "chars", "glossary_candidates": "n", "continuation_groups": "cont_group", "reading_order": "row",
+    "status_rollup": "chars chars_left", "model_usage": "in_tokens out_tokens", "json_layout": "k", "snapshot_reset": "in_tokens attempts targets",
+}
+for _name, _columns in WHOLE.items():
+    ORACLE[_name] = "SELECT * REPLACE (" + ", ".join(f'CAST("{c}" AS BIGINT) AS "{c}"' for c in _columns.split()) + f") FROM ({ORACLE[_name]})"
+
 assert layout.SENTENCE_ENDS == (".", "!", "?", "”", "’")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import html
 import io
+import re
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -46,8 +48,22 @@ def epub_parts(blocks: DataFrame) -> DataFrame:
     return rows.groupBy("book_id", "href").agg(F.map_from_entries(F.collect_list(F.struct("pos", "dst"))).alias("targets"))
 
 
+def _retitled(package: str, title: str | None) -> str:
+    """A package document in the target language, with the title where there is one."""
+    out = re.sub(r"(<(?:\w+:)?language\b[^>]*>)[^<]*(</)", r"\g<1>vi\g<2>", package)
+    return out if title is None else re.sub(r"(<(?:\w+:)?title\b[^>]*>)[^<]*(</)", lambda m: f"{m[1]}{html.escape(title, quote=False)}{m[2]}", out, count=1)
+
+
+def _relabelled(contents: str, titles: dict[int, str]) -> str:
+    """The contents' labels replaced by their place among all labels (of a list of points, or of the links of a navigation page)."""
+    place = iter(range(1 << 30))
+    at = re.compile(r"(<navLabel\b[^>]*>\s*<text\b[^>]*>)(.*?)(</text>)", re.S) if "<navLabel" in contents else re.compile(r"(<(?:a|span)\b[^>]*>)(.*?)(</(?:a|span)>)", re.S)
+    return at.sub(lambda m: m[1] + titles.get(next(place), m[2]) + m[3], contents)
+
+
 def epub_books(files: DataFrame, parts: DataFrame, bilingual: bool = False) -> DataFrame:
-    """(book_id, content): EPUB files (path, content) with their targets put back; a task holds one book."""
+    """(book_id, content): EPUB files (path, content) with targets put back into documents, contents and title, in the target
+    language; a task holds one book."""
     from .sources.epub import Book
 
     by_book = parts.groupBy("book_id").agg(F.collect_list(F.struct("href", "targets")).alias("parts"))
@@ -58,11 +74,16 @@ def epub_books(files: DataFrame, parts: DataFrame, bilingual: bool = False) -> D
                 told = {p["href"]: dict(p["targets"]) for p in r["parts"] or ()}
                 book, out = Book(r["content"]), io.BytesIO()
                 names = {book.path(h): h for h in book.documents()}
+                lists = {book.path(x["href"]) for x in (book.ncx, book.nav) if x is not None}
                 with zipfile.ZipFile(out, "w") as z:
                     for info in book.zip.infolist():
                         data = book.zip.read(info)
-                        if info.filename in names and names[info.filename] in told:
+                        if told.get(names.get(info.filename)):
                             data = html_source.put_back(data.decode("utf-8", "replace"), told[names[info.filename]], bilingual).encode()
+                        elif info.filename == book.package:
+                            data = _retitled(data.decode("utf-8", "replace"), told.get("title", {}).get(0)).encode()
+                        elif info.filename in lists and told.get("toc"):
+                            data = _relabelled(data.decode("utf-8", "replace"), told["toc"]).encode()
                         z.writestr(info, data, zipfile.ZIP_STORED if info.filename == "mimetype" else zipfile.ZIP_DEFLATED)
                 yield pa.RecordBatch.from_arrays([pa.array([r["path"]]), pa.array([out.getvalue()], pa.binary())], ["book_id", "content"])
 
@@ -70,6 +91,23 @@ def epub_books(files: DataFrame, parts: DataFrame, bilingual: bool = False) -> D
     return joined.mapInArrow(run, "book_id string, content binary")
 
 
+def draw_pages(items: DataFrame, build: Callable[[], Callable[[dict], tuple[bytes, list[tuple[int, float, bool]]]]]) -> DataFrame:
+    """(book_id, page_no, content, stats array<struct<block_id, ratio, overflow>>) of page rows (pdf_items). ``build`` is made once
+    a task and turns a page's row into its drawing and what became of its items: any drawing library can stand behind it."""
+    schema = "book_id string, page_no int, content binary, stats array<struct<block_id: bigint, ratio: double, overflow: boolean>>"
+    stat = pa.list_(pa.struct([("block_id", pa.int64()), ("ratio", pa.float64()), ("overflow", pa.bool_())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draw = build()
+        for b in batches:
+            rows = b.to_pylist()
+            done = [draw(r) for r in rows]
+            told = [[dict(zip(("block_id", "ratio", "overflow"), s)) for s in stats] for _, stats in done]
+            yield pa.RecordBatch.from_arrays([pa.array([r["book_id"] for r in rows], pa.string()), pa.array([r["page_no"] for r in rows], pa.int32()), pa.array([c for c, _ in done], pa.binary()), pa.array(told, stat)], ["book_id", "page_no", "content", "stats"])
+
+    return items.mapInArrow(run, schema)
+
+
 def pdf_items(blocks: DataFrame, pages: DataFrame, dry_run: bool = False) -> DataFrame:
     """What a page builder draws: every page of ``pages`` (also those without blocks) with its items in order. Open blocks show
     their source; a dry run shows it lengthened, as a stand-in for a target."""

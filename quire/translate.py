@@ -33,7 +33,7 @@ def checked(answers: DataFrame, open_blocks: DataFrame, glossary: DataFrame | No
     return quality.check(pairs, glossary).drop("id")
 
 
-def run(store: state.Store, provider: str | Callable, system: str = "", glossary: DataFrame | None = None, chunks: DataFrame | None = None, attempts: int = state.ATTEMPTS, pause: float = 5.0) -> int:
+def run(store: state.Store, provider: str | Callable, system: str = "", glossary: DataFrame | None = None, chunks: DataFrame | None = None, attempts: int = state.ATTEMPTS, pause: float = 5.0, model: str | None = None) -> int:
     """Works on all pending chunks (or the pending ones among ``chunks``); every attempt ends with a whole snapshot.
 
     Up to ``attempts`` rounds, each only for blocks still open; a fatal error stops after what came before it is kept.
@@ -46,7 +46,7 @@ def run(store: state.Store, provider: str | Callable, system: str = "", glossary
         if todo.isEmpty():
             break
         note = None if attempt == 1 else todo.select("book_id", "chunk_id").distinct().withColumn("note", F.lit("Some segments were missing or wrong. Answer every segment, with its tags and numbers."))
-        store.commit(answers=providers.ask(prompts(blocks, todo, note), provider, system).withColumn("attempt", F.lit(attempt)))
+        store.commit(answers=providers.ask(prompts(blocks, todo, note), provider, system, model).withColumn("attempt", F.lit(attempt)))
         answers = store.read("answers")
         taken = state.accept(checked(answers, todo, glossary), attempt, attempts)
         store.commit(blocks=state.update_blocks(blocks, taken.select("book_id", "block_id", F.col("dst").alias("dst_html"), "flag")))

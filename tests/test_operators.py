@@ -315,8 +315,8 @@ def test_context(spark):
 def test_snapshots(spark, tmp_path):
     blocks, chunks = book(spark)
     b, c = state.reset_range(blocks, chunks, 0, 0)
-    assert b.where("dst_html IS NOT NULL").count() == 2 and c.where("status = 'pending' AND in_tokens = 0 AND attempts = 0").count() == 1
-    assert state.reset_preview(blocks, 0, 0).first().targets == 2
+    assert b.where("dst_html IS NOT NULL").count() == 2 and c.where("status = 'pending' AND in_tokens = 0").count() == 1
+    assert tuple(state.reset_preview(blocks, chunks, 0, 0).first()) == (2, 1, 5, 5)
     assert state.edit_block(blocks, "b", 1, "new").where("block_id = 1 AND dst_html = 'new' AND flag IS NULL").count() == 1
     with pytest.raises(ValueError):
         state.edit_block(blocks, "b", 1, " ")
