@@ -5,7 +5,8 @@ anchor a deterministic local parser grows outwards to the boundaries of what it
 
 * ``@``: an e-mail address to both sides;
 * ``://``, ``mailto:``, ``tel:``: an address whose authority has user data or a numeric host, a mailbox, a phone;
-* cues (``iban``, ``account``, ``token``, ``ssn``, ...): the account or identifier behind ``=`` or ``:``.
+* cues (``iban``, ``account``, ``token``, ``ssn``, ...): the account or identifier behind ``=`` or ``:``;
+* beginnings of keys (``AKIA``, ``ghp_``, ...): the key.
 
 Digits and plus signs anchor the numeric kinds (ip, card, phone), which the base rules define.
 """
@@ -37,6 +38,8 @@ DIGIT = re.compile(r"[0-9]")
 SCHEMES = ("http://", "https://", "ftp://", "sftp://", "ssh://", "mailto:", "tel:")
 CUES = ("iban", "account", "acct", "ssn", "passport", "licence no", "license no", "customer id", "user id", "tax id", "token", "api_key", "apikey", "api key", "secret", "password", "passwd")
 SECRET_CUES = frozenset(("token", "api_key", "apikey", "api key", "secret", "password", "passwd"))
+#: Keys that their own beginning gives away, by the anchor in small letters.
+KEYS = {p.lower(): re.compile(p + rest + r"(?![A-Za-z0-9])") for p, rest in (("AKIA", "[A-Z0-9]{16}"), ("ASIA", "[A-Z0-9]{16}"), ("ghp_", "[A-Za-z0-9]{36}"), ("xoxb-", "[A-Za-z0-9-]{20,}"))}
 VALUE = re.compile(r"(?:\s?(?:no|nr|number|num|key))?\.?\s{0,2}[:=#]\s{0,2}([\"']?)")
 ACCOUNT = re.compile(r"[A-Za-z0-9](?:[ /-]?[A-Za-z0-9]){4,39}")
 SECRET = re.compile(r"[A-Za-z0-9_+/=.~-]{8,}")
@@ -120,6 +123,8 @@ class Anchors:
             self.auto.add_word(s, ("scheme", s))
         for c in CUES:
             self.auto.add_word(c, ("cue", c))
+        for k in KEYS:
+            self.auto.add_word(k, ("key", k))
         self.auto.make_automaton()
 
     def find(self, text: str) -> list[tuple[int, int, str, str]]:
@@ -165,6 +170,9 @@ def expand(text: str, start: int, end: int, sort: str, anchor: str) -> tuple[int
         return start, RANK["address"], stop
     if start and (text[start - 1].isalnum() or text[start - 1] == "_"):
         return None
+    if sort == "key":
+        m = KEYS[anchor].match(text, start)
+        return (start, RANK["secret"], m.end()) if m else None
     if anchor == "iban":
         m = re.compile(r"(?:\s?(?:no|nr|number)\.?)?\s{0,2}[:=#]?\s{0,2}").match(text, end)
         if hit := IBAN.match(text, m.end()):
