@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from . import providers, sinks, sources, translate
 from .functions import text as X
 from .operators import chunking, glossary, state, status
+from .schemas import SCHEMA_VERSION
 from .session import local
 
 EXPLAIN = {"empty": "no target", "tag_mismatch": "its tags differ", "too_short": "much shorter than its source", "missing_number": "a number is missing", "missing_term": "a declared term is missing", "overflow": "doesn't fit its frame"}
@@ -89,8 +90,10 @@ def init(spark: SparkSession, a: argparse.Namespace) -> list[str]:
             raise Refused("no paragraph was found (only images, or protected?)")
     except sources.UnsupportedSource as e:
         raise Refused(str(e)) from None
-    meta = spark.createDataFrame([("source_name", PurePath(a.source).name), ("source_path", a.source), ("chunk_chars", str(a.chunk_chars)), ("schema_version", "2")], "key string, value string")
-    project.store.commit(blocks=blocks, chunks=chunks, meta=blocks.select("book_id").distinct().crossJoin(meta).select("book_id", "key", "value"))
+    facts = {"source_name": PurePath(a.source).name, "source_path": a.source, "chunk_chars": str(a.chunk_chars), "schema_version": str(SCHEMA_VERSION)}
+    meta = blocks.select("book_id").distinct().select("book_id", F.explode(F.create_map(*(F.lit(x) for pair in facts.items() for x in pair))))
+    project.store.commit(blocks=blocks, chunks=chunks, meta=meta)
+    blocks.unpersist()
     t = status.totals(project.blocks).first()
     return [f"{t.blocks} blocks, {t.chars:,} characters, {project.chunks.count()} chunks in {project.path}"]
 

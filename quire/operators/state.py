@@ -57,8 +57,10 @@ def reset_preview(blocks: DataFrame, chunks: DataFrame, first: int, last: int) -
     """One row: the targets and chunks that a reset would take back, and the tokens spent on them."""
     inside = blocks.where(F.col("page_no").between(first, last) & F.col("dst_html").isNotNull())
     hit = chunks.join(inside.select("book_id", "chunk_id").distinct(), ["book_id", "chunk_id"], "left_semi")
-    spent = hit.agg(F.count("*").alias("chunks"), F.coalesce(F.sum("in_tokens"), F.lit(0)).alias("in_tokens"), F.coalesce(F.sum("out_tokens"), F.lit(0)).alias("out_tokens"))
-    return inside.agg(F.count("*").alias("targets")).crossJoin(spent)  # a row each
+    zero = [F.lit(0).cast("long").alias(c) for c in ("chunks", "in_tokens", "out_tokens")]
+    spent = hit.select(F.lit(0).cast("long").alias("targets"), F.lit(1).cast("long").alias("chunks"), "in_tokens", "out_tokens")
+    both = inside.select(F.lit(1).cast("long").alias("targets"), *zero).unionByName(spent)
+    return both.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("targets", "chunks", "in_tokens", "out_tokens")))
 
 
 def overflow_flags(blocks: DataFrame, overflows: DataFrame, first: int, last: int) -> DataFrame:
@@ -81,8 +83,7 @@ def migrate_v1(blocks: DataFrame, meta: DataFrame) -> tuple[DataFrame, DataFrame
     """Version 1 blocks (doc_index, doc_href) as version 2: page_no, kind, layout as JSON, and what is new as null."""
     moved = blocks.withColumnRenamed("doc_index", "page_no").withColumn("layout", F.to_json(F.struct(F.col("doc_href").alias("href")))).drop("doc_href")
     moved = moved.withColumn("kind", F.lit("text")).withColumn("bbox", F.lit(None).cast("string")).withColumn("line_bboxes", F.lit(None).cast("string")).withColumn("cont_group", F.lit(None).cast("int"))
-    version = meta.sparkSession.createDataFrame([("schema_version", str(SCHEMA_VERSION))], "key string, value string")
-    books = blocks.select("book_id").distinct().crossJoin(version)  # one row a book
+    books = blocks.select("book_id").distinct().select("book_id", F.lit("schema_version").alias("key"), F.lit(str(SCHEMA_VERSION)).alias("value"))
     return moved, upsert(meta, books.select(meta.columns), ["book_id", "key"])
 
 
