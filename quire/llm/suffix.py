@@ -343,24 +343,26 @@ class Passes:
     def shared_keys(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each part, the keys of a bucket that more than one document has; hot ones apart."""
         for bucket, blobs in by_bucket(batches):
-            key, count, many, part = [], [], [], []
-            for p, blob in blobs:
+            key, count, many = [], [], []
+            for _, blob in blobs:
                 k, c, m = unsqueeze(blob)
                 key.append(np.frombuffer(k, np.uint32))
                 count.append(np.frombuffer(c, np.uint8).astype(np.int64))
                 many.append(np.frombuffer(m, np.uint8))
-                part.append(np.full(len(key[-1]), p, np.int32))
-            key, count, many, part = map(np.concatenate, (key, count, many, part))
+            ends = np.cumsum([len(k) for k in key])
+            key, count, many = map(np.concatenate, (key, count, many))
             order = np.argsort(key, kind="stable")
             first, n = runs(key[order])
             shared = (n > 1) | (np.maximum.reduceat(many[order], first) > 0)
             hot = shared & (np.add.reduceat(count[order], first) * HOT_SHARE > max(count.sum(), 1 << 14))
             flag = np.empty(len(key), np.uint8)
             flag[order] = np.repeat(shared + hot.astype(np.uint8), n)
-            for p in np.unique(part):
-                own = (part == p) & (flag > 0)
-                if own.any():
-                    yield _blobs([(self.label.index(bucket), int(p), squeeze(np.sort(key[own & (flag == 1)]), np.sort(key[own & (flag == 2)])))])
+            place, rows = self.label.index(bucket), []
+            for (part, _), stop, size in zip(blobs, ends, np.diff(np.r_[0, ends])):  # a part's keys lie together
+                own, what = key[stop - size : stop], flag[stop - size : stop]
+                if what.any():
+                    rows.append((place, part, squeeze(np.sort(own[what == 1]), np.sort(own[what == 2]))))
+            yield _blobs(rows)
 
     def _table(self, table: pa.Table) -> tuple[np.ndarray, Iterator[bytes]]:
         return np.asarray(table.column("doc_id").combine_chunks().fill_null(NO_ID)) if table.num_rows else np.zeros(0, np.int64), texts_of(table.column("text"))
@@ -440,9 +442,8 @@ class Passes:
                 out.append((part[use], digest[k], n[k], key[use], best[gather(array.first_window[k], n[k])]))
             part, digest, n, key, best = map(np.concatenate, zip(*out))
             begin, order = np.cumsum(n) - n, np.argsort(part, kind="stable")
-            for f, c in zip(*runs(part[order])):
-                own = order[f : f + c]
-                yield _blobs([(bucket, int(part[own[0]]), squeeze(digest[own], n[own].astype(np.uint8), best[gather(begin[own], n[own])], key[own]))])
+            owns = [order[f : f + c] for f, c in zip(*runs(part[order]))]
+            yield _blobs([(bucket, int(part[own[0]]), squeeze(digest[own], n[own].astype(np.uint8), best[gather(begin[own], n[own])], key[own])) for own in owns])
 
     def groups(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each part: its contexts that hold a maximal repeat (a left-diverse interval of the tree), where, and which."""
