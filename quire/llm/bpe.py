@@ -143,7 +143,7 @@ class Coder:
             n = size[at]
             yield _batch([(home, block, WORDS, squeeze(places, n.astype(np.uint32), flat[gather(begin[at], n)].astype(np.uint32)))])
 
-    def finish(self, held: pa.Table, answers: pa.Table, whole: bool) -> Iterator[tuple]:
+    def finish(self, held: pa.Table, answers: pa.Table) -> Iterator[tuple]:
         """(doc_id, ids, decoded text) of every text of the blocks of one label."""
         pieces = self.pieces()
         own: dict[int, list[bytes]] = {}
@@ -189,7 +189,7 @@ def _coded(docs: DataFrame, vocabulary: str | None, schema: str, row) -> DataFra
     arrow = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
 
     def finish(held: pa.Table, own: pa.Table) -> pa.Table:
-        rows = [row(*x) for x in coder.finish(held, own, True)]
+        rows = [row(*x) for x in coder.finish(held, own)]
         cols = zip(*rows) if rows else [()] * len(names)
         return pa.table([pa.array(c, arrow[t]) for c, t in zip(cols, types)], names=list(names))
 

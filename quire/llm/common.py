@@ -41,12 +41,6 @@ def reliable_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """An eager, reliable checkpoint: survives the loss of any executor."""
-    reliable_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in row ranges of about ``limit`` bytes of text; a longer text stands alone."""
     if not batch.num_rows:

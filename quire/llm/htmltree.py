@@ -11,7 +11,6 @@ rest isn't part of it.
 from __future__ import annotations
 
 import html
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -124,14 +123,6 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def importance(pages: float, pages_log: float) -> float:
-    """1 - mean over a node's contents of log_m(pages with the content), m the pages of the node.
-
-    ``pages_log`` is the sum of c * ln c over contents found on c pages each: a content's entropy over m pages is log_m c.
-    """
-    return 1.0 if pages <= 1 else 1 - pages_log / (pages * math.log(pages))
-
-
 def main_text(page: str, low: frozenset[int]) -> str:
     """Text without low-importance and named branches; of the marked article only, where there is one."""
     found = blocks(page)
@@ -146,7 +137,11 @@ def _hosted(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataF
 
 
 def style_tree(hosted: DataFrame) -> DataFrame:
-    """(host, path, pages, importance) of every style node that is no named furniture; counts are added up before any exchange."""
+    """(host, path, pages, importance) of every style node that is no named furniture; counts are added up before any exchange.
+
+    A content that c of a node's m pages have has the entropy log_m c over them; the node's importance is 1 less the mean entropy of
+    its contents: 0 where all pages say the same, 1 where each says something of its own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, runs, shuffle_partitions, slices
+from .common import id_text, shuffle_partitions, slices
 from .components import Shelf, components
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
