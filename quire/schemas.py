@@ -2,13 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-
-def _struct(ddl: str) -> T.StructType:
-    return T._parse_datatype_string(ddl)
-
-
 BOX = "x0 double, y0 double, x1 double, y1 double"
 BLOCKS_DDL = (
     "book_id string, block_id bigint, page_no int, pos int, tag string, kind string, src_html string, dst_html string, "

@@ -503,3 +503,26 @@ def test_streams(spark, sf, tmp_path):
     seen = []
     streaming.watch_pages(spark, str(tmp_path / "in"), schema, lambda df, i: seen.append(df.count()), str(tmp_path / "cp")).awaitTermination()
     assert sum(seen) == html.leaf_blocks(spark.read.parquet(str(tmp_path / "in"))).count()
+
+
+def test_small_reports(spark):
+    blocks, _ = book(spark)
+    assert [(r.chunk_id, r.blocks, r.chars) for r in status.chunk_sizes(blocks).orderBy("chunk_id").collect()] == [(c, 2, 16) for c in range(4)]
+    sized = blocks.withColumn("layout", F.when(F.col("block_id") < 3, F.format_string('{"size":%d.5}', "block_id")))
+    assert layout.column_body_size(sized).first().body_size == 1.5
+    assert layout.column_body_size(blocks).first().body_size == 10.0
+    tried = spark.createDataFrame([("b", 0, 1.0, False), ("b", 0, 0.9, True), ("b", 0, 0.8, True), ("b", 1, 0.75, False)], "book_id string, page_no int, scale double, fits boolean")
+    assert {r.page_no: r.scale for r in packing.page_scale(tried).collect()} == {0: 0.9, 1: None}
+
+
+def test_event_stream(spark, sf, tmp_path):
+    from quire import streaming
+
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    events.write.parquet(str(tmp_path / "in"))
+    schema = ", ".join(f"{n} {t}" for n, t in events.dtypes)
+    got = streaming.event_rates(spark, str(tmp_path / "in"), schema)
+    q = got.writeStream.format("memory").queryName("rates").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    want = events.groupBy(F.window(F.col("ts").cast("timestamp"), "60 minutes"), "event_type").count()
+    assert spark.table("rates").agg(F.sum("n"), F.count("*")).first()[:] == want.agg(F.sum("count"), F.count("*")).first()[:]
