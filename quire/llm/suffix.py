@@ -13,6 +13,9 @@ texts (dealt to parts by id), and what moves between them is small and aggregate
    of a group and the smallest document of it go back to the parts.
 3. Parts mark the windows whose group starts in a smaller document.
 
+``maximal_repeats`` needs how often and after which bytes a window occurs, so it counts the windows of shared keys by
+their digests, and compares what follows the left-diverse ones as far as windows repeat without a gap.
+
 A copy, line or passage that a third of all documents hold is in each part once, however often it occurs there. A
 key with so many different contexts that it outweighs a bucket is dealt window by window, by the window's hash.
 """
@@ -132,11 +135,28 @@ class Windows:
             step = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             at, total = np.repeat(at, pieces) + step * cap, np.repeat(count, pieces)
             count = np.minimum(cap, total - step * cap)
-        m = mix64(least[at])
-        self.key = (m % np.uint64(buckets)) << np.uint64(32) | m >> np.uint64(32)
+        self.buckets, self.gram, self.least = buckets, gram, least
+        self.key = self.keys_of(least[at])
         self.at, self.count = at, count
         self.part = np.searchsorted(self.begins, at, side="right") - 1
 
+    def keys_of(self, least: np.ndarray) -> np.ndarray:
+        m = mix64(least)
+        return (m % np.uint64(self.buckets)) << np.uint64(32) | m >> np.uint64(32)
+
+    def chosen(self) -> np.ndarray:
+        """The key of every place whose k-gram is the least of a window: equal windows have it at two places, in one run or two."""
+        cap = self.min_len - self.gram + 1
+        if not len(self.least):
+            return np.zeros(0, np.uint64)
+        grams, edge = gram_hashes(self.buf, self.gram), np.zeros(cap - 1, np.uint64)
+        greatest = ~sliding_min(~np.r_[edge, self.least, edge], cap)  # of the windows that a place is in
+        return self.keys_of(grams[grams == greatest])
+
+    def every(self) -> np.ndarray:
+        """All windows."""
+        return gather(self.begins, np.maximum(0, self.sizes - self.min_len + 1))
+
     def contexts(self, at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(digest, begin, size) of the byte before and the bytes of ``count`` windows from ``at``."""
         size = count + self.min_len
@@ -245,21 +265,25 @@ class SuffixArray:
             tails = [bytes(self.buf[self.start[p] : self.end[p]]) for p in places]
             rank = sorted(range(n), key=tails.__getitem__)
             self.order[f : f + n] = places[rank]
-            tails = [tails[i] for i in rank]
-            left = self.left[self.order[f : f + n]]
-            lcp = [common_prefix(a, b) for a, b in zip(tails, tails[1:])] + [0]
-            stack: list[tuple[int, int, int, int]] = []  # first place, prefix, least and greatest left byte
-            for i, depth in enumerate(lcp):
-                first, lo, hi = i, int(left[i]), int(left[i])
-                while stack and stack[-1][1] > depth:
-                    a, d, l, h = stack.pop()
-                    lo, hi, first = min(lo, l), max(hi, h), a
-                    yield f + a, f + i, d, lo != hi or lo == START[0]
-                if depth >= self.min_len:
-                    if stack and stack[-1][1] == depth:
-                        a, d, l, h = stack.pop()
-                        lo, hi, first = min(lo, l), max(hi, h), a
-                    stack.append((first, depth, lo, hi))
+            for a, b, depth, diverse in tree([tails[i] for i in rank], self.left[self.order[f : f + n]].tolist(), self.min_len):
+                yield f + a, f + b, depth, diverse
+
+
+def tree(tails: list[bytes], left: list[int], min_len: int) -> Iterator[tuple[int, int, int, bool]]:
+    """(first, last, common prefix, left-diverse) of every interval of sorted strings with a common prefix of min_len or more."""
+    lcp = [common_prefix(a, b) for a, b in zip(tails, tails[1:])] + [0]
+    stack: list[tuple[int, int, int, int]] = []  # first place, prefix, least and greatest left byte
+    for i, depth in enumerate(lcp):
+        first, lo, hi = i, left[i], left[i]
+        while stack and stack[-1][1] > depth:
+            a, d, l, h = stack.pop()
+            lo, hi, first = min(lo, l), max(hi, h), a
+            yield a, i, d, lo != hi or lo == START[0]
+        if depth >= min_len:
+            if stack and stack[-1][1] == depth:
+                a, d, l, h = stack.pop()
+                lo, hi, first = min(lo, l), max(hi, h), a
+            stack.append((first, depth, lo, hi))
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -301,8 +325,9 @@ def _blobs(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 class Passes:
     """The functions of the passes, with their parameters."""
 
-    def __init__(self, min_len: int, gram: int, buckets: int):
-        self.min_len, self.gram, self.buckets = min_len, gram, buckets
+    def __init__(self, min_len: int, gram: int, buckets: int, within: bool = False):
+        """within: what occurs twice in one document is shared too."""
+        self.min_len, self.gram, self.buckets, self.within = min_len, gram, buckets, within
         self.label = labels(buckets)
 
     def windows(self, texts: Iterator[bytes]) -> Iterator[Windows]:
@@ -318,6 +343,10 @@ class Passes:
                 own = np.flatnonzero(part == p)
                 keys, docs = held.setdefault(int(p), ([], []))
                 for w in self.windows(texts_of(batch.column(1).take(pa.array(own)) if len(own) < len(part) else batch.column(1))):
+                    if self.within:
+                        keys.append(w.chosen())
+                        docs.append(np.arange(len(keys[-1])) + sum(map(len, docs)))  # every place by itself
+                        continue
                     keys.append(w.key)
                     docs.append(ids[own[w.rows[w.part]]])
         for part in held:
@@ -367,13 +396,17 @@ class Passes:
     def _table(self, table: pa.Table) -> tuple[np.ndarray, Iterator[bytes]]:
         return np.asarray(table.column("doc_id").combine_chunks().fill_null(NO_ID)) if table.num_rows else np.zeros(0, np.int64), texts_of(table.column("text"))
 
-    def contexts(self, texts: pa.Table, shared: pa.Table) -> pa.Table:
-        """Pass 2: the distinct contexts of a part, for each bucket, with their smallest and largest document."""
+    def _shared(self, shared: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """The shared keys of a part, and the hot ones."""
         plain, hot = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
         for b, blob in zip(shared.column("bucket").to_pylist(), shared.column("blob").to_pylist()):
             for to, raw in zip((plain, hot), unsqueeze(blob)):
                 to.append(np.frombuffer(raw, np.uint32).astype(np.uint64) | np.uint64(b << 32))
-        plain, hot = np.sort(np.concatenate(plain)), np.sort(np.concatenate(hot))
+        return np.sort(np.concatenate(plain)), np.sort(np.concatenate(hot))
+
+    def contexts(self, texts: pa.Table, shared: pa.Table) -> pa.Table:
+        """Pass 2: the distinct contexts of a part, for each bucket, with their smallest and largest document."""
+        plain, hot = self._shared(shared)
         ids, whole = self._table(texts)
         found = []
         for w in self.windows(whole):
@@ -445,48 +478,98 @@ class Passes:
             owns = [order[f : f + c] for f, c in zip(*runs(part[order]))]
             yield _blobs([(bucket, int(part[own[0]]), squeeze(digest[own], n[own].astype(np.uint8), best[gather(begin[own], n[own])], key[own])) for own in owns])
 
-    def groups(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each part: its contexts that hold a maximal repeat (a left-diverse interval of the tree), where, and which."""
+    def counts(self, texts: pa.Table, shared: pa.Table) -> pa.Table:
+        """The distinct windows of shared keys in a part, for each bucket: digest, occurrences (1 or more), least and greatest left byte."""
+        keys = np.sort(np.concatenate(self._shared(shared)))
+        held = (np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.uint8), np.zeros(0, np.uint8))
+        found, rows = [held], []
+        for w in self.windows(texts_of(texts.column("text"))):
+            _, win = w.single(np.flatnonzero(member(keys, w.key)))
+            left = w.buf[win - 1]
+            found.append(_by_window(digests(w.buf, win, win + self.min_len), np.ones(len(win), np.uint8), left, left))
+        digest, many, lo, hi = _by_window(*map(np.concatenate, zip(*found)))
+        bucket = (digest % np.uint64(self.buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        for f, n in zip(*runs(bucket[order])):
+            own = order[f : f + n]
+            rows.append((self.label[bucket[own[0]]], texts.column("part")[0].as_py(), squeeze(digest[own], many[own], lo[own], hi[own])))
+        return pa.Table.from_batches([_blobs(rows)])
+
+    def repeated(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each part: its windows that occur twice or more anywhere, and which of them are left-diverse."""
         for bucket, blobs in by_bucket(batches):
-            out: dict[int, list] = {}
-            for data, size, _, digest, part, at, _, key in self._arrays(blobs):
-                array, held = SuffixArray(data, size, self.min_len), {}
-                for first, last, depth, diverse in array.intervals():
-                    if diverse:
-                        places = array.order[first : last + 1]
-                        start = array.start[places[0]]
-                        group = xxhash.xxh64_intdigest(bytes(array.buf[start : start + depth]))
-                        for o, f in zip(array.owner[places].tolist(), array.offset[places].tolist()):
-                            held.setdefault(o, []).append((f, depth, group))
-                for p, k, y in zip(part.tolist(), at.tolist(), key.tolist()):
-                    out.setdefault(p, []).extend((int(digest[k]), *g, y) for g in held.get(k, ()))
-            for part, rows in out.items():
-                if rows:
-                    d, f, n, g, y = zip(*rows)
-                    yield _blobs([(bucket, part, squeeze(np.array(d, np.uint64), np.array(f, np.uint8), np.array(n, np.uint8), np.array(g, np.uint64), np.array(y, np.uint64)))])
-
-    def occurrences(self, texts: pa.Table, marks: pa.Table) -> pa.Table:
-        """(group, length, doc_id, start in bytes) of every occurrence in a part."""
-        found: dict[int, list] = {}
-        keys, hot = set(), set()
+            cols = [[np.frombuffer(x, t) for x, t in zip(unsqueeze(blob), (np.uint64, np.uint8, np.uint8, np.uint8))] for _, blob in blobs]
+            digest, many, lo, hi = _by_window(*map(np.concatenate, zip(*cols)))
+            twice = many > 1
+            digest, diverse = digest[twice], ((lo != hi) | (lo == START[0]))[twice]
+            rows = []
+            for (part, _), (mine, *_) in zip(blobs, cols):
+                mine = np.sort(mine[member(digest, mine)])
+                if len(mine):
+                    rows.append((bucket, part, squeeze(mine, diverse[np.searchsorted(digest, mine)])))
+            yield _blobs(rows)
+
+    def tails(self, texts: pa.Table, marks: pa.Table) -> Iterator[tuple[int, int, bytes, int, int]]:
+        """(window, left byte, tail, row, start) of every left-diverse window: the tail goes on as long as each window of it
+        is repeated. What two places have in common consists of repeated windows, so it lies inside both tails."""
+        digest, diverse = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
         for blob in marks.column("blob").to_pylist():
-            d, f, n, g, y = unsqueeze(blob)
-            cols = (np.frombuffer(d, np.uint64), np.frombuffer(f, np.uint8), np.frombuffer(n, np.uint8), np.frombuffer(g, np.int64), np.frombuffer(y, np.uint64))
-            for a, b, c, e, k in zip(*(c.tolist() for c in cols)):
-                found.setdefault(a, []).append((b, c, e))
-                (hot if k & HOT else keys).add(k & ~HOT)
-        wanted, hots = np.sort(np.array([*keys], np.uint64)), np.sort(np.array([*hot], np.uint64))
-        ids = texts.column("doc_id").to_pylist()
-        rows = set()
-        for w in self.windows(texts_of(texts.column("text"))) if found else ():
-            use = np.flatnonzero(member(wanted, w.key))
-            run, win = w.single(np.flatnonzero(member(hots, w.key)))
-            at, part = np.r_[w.at[use], win], w.part[np.r_[use, run]]
-            digest = w.contexts(at, np.r_[w.count[use], np.ones(len(win), np.int64)])[0]
-            place = at - w.begins[part] + w.bases[part]
-            rows.update((g, n, r, p + f) for x, r, p in zip(digest.tolist(), w.rows[part].tolist(), place.tolist()) for f, n, g in found.get(x, ()))
-        g, n, r, a = zip(*sorted(rows)) if rows else ((), (), (), ())
-        return pa.table([pa.array(g, pa.int64()), pa.array(n, pa.int64()), pa.array([ids[x] for x in r], pa.int64()), pa.array(a, pa.int64())], names=["group_id", "length", "doc_id", "start"])
+            d, v = unsqueeze(blob)
+            digest.append(np.frombuffer(d, np.uint64))
+            diverse.append(np.frombuffer(v, bool))
+        digest, diverse = np.concatenate(digest), np.concatenate(diverse)
+        order = np.argsort(digest)
+        digest, diverse = digest[order], diverse[order]
+        source = list(texts_of(texts.column("text")))
+        seen: dict[int, list] = {}
+        for w in self.windows(iter(source)) if len(digest) else ():
+            win = w.every()
+            mine = digests(w.buf, win, win + self.min_len)
+            hit = np.flatnonzero(member(digest, mine))
+            part = np.searchsorted(w.begins, win[hit], side="right") - 1
+            place = win[hit] - w.begins[part] + w.bases[part]
+            for f, n in zip(*runs(w.rows[part])):
+                own = hit[f : f + n]
+                seen.setdefault(int(w.rows[part[f]]), []).append((place[f : f + n], mine[own], diverse[np.searchsorted(digest, mine[own])]))
+        for r, got in seen.items():
+            place, window, starts = map(np.concatenate, zip(*got))  # by place
+            last = np.r_[np.flatnonzero(np.diff(place) != 1), len(place) - 1]  # of each stretch
+            text = source[r]
+            for k in np.flatnonzero(starts).tolist():
+                at = int(place[k])
+                stop = int(place[last[np.searchsorted(last, k)]]) + self.min_len
+                yield int(window[k]), text[at - 1] if at else START[0], text[at:stop], r, at
+
+    def occurrences(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(group, length, doc_id, start) of every occurrence, out of rows (window, tail, left, doc_id, start) sorted by the first two."""
+        out: list[list] = [[], [], [], []]
+
+        def groups(tails: list[bytes], left: list[int], ids: list, starts: list[int]) -> Iterator[pa.RecordBatch]:
+            for a, b, depth, diverse in tree(tails, left, self.min_len):
+                if diverse:
+                    group, n = xxhash.xxh64_intdigest(tails[a][:depth]), b - a + 1
+                    for to, x in zip(out, ([group - (1 << 64) if group >> 63 else group] * n, [depth] * n, ids[a : b + 1], starts[a : b + 1])):
+                        to.extend(x)
+                    if len(out[0]) >= 1 << 14:
+                        yield flush()
+
+        def flush() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["group_id", "length", "doc_id", "start"])
+            for x in out:
+                x.clear()
+            return batch
+
+        now, held = None, []
+        for batch in batches:
+            for window, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if window != now and held:
+                    yield from groups(*map(list, zip(*held)))
+                    held = []
+                now = window
+                held.append(row)
+        if held:
+            yield from groups(*map(list, zip(*held)))
+        yield flush()
 
     def covered(self, texts: pa.Table, marks: pa.Table) -> Iterator[tuple[int, bytes, np.ndarray | None]]:
         """Pass 3: (row, text, mask of its removed bytes) of every document of a part."""
@@ -540,6 +623,16 @@ def _by_digest(digest: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple
     return digest[order[first]], order[first], np.minimum.reduceat(least[order], first), np.maximum.reduceat(most[order], first)
 
 
+def _by_window(digest: np.ndarray, many: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct digests, how often each occurs (2: twice or more), the least and greatest byte on its left."""
+    order = np.argsort(digest, kind="stable")
+    first, _ = runs(digest[order])
+    if not len(first):
+        return digest, many, lo, hi
+    total = np.minimum(np.add.reduceat(many[order].astype(np.int64), first), 2).astype(np.uint8)
+    return digest[order[first]], total, np.minimum.reduceat(lo[order], first), np.maximum.reduceat(hi[order], first)
+
+
 def labels(n: int) -> list[int]:
     """For each of n partitions a number that Spark's hash partitioning (Murmur3, seed 42) sends there."""
     out: dict[int, int] = {}
@@ -571,12 +664,16 @@ def _dealt(df: DataFrame, n: int) -> DataFrame:
     return df.repartition(n, "bucket").sortWithinPartitions("bucket")
 
 
-def _context_blobs(docs: DataFrame, min_len: int, gram: int, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, Passes, int]:
+def _shared_keys(docs: DataFrame, min_len: int, gram: int, carry: tuple[str, ...] = (), within: bool = False) -> tuple[DataFrame, DataFrame, Passes, int]:
     if not 8 <= gram <= min_len <= 127:
         raise ValueError("8 <= gram <= min_len <= 127")
     n = shuffle_partitions(docs.sparkSession)
-    passes, parts = Passes(min_len, gram, n), _parts(docs, n, carry)
-    shared = _dealt(parts.mapInArrow(passes.keys, BLOBS), n).mapInArrow(passes.shared_keys, BLOBS)
+    passes, parts = Passes(min_len, gram, n, within), _parts(docs, n, carry)
+    return parts, _dealt(parts.mapInArrow(passes.keys, BLOBS), n).mapInArrow(passes.shared_keys, BLOBS), passes, n
+
+
+def _context_blobs(docs: DataFrame, min_len: int, gram: int, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, Passes, int]:
+    parts, shared, passes, n = _shared_keys(docs, min_len, gram, carry)
     contexts = parts.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(lambda texts, own: passes.contexts(texts, own), BLOBS)
     return parts, _dealt(contexts, n), passes, n
 
@@ -640,11 +737,20 @@ def without_repeats(docs: DataFrame, min_len: int = MIN_LEN, gram: int = GRAM) -
 def maximal_repeats(docs: DataFrame, min_len: int = MIN_LEN, gram: int = GRAM) -> DataFrame:
     """Maximal repeat groups with all their occurrences: group_id, length, doc_id, start (bytes), one row each.
 
-    A group is an interval of the common-prefix tree whose occurrences differ in the byte to their left (or begin a
-    text) and in the byte to their right, as far as the contexts around a key reach (up to 2 * min_len - gram bytes):
-    a longer repeat is given by the groups that tile it. Nulls, ids and empty tables are as in remove_repeats; the
-    occurrences of repeats within one text are given where another text has the key too.
+    A group is a string of ``min_len`` bytes or more, of whatever length, with two occurrences or more, in one text or
+    several, that differ in the byte to their left (or begin a text) and in the byte to their right (or end one): an
+    interval of the common-prefix tree over the places of a left-diverse window, whose strings are compared whole.
+    Nulls, ids and empty tables are as in remove_repeats; repeated rows count as occurrences of their own. All places of
+    one left-diverse window meet in one task.
     """
-    parts, contexts, passes, _ = _context_blobs(docs, min_len, gram)
-    groups = contexts.mapInArrow(passes.groups, BLOBS)
-    return parts.groupBy("part").cogroup(groups.groupBy("part")).applyInArrow(lambda texts, own: passes.occurrences(texts, own), "group_id long, length long, doc_id long, start long")
+    parts, shared, passes, n = _shared_keys(docs, min_len, gram, within=True)
+    counts = parts.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(lambda texts, own: passes.counts(texts, own), BLOBS)
+    marks = _dealt(counts, n).mapInArrow(passes.repeated, BLOBS)
+
+    def places(texts: pa.Table, own: pa.Table) -> pa.Table:
+        ids = texts.column("doc_id").to_pylist()
+        w, left, tail, row, at = zip(*rows) if (rows := list(passes.tails(texts, own))) else ((), (), (), (), ())
+        return pa.table([pa.array(np.array(w, np.uint64).view(np.int64)), pa.array(tail, pa.binary()), pa.array(left, pa.int32()), pa.array([ids[r] for r in row], pa.int64()), pa.array(at, pa.int64())], names=["window", "tail", "left", "doc_id", "start"])
+
+    found = parts.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(places, "window long, tail binary, left int, doc_id long, start long")
+    return found.repartition(n, "window").sortWithinPartitions("window", "tail").mapInArrow(passes.occurrences, "group_id long, length long, doc_id long, start long")

@@ -243,6 +243,47 @@ def test_maximal_repeats(make_docs):
     assert all(len({texts[d][s : s + n] for d, s in v}) == 1 and len(v) > 1 for (_, n), v in got.items())
 
 
+def plain_repeats(texts, m):
+    """{string: places} of all maximal repeats: what two places with different left sides have in common."""
+    raw = [t.encode() for t in texts]
+    by, out = {}, {}
+    for d, t in enumerate(raw):
+        for i in range(len(t) - m + 1):
+            by.setdefault(t[i : i + m], []).append((d, i))
+    for places in by.values():
+        for k, (d, i) in enumerate(places):
+            for e, j in places[:k]:
+                if i and j and raw[d][i - 1] == raw[e][j - 1]:
+                    continue
+                n = m
+                while i + n < len(raw[d]) and j + n < len(raw[e]) and raw[d][i + n] == raw[e][j + n]:
+                    n += 1
+                out[raw[d][i : i + n]] = None
+    for s in out:
+        out[s] = sorted((d, i) for d, i in by[s[:m]] if raw[d][i : i + len(s)] == s)
+    return out
+
+
+@pytest.mark.parametrize("case", ["copies", "three", "long", "within", "nested", "blocks"])
+def test_maximal_repeats_whole(make_docs, case):
+    rng = random.Random(case)
+    word = lambda n, of="abcdefghij": "".join(rng.choice(of) for _ in range(n))
+    p, q = word(300), word(120)
+    texts = {
+        "copies": [q, q, word(80)],
+        "three": [p, p, p, "1" + p],
+        "long": ["1" + p + "2" + word(90), word(70) + "3" + p + "4", "5" + p + "2", word(99)],
+        "within": ["1" + q + "2" + q + "3", "a" * 70, word(60)],
+        "nested": ["1" + p, "2" + p[:200] + "3", "4" + p[100:], p[100:200] + "5ü" + q, p + "ü" + q, "", None],
+        "blocks": [word(suffix.BLOCK - 100) + p + q + p, "x" + q + p + word(suffix.BLOCK), p + p],
+    }[case]
+    got = {}
+    for r in suffix.maximal_repeats(make_docs(texts)).collect():
+        got.setdefault((r.group_id, r.length), []).append((r.doc_id, r.start))
+    plain = plain_repeats([t or "" for t in texts], 50)
+    assert plain and {(xxhash.xxh64_intdigest(s) - (xxhash.xxh64_intdigest(s) >> 63 << 64), len(s)): v for s, v in plain.items()} == {k: sorted(v) for k, v in got.items()}
+
+
 # ---- embeddings
 
 
