@@ -1,18 +1,17 @@
 """Main text of web pages through a site style tree.
 
-The pages of a host are merged by the styles of their nodes: a style node is a path of elements with their classes. For
-each node, the entropy of its contents over the pages that have it says how much it carries: what is the same on page
+The distinct pages of a host are merged by the styles of their nodes: a style node is a path of elements with their classes,
+but for names with digits, which differ from page to page. For each node, the entropy of its contents over the pages that have it says how much it carries: what is the same on page
 after page (entropy 1 of a feature, importance 0) is furniture, what differs is text. Branches whose importance is
 low on their host are removed from each page, with those whose presentation (element, role, class or id) names them
 as menus, headers, footers, sidebars, notices, adverts, forms or comments; where a page marks its article, the
-rest isn't part of it.
+rest isn't part of it, and low branches inside the article go too, unless nothing would be left of it.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,8 +42,9 @@ NOISE_NAMES = frozenset(
     "form search toolbar pagination pager copyright legal disclaimer skip alert".split()
 )
 ARTICLE_NAMES = frozenset("articlebody article-body post-content entry-content".split())
-NAME = re.compile(r"[A-Za-z]+")
+NAME, DIGIT = re.compile(r"[A-Za-z]+"), re.compile(r"\d")
 
+BLOCK_LIST = pa.list_(pa.struct([("path", pa.int64()), ("content", pa.int64())]))
 Block = tuple[int, str, bool, bool]  # path's hash, text, presentation is noise, inside an article
 
 
@@ -52,7 +52,7 @@ class _Node:
     __slots__ = ("tag", "path", "noise", "article")
 
     def __init__(self, tag: str, attributes: str, parent: "_Node | None"):
-        names, role = "", ""
+        names, role, style = "", "", set()
         if attributes and "=" in attributes:
             for m in ATTRIBUTE.finditer(attributes):
                 value = (m[2] or m[3] or m[4] or "").lower()
@@ -60,9 +60,11 @@ class _Node:
                     role = value
                 else:
                     names += f" {value}"
+                    if m[1].lower() == "class":
+                        style.update(w for w in value.split() if not DIGIT.search(w))
         words = names.split()
         self.tag = tag
-        self.path = f"{parent.path if parent else ''}>{tag}{'.' + '.'.join(sorted(words)) if words else ''}"
+        self.path = f"{parent.path if parent else ''}>{tag}{'.' + '.'.join(sorted(style)) if style else ''}"
         up_noise, up_article = (parent.noise, parent.article) if parent else (False, False)
         self.article = up_article or tag in ("article", "main") or role in ("main", "article") or any(w in ARTICLE_NAMES for w in words)
         own = tag in NOISE_TAGS or (tag == "header" and not up_article) or role in NOISE_ROLES
@@ -124,10 +126,12 @@ def blocks(page: str) -> list[Block]:
 
 
 def main_text(page: str, low: frozenset[int]) -> str:
-    """Text without low-importance and named branches; of the marked article only, where there is one."""
-    found = blocks(page)
-    article = any(b[3] and not b[2] for b in found)
-    return " ".join(t for path, t, noise, inside in found if not noise and (inside if article else path not in low))
+    """Text without low-importance and named branches; of the marked article only, where there is one. An article that
+    consists of low branches alone stays: where all pages of a host hold one article, it is no furniture."""
+    found = [b for b in blocks(page) if not b[2]]
+    own = [b for b in found if b[3]]
+    left = [b for b in own or found if b[0] not in low]
+    return " ".join(b[1] for b in left or own)
 
 
 def _hosted(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
@@ -137,7 +141,8 @@ def _hosted(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataF
 
 
 def style_tree(hosted: DataFrame) -> DataFrame:
-    """(host, path, pages, importance) of every style node that is no named furniture; counts are added up before any exchange.
+    """(host, path, pages, importance) of every style node that is no named furniture. Pages of a host with the same blocks count
+    once, so that copies of an article don't make it furniture; digests alone are exchanged.
 
     A content that c of a node's m pages have has the entropy log_m c over them; the node's importance is 1 less the mean entropy of
     its contents: 0 where all pages say the same, 1 where each says something of its own.
@@ -145,14 +150,16 @@ def style_tree(hosted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            count: Counter = Counter()
+            pages: dict = {}  # (host, digest of the page's blocks): its blocks
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                count.update({(host, path, xxhash.xxh64_intdigest(text) >> 1) for path, text, noise, _ in blocks(page) if not noise})
-            h, p, c = zip(*count) if count else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.string()), pa.array(p, pa.int64()), pa.array(c, pa.int64()), pa.array(list(count.values()), pa.int64())], ["host", "path", "content", "n"])
-
-    seen = hosted.select("host", "html").mapInArrow(run, "host string, path long, content long, n long")
-    contents = seen.groupBy("host", "path", "content").agg(F.sum("n").alias("n"))
+                own = sorted({(path, xxhash.xxh64_intdigest(text) >> 1) for path, text, noise, _ in blocks(page) if not noise})
+                pages[host, xxhash.xxh64_intdigest(repr(own)) >> 1] = [{"path": p, "content": c} for p, c in own]
+            h, p = zip(*pages) if pages else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.string()), pa.array(p, pa.int64()), pa.array(list(pages.values()), BLOCK_LIST)], ["host", "page", "blocks"])
+
+    seen = hosted.select("host", "html").mapInArrow(run, "host string, page long, blocks array<struct<path: long, content: long>>")
+    distinct = seen.dropDuplicates(["host", "page"]).select("host", F.explode("blocks").alias("b"))
+    contents = distinct.groupBy("host", "b.path", "b.content").agg(F.count("*").alias("n"))
     nodes = contents.groupBy("host", "path").agg(F.sum("n").cast("double").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("pages_log"))
     return nodes.select("host", "path", "pages", F.when(F.col("pages") <= 1, 1.0).otherwise(1 - F.col("pages_log") / (F.col("pages") * F.log("pages"))).alias("importance"))
 

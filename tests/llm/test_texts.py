@@ -233,3 +233,23 @@ def test_pages(spark, sf):
 
 def test_registered():
     assert sorted(queries.queries()) == sorted(f"op{i}_{n}" for i, n in ((1, "harmonic_packing"), (2, "repetition_rules"), (3, "interval_tree_dedup"), (4, "factorization_toxicity"), (5, "style_tree_text"), (6, "anchor_pii"), (7, "url_automaton"), (8, "distinct_word_bpe"), (9, "kmeans_embeddings"), (10, "simhash_bk_trees")))
+
+
+def test_repeated_blocks_inside_an_article(spark):
+    page = lambda i, body: f"<html><body id='b{i}' class='page postid-{i}'><article id='post-{i}' class='post-{i} entry'><h1>Title {i}</h1>{body}</article></body></html>"
+    box = "<div class='extra'>The same words on every page</div>"
+    rows = [(i, f"http://a.org/{i}", page(i, f"<p>Story {i} of its own</p>{box}")) for i in range(20)]
+    rows += [(100 + i, f"http://copies.org/{i}", page(7, f"<p>One story in many places</p>{box}")) for i in range(200)]
+    rows += [(400 + i, f"http://copies.org/own{i}", page(50 + i, f"<p>Story {i} beside copies</p>{box}")) for i in range(9)]
+    rows += [(500 + i, f"http://few.org/{i}", page(i, f"<p>Few {i}</p>{box}")) for i in range(4)]
+    rows += [(600 + i, f"http://same.org/{i}", "<main><p>All of it</p></main>" + f"<div>Other {i}</div>") for i in range(20)]
+    got = {r.page_id: r.text for r in htmltree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {i: f"Title {i} Story {i} of its own" for i in range(20)} | {100 + i: "Title 7 One story in many places" for i in range(200)}
+    want |= {400 + i: f"Title {50 + i} Story {i} beside copies" for i in range(9)} | {500 + i: f"Title {i} Few {i} The same words on every page" for i in range(4)}
+    assert got == want | {600 + i: "All of it" for i in range(20)}
+
+
+def test_repeated_blocks_of_pages_without_article(spark):
+    rows = [(i, f"http://a.org/{i}", f"<body id='b{i}' class='page postid-{i}'><p>Story {i} of its own</p><div id='x{i}'>The same words on every page</div></body>") for i in range(20)]
+    got = {r.page_id: r.text for r in htmltree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i} of its own" for i in range(20)}
