@@ -8,13 +8,13 @@ texts (dealt to parts by id), and what moves between them is small and aggregate
    hold; buckets of keys send back those that more than one document has.
 2. Parts send the *contexts* of these keys: a run of neighbouring windows with one key, as a string of bytes
    (window start of the first to window end of the last), distinct, with the smallest document that has it.
-   Equal windows have equal keys, so they meet in one bucket. There, a suffix array over all window starts, its
-   common prefixes and the tree of its common-prefix intervals give the groups of equal substrings; the windows
-   of a group and the smallest document of it go back to the parts.
+   Equal windows have equal keys, so they meet in one bucket. There, all window starts are sorted; equal neighbours
+   (the top level of the tree of common-prefix intervals) are a group; the windows of a group and the smallest
+   document of it go back to the parts.
 3. Parts mark the windows whose group starts in a smaller document.
 
 ``maximal_repeats`` needs how often and after which bytes a window occurs, so it counts the windows of shared keys by
-their digests, and compares what follows the left-diverse ones as far as windows repeat without a gap.
+their digests, and compares what follows the left-diverse ones as far as windows repeat without a gap, by the whole tree of their intervals.
 
 A copy, line or passage that a third of all documents hold is in each part once, however often it occurs there. A
 key with so many different contexts that it outweighs a bucket is dealt window by window, by the window's hash.
