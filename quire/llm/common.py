@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts of one Arrow batch are worked on in slices of about so many bytes, so that
@@ -95,5 +95,28 @@ def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.r_[starts, len(keys)])
 
 
+def labels(n: int) -> list[int]:
+    """For each of n partitions a number that Spark's hash partitioning (Murmur3, seed 42) sends there: the number whose hash is
+    the partition's, found by taking the hash's steps backwards."""
+    full = (1 << 32) - 1
+    h = np.arange(n, dtype=np.uint64)
+    times = lambda x, c: x * np.uint64(pow(c, -1, 1 << 32)) & np.uint64(full)
+    back = lambda x, r: (x >> np.uint64(r) | x << np.uint64(32 - r)) & np.uint64(full)
+    h ^= h >> np.uint64(16)
+    h = times(h, 0xC2B2AE35)
+    h ^= h >> np.uint64(13) ^ h >> np.uint64(26)
+    h = times(h, 0x85EBCA6B)
+    h ^= h >> np.uint64(16)
+    h = back(times((h ^ np.uint64(4)) + np.uint64((1 << 32) - 0xE6546B64), 5), 13)
+    h = times(back(times(h ^ np.uint64(42), 0x1B873593), 15), 0xCC9E2D51)
+    return h.astype(np.uint32).view(np.int32).tolist()
+
+
+def label_column(place: Column, n: int) -> Column:
+    """labels(n) at ``place``: one folded literal, not n expressions."""
+    told = F.split(F.lit(",".join(map(str, labels(n)))), ",").cast("array<int>")
+    return F.element_at(told, (place + 1).cast("int"))
+
+
 def unique_name(prefix: str) -> str:
     return f"{prefix}_{uuid.uuid4().hex[:12]}"

@@ -8,10 +8,12 @@ texts (dealt to parts by id), and what moves between them is small and aggregate
    hold; buckets of keys send back those that more than one document has.
 2. Parts send the *contexts* of these keys: a run of neighbouring windows with one key, as a string of bytes
    (window start of the first to window end of the last), distinct, with the smallest document that has it.
-   Equal windows have equal keys, so they meet in one bucket. There, all window starts are sorted; equal neighbours
-   (the top level of the tree of common-prefix intervals) are a group; the windows of a group and the smallest
-   document of it go back to the parts.
-3. Parts mark the windows whose group starts in a smaller document.
+   Equal windows have equal keys, so they meet in one bucket. There, an enhanced suffix array of all window starts is
+   scanned with a stack: every interval of the tree of common prefixes is a repeat with all its places, its smallest
+   document and whether the bytes on its left differ. Left-diverse intervals (the others are inside a longer repeat) go
+   back to the parts, as spans of their contexts with that document.
+3. Parts take out the spans whose repeat also starts in a smaller document. That is all of it: a window's places are
+   those of the maximal repeat around it, so the windows of smaller documents cover what these spans cover.
 
 ``maximal_repeats`` needs how often and after which bytes a window occurs, so it counts the windows of shared keys by
 their digests, and compares what follows the left-diverse ones as far as windows repeat without a gap, by the whole tree of their intervals.
@@ -32,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, mix64, runs, shuffle_partitions
+from .common import id_text, label_column, labels, mix64, runs, shuffle_partitions
 
 MIN_LEN, GRAM = 50, 24
 BLOCK = 1 << 18  # bytes worked on at once
@@ -228,7 +230,6 @@ class SuffixArray:
         self.owner = np.repeat(np.arange(len(size)), wins)
         self.offset = gather(np.zeros(len(wins), np.int64), wins)
         start = begin[self.owner] + 1 + self.offset
-        self.first_window = np.cumsum(wins) - wins
         buf = np.r_[data, np.zeros(8 + 2 * min_len, np.uint8)]
         words = np.zeros(len(buf) - 7, np.uint64)
         for j in range(8):
@@ -240,50 +241,112 @@ class SuffixArray:
         for k in keys:
             k = k[self.order]
             same &= k[1:] == k[:-1]
-        self.same, self.left, self.start, self.buf = same, buf[start - 1], start, buf
+        self.same, self.left, self.start, self.buf, self.words = same, buf[start - 1], start, buf, words
         self.end = begin[self.owner] + size[self.owner]
 
     def top(self) -> np.ndarray:
         """Group of each place of the order: places with a common prefix of min_len or more to their neighbours."""
         return np.cumsum(np.r_[0, ~self.same]) if len(self.order) else np.zeros(0, np.int64)
 
-    def least_by_window(self, least: np.ndarray) -> np.ndarray:
-        """For each window, in the order of contexts, the smallest document that has its string."""
-        own = least[self.owner[self.order]]
-        firsts = np.flatnonzero(np.r_[True, ~self.same]) if len(own) else np.zeros(0, np.int64)
-        out = np.empty(len(own), np.int64)
-        if len(own):
-            out[self.order] = np.minimum.reduceat(own, firsts)[self.top()]
-        return out
-
-    def intervals(self) -> Iterator[tuple[int, int, int, bool]]:
-        """(first place, last place, common prefix, left-diverse) of every interval of the tree with a common
-        prefix of min_len or more, by one scan with a stack. Inside a group, places are put in full order first."""
-        group_first, group_size = runs(self.top())
-        for f, n in zip(group_first[group_size > 1], group_size[group_size > 1]):
-            places = self.order[f : f + n]
-            tails = [bytes(self.buf[self.start[p] : self.end[p]]) for p in places]
-            rank = sorted(range(n), key=tails.__getitem__)
-            self.order[f : f + n] = places[rank]
-            for a, b, depth, diverse in tree([tails[i] for i in rank], self.left[self.order[f : f + n]].tolist(), self.min_len):
-                yield f + a, f + b, depth, diverse
+    def full(self) -> tuple[np.ndarray, np.ndarray]:
+        """The places that share their first min_len bytes with another, in full order, and the common prefix of each with the next
+        one: of all bytes up to the shorter's end, 0 where a group ends."""
+        group = self.top()
+        size = runs(group)[1]
+        many = np.repeat(size > 1, size)
+        place, group = self.order[many], group[many]
+        more = self.end[place] - self.start[place] - self.min_len  # bytes that the first sort didn't see
+        keys = []
+        for at in range(0, int(more.max(initial=0)), 8):
+            own = np.clip(more - at, 0, 8)  # zeros stand for what lies beyond a tail's end
+            mask = np.where(own > 0, ~np.uint64(0) << np.uint64(8) * (np.uint64(8) - np.maximum(own, 1).astype(np.uint64)), np.uint64(0))
+            keys.append(self.words[np.minimum(self.start[place] + self.min_len + at, len(self.words) - 1)] & mask)
+        order = np.lexsort((more, *keys[::-1], group))
+        place, group, more = place[order], group[order], more[order]
+        lcp = np.zeros(len(place), np.int64)
+        if len(place):
+            common, alive = np.zeros(len(place) - 1, np.int64), np.ones(len(place) - 1, bool)
+            for key in keys:
+                differ = key[order][1:] ^ key[order][:-1]
+                common += alive * sum((differ < np.uint64(1) << np.uint64(8 * b)).astype(np.int64) for b in range(8))
+                alive &= differ == 0
+            lcp[:-1] = np.where(group[1:] == group[:-1], self.min_len + np.minimum(common, np.minimum(more[1:], more[:-1])), 0)
+        return place, lcp
+
+    def spans(self, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(context, offset, length, document) of what repeats: the ``length`` bytes from ``offset`` of a context also start in ``document``.
+
+        For every place, the intervals of the tree that hold it are passed from the deepest up; each whose smallest document is
+        smaller than those below it is given, as long as it is left-diverse. One that isn't is inside a longer one that begins
+        a byte earlier. A context's first place counts as diverse: what stands before it is another context's business.
+        """
+        n = np.bincount(self.owner, minlength=len(least))
+        found = [(np.arange(len(least)), np.zeros(len(least), np.int64), n + self.min_len - 1, least)]  # the context itself
+        place, lcp = self.full()
+        owner, offset = self.owner[place], self.offset[place]
+        left = self.left[place].astype(np.int64)
+        tree = IntervalTree(lcp, least[owner], np.where(offset == 0, -1, left), np.where(offset == 0, 256, left))
+        at, best, live = tree.leaf, least[owner], np.arange(len(place))
+        while len(live):
+            fewer = tree.least[at] < best
+            give = fewer & (tree.lo[at] != tree.hi[at])
+            found.append((owner[live[give]], offset[live[give]], tree.depth[at[give]], tree.least[at[give]]))
+            best = np.minimum(best, tree.least[at])
+            at = tree.parent[at]
+            go = at >= 0
+            at, best, live = at[go], best[go], live[go]
+        return tuple(map(np.concatenate, zip(*found)))
+
+
+class IntervalTree:
+    """The tree of common-prefix intervals of sorted places, by one scan with a stack.
+
+    ``lcp[i]`` is the common prefix of place i and the next one; below 1 no interval joins them. For every interval: ``depth`` (its
+    common prefix), ``first`` and ``last`` place, ``least`` (smallest document), ``lo`` and ``hi`` (least and greatest left byte: they
+    differ where it is left-diverse) and ``parent`` (-1: none); ``leaf`` is the deepest interval of each place (-1: none).
+    """
+
+    def __init__(self, lcp: np.ndarray, least: np.ndarray, lo: np.ndarray, hi: np.ndarray):
+        depth, first, last, low, least_byte, most_byte, parent = [], [], [], [], [], [], []
+        leaf: list[int] = []
+        stack: list[int] = []
+
+        def node(d: int, at: int) -> int:
+            for to, x in ((depth, d), (first, at), (last, at), (low, NO_ID), (least_byte, 257), (most_byte, -2), (parent, -1)):
+                to.append(x)
+            stack.append(len(depth) - 1)
+            return stack[-1]
+
+        def merge(to: int, end: int, doc: int, a: int, b: int) -> None:
+            last[to] = end
+            if doc < low[to]:
+                low[to] = doc
+            if a < least_byte[to]:
+                least_byte[to] = a
+            if b > most_byte[to]:
+                most_byte[to] = b
+
+        for i, (d, doc, a, b) in enumerate(zip(lcp.tolist(), least.tolist(), lo.tolist(), hi.tolist())):
+            own = stack[-1] if stack and depth[stack[-1]] >= d else node(d, i) if d > 0 else -1
+            leaf.append(own)
+            if own >= 0:
+                merge(own, i, doc, a, b)
+            while stack and depth[stack[-1]] > d:
+                done = stack.pop()
+                up = stack[-1] if stack and depth[stack[-1]] >= d else node(d, first[done]) if d > 0 else -1
+                parent[done] = up
+                if up >= 0:
+                    merge(up, i, low[done], least_byte[done], most_byte[done])
+        self.depth, self.first, self.last, self.least, self.lo, self.hi, self.parent, self.leaf = (np.array(x, np.int64) for x in (depth, first, last, low, least_byte, most_byte, parent, leaf))
 
 
 def tree(tails: list[bytes], left: list[int], min_len: int) -> Iterator[tuple[int, int, int, bool]]:
     """(first, last, common prefix, left-diverse) of every interval of sorted strings with a common prefix of min_len or more."""
-    lcp = [common_prefix(a, b) for a, b in zip(tails, tails[1:])] + [0]
-    stack: list[tuple[int, int, int, int]] = []  # first place, prefix, least and greatest left byte
-    for i, depth in enumerate(lcp):
-        first, lo, hi = i, left[i], left[i]
-        while stack and stack[-1][1] > depth:
-            a, d, l, h = stack.pop()
-            lo, hi, first = min(lo, l), max(hi, h), a
-            yield a, i, d, lo != hi or lo == START[0]
-        if depth >= min_len:
-            if stack and stack[-1][1] == depth:
-                a, d, l, h = stack.pop()
-                lo, hi, first = min(lo, l), max(hi, h), a
-            stack.append((first, depth, lo, hi))
+    lcp = np.array([n if n >= min_len else 0 for n in (common_prefix(a, b) for a, b in zip(tails, tails[1:]))] + [0], np.int64)
+    side = np.array(left, np.int64)
+    t = IntervalTree(lcp, np.zeros(len(tails), np.int64), side, side)
+    for a, b, depth, lo, hi in zip(t.first.tolist(), t.last.tolist(), t.depth.tolist(), t.lo.tolist(), t.hi.tolist()):
+        yield a, b, depth, lo != hi or lo == START[0]
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -329,6 +392,7 @@ class Passes:
         """within: what occurs twice in one document is shared too."""
         self.min_len, self.gram, self.buckets, self.within = min_len, gram, buckets, within
         self.label = labels(buckets)
+        self.place = {label: place for place, label in enumerate(self.label)}
 
     def windows(self, texts: Iterator[bytes]) -> Iterator[Windows]:
         for b in blocks(texts, self.min_len):
@@ -386,7 +450,7 @@ class Passes:
             hot = shared & (np.add.reduceat(count[order], first) * HOT_SHARE > max(count.sum(), 1 << 14))
             flag = np.empty(len(key), np.uint8)
             flag[order] = np.repeat(shared + hot.astype(np.uint8), n)
-            place, rows = self.label.index(bucket), []
+            place, rows = self.place[bucket], []
             for (part, _), stop, size in zip(blobs, ends, np.diff(np.r_[0, ends])):  # a part's keys lie together
                 own, what = key[stop - size : stop], flag[stop - size : stop]
                 if what.any():
@@ -463,20 +527,27 @@ class Passes:
             yield data[gather(begin[one], size[one])], size[one], low, unique, part[own], at, most[own], key[own]
 
     def marks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each part: contexts with windows that a document smaller than one of the part's has, and the smallest."""
+        """For each part: its contexts with a span that a document smaller than one of the part's has, and these spans."""
         for bucket, blobs in by_bucket(batches):
             out = []
             for data, size, least, digest, part, at, most, key in self._arrays(blobs):
-                array = SuffixArray(data, size, self.min_len)
-                best = array.least_by_window(least)
-                n = size - self.min_len
-                use = np.flatnonzero(np.minimum.reduceat(best, array.first_window)[at] < most)
-                k = at[use]
-                out.append((part[use], digest[k], n[k], key[use], best[gather(array.first_window[k], n[k])]))
-            part, digest, n, key, best = map(np.concatenate, zip(*out))
-            begin, order = np.cumsum(n) - n, np.argsort(part, kind="stable")
-            owns = [order[f : f + c] for f, c in zip(*runs(part[order]))]
-            yield _blobs([(bucket, int(part[own[0]]), squeeze(digest[own], n[own].astype(np.uint8), best[gather(begin[own], n[own])], key[own])) for own in owns])
+                owner, offset, length, doc = SuffixArray(data, size, self.min_len).spans(least)
+                order = np.argsort(owner, kind="stable")
+                begin, many = np.searchsorted(owner[order], np.arange(len(size))), np.bincount(owner, minlength=len(size))
+                rows, which = np.repeat(np.arange(len(at)), many[at]), order[gather(begin[at], many[at])]
+                use = doc[which] < most[rows]
+                rows, which = rows[use], which[use]
+                first, count = runs(rows)
+                own = rows[first]  # shares with a span
+                out.append((part[own], digest[at[own]], size[at[own]] - self.min_len, key[own], count, offset[which], length[which], doc[which]))
+            part, digest, n, key, count, offset, length, doc = map(np.concatenate, zip(*out))
+            begin, order = np.cumsum(count) - count, np.argsort(part, kind="stable")
+            rows = []
+            for f, c in zip(*runs(part[order])):
+                own = order[f : f + c]
+                of = gather(begin[own], count[own])
+                rows.append((bucket, int(part[own[0]]), squeeze(digest[own], n[own].astype(np.uint8), key[own], count[own].astype(np.uint16), offset[of].astype(np.uint8), length[of].astype(np.uint8), doc[of])))
+            yield _blobs(rows)
 
     def counts(self, texts: pa.Table, shared: pa.Table) -> pa.Table:
         """The distinct windows of shared keys in a part, for each bucket: digest, occurrences (1 or more), least and greatest left byte."""
@@ -573,13 +644,13 @@ class Passes:
 
     def covered(self, texts: pa.Table, marks: pa.Table) -> Iterator[tuple[int, bytes, np.ndarray | None]]:
         """Pass 3: (row, text, mask of its removed bytes) of every document of a part."""
-        cols: list[list] = [[np.zeros(0, t)] for t in (np.uint64, np.int64, np.int64, np.uint64)]
+        cols: list[list] = [[np.zeros(0, t)] for t in (np.uint64, np.int64, np.uint64, np.int64, np.int64, np.int64, np.int64)]
         for blob in marks.column("blob").to_pylist():
-            for to, raw, t in zip(cols, unsqueeze(blob), (np.uint64, np.uint8, np.int64, np.uint64)):
+            for to, raw, t in zip(cols, unsqueeze(blob), (np.uint64, np.uint8, np.uint64, np.uint16, np.uint8, np.uint8, np.int64)):
                 to.append(np.frombuffer(raw, t).astype(to[0].dtype))
-        digest, size, best, key = map(np.concatenate, cols)
-        begin, order = np.cumsum(size) - size, np.argsort(digest)
-        digest, size, begin = digest[order], size[order], begin[order]
+        digest, size, key, many, offset, length, least = map(np.concatenate, cols)
+        begin, order = np.cumsum(many) - many, np.argsort(digest)
+        digest, size, begin, many = digest[order], size[order], begin[order], many[order]
         hot = np.unique(key[key >= np.uint64(HOT)] & np.uint64(HOT - 1))
         keys = np.unique(key[key < np.uint64(HOT)])
         ids, whole = self._table(texts)
@@ -599,12 +670,12 @@ class Passes:
             mine = w.contexts(at, count)[0]
             place = np.minimum(np.searchsorted(digest, mine), len(digest) - 1)
             hit = np.flatnonzero((digest[place] == mine) & (size[place] == count))
-            n, place = count[hit], place[hit]
-            dup = best[gather(begin[place], n)] < np.repeat(ids[w.rows[part[hit]]], n)
-            starts = gather(at[hit], n)[dup]
+            n, of = many[place[hit]], gather(begin[place[hit]], many[place[hit]])
+            dup = least[of] < np.repeat(ids[w.rows[part[hit]]], n)
+            starts, of = (np.repeat(at[hit], n) + offset[of])[dup], of[dup]
             if not len(starts):
                 continue
-            edge = np.bincount(starts, minlength=len(w.buf) + 1) - np.bincount(starts + self.min_len, minlength=len(w.buf) + 1)
+            edge = np.bincount(starts, minlength=len(w.buf) + 1) - np.bincount(starts + length[of], minlength=len(w.buf) + 1)
             mask = np.cumsum(edge[:-1]) > 0
             for p in np.unique(np.searchsorted(w.begins, starts, side="right") - 1):
                 row, a, b = int(w.rows[p]), w.begins[p], w.sizes[p]
@@ -633,29 +704,12 @@ def _by_window(digest: np.ndarray, many: np.ndarray, lo: np.ndarray, hi: np.ndar
     return digest[order[first]], total, np.minimum.reduceat(lo[order], first), np.maximum.reduceat(hi[order], first)
 
 
-def labels(n: int) -> list[int]:
-    """For each of n partitions a number that Spark's hash partitioning (Murmur3, seed 42) sends there."""
-    out: dict[int, int] = {}
-    mask, x, rot = np.uint64(0xFFFFFFFF), 0, lambda v, r: ((v << np.uint64(r)) | (v >> np.uint64(32 - r))) & np.uint64(0xFFFFFFFF)
-    while len(out) < n:
-        v = np.arange(x, x + 8 * n + 64, dtype=np.uint64)
-        h = rot(v * np.uint64(0xCC9E2D51) & mask, 15) * np.uint64(0x1B873593) & mask
-        h = (rot(h ^ np.uint64(42), 13) * np.uint64(5) + np.uint64(0xE6546B64)) & mask ^ np.uint64(4)
-        h = (h ^ h >> np.uint64(16)) * np.uint64(0x85EBCA6B) & mask
-        h = (h ^ h >> np.uint64(13)) * np.uint64(0xC2B2AE35) & mask
-        h = (h ^ h >> np.uint64(16)).astype(np.uint32).view(np.int32).astype(np.int64) % n
-        for place, value in zip(h.tolist(), v.tolist()):
-            out.setdefault(place, value)
-        x += 8 * n + 64
-    return [out[i] for i in range(n)]
-
-
 # ---- operators -----------------------------------------------------------------------------------------------
 
 
 def _parts(docs: DataFrame, n: int, carry: tuple[str, ...] = ()) -> DataFrame:
     """One exchange of the texts, in n parts of about one size; every pass reads it again. ``carry``: columns to take along."""
-    part = F.element_at(F.array(*map(F.lit, labels(n))), (F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)) + 1).cast("int"))
+    part = label_column(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)), n)
     own = id_text(docs) if not carry else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)))
     return own.select("doc_id", "text", part.alias("part"), *own.columns[2:]).repartition(n, "part")
 

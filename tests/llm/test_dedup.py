@@ -201,33 +201,70 @@ def test_whole_characters(make_docs):
     assert kept[1].text == "yz" and kept[1].n_chars == 2 and kept[1].lang == "en"
 
 
+def distinct_contexts(rng, n=30, of=b"ab", sizes=(12, 25)):
+    return list({bytes([255]) + bytes(rng.choice(of) for _ in range(rng.randrange(*sizes))) for _ in range(n)})
+
+
 def test_suffix_array_and_tree():
+    """Every right-maximal string of a set of contexts is an interval of the tree, with its places and their left bytes."""
     rng = random.Random(2)
-    ctx = list({bytes([255]) + bytes(rng.choice(b"ab") for _ in range(rng.randrange(12, 25))) for _ in range(30)})
-    size = np.array([len(c) for c in ctx])
-    m = 10
-    array = suffix.SuffixArray(np.frombuffer(b"".join(ctx), np.uint8), size, m)
+    ctx, m = distinct_contexts(rng), 10
+    array = suffix.SuffixArray(np.frombuffer(b"".join(ctx), np.uint8), np.array([len(c) for c in ctx]), m)
     wins = [(i, j, ctx[i][1 + j :]) for i in range(len(ctx)) for j in range(len(ctx[i]) - m)]
-    groups = array.top()
     by = {}
-    for place, g in zip(array.order, groups):
+    for place, g in zip(array.order, array.top()):
         by.setdefault(g, []).append(wins[place][2][:m])
     assert all(len(set(v)) == 1 for v in by.values()) and len(by) == len({w[2][:m] for w in wins})
     assert [v[0] for _, v in sorted(by.items())] == sorted({w[2][:m] for w in wins})
-    found = {}
-    for a, b, depth, diverse in array.intervals():
-        s = wins[array.order[a]][2][:depth]
-        found[s] = (b - a + 1, diverse)
+    place, lcp = array.full()
+    assert [wins[p][2] for p in place] == sorted(wins[p][2] for p in place)
+    left = array.left[place].astype(np.int64)
+    tree = suffix.IntervalTree(lcp, array.owner[place], left, left)
+    found = {wins[place[a]][2][:d]: (b - a + 1, least, lo, hi) for a, b, d, least, lo, hi in zip(tree.first, tree.last, tree.depth, tree.least, tree.lo, tree.hi)}
     occ = {}
     for i, j, tail in wins:
         for k in range(m, len(tail) + 1):
             occ.setdefault(tail[:k], []).append((i, j, tail))
     for s, places in occ.items():
         right = {t[len(s)] if len(t) > len(s) else (i, j) for i, j, t in places}
-        if len(places) > 1 and len(right) > 1:  # right-maximal: an interval of the tree
-            lefts = {ctx[i][j] for i, j, _ in places}
-            assert found[s] == (len(places), len(lefts) > 1 or 255 in lefts)
-    assert all(len(occ[s]) == n for s, (n, _) in found.items())
+        lefts = [ctx[i][j] for i, j, _ in places]
+        assert (s in found) == (len(places) > 1 and len(right) > 1)
+        if s in found:
+            assert found[s] == (len(places), min(i for i, _, _ in places), min(lefts), max(lefts))
+
+
+@pytest.mark.parametrize("seed, of, sizes", [(1, b"ab", (10, 30)), (2, b"abc", (10, 12)), (3, b"a", (10, 40)), (4, bytes([0, 97]), (11, 45))])
+def test_spans_of_contexts(seed, of, sizes):
+    """What the spans cover, for a document of any rank, is what windows of smaller documents cover."""
+    rng = random.Random(seed)
+    ctx, m = distinct_contexts(rng, 40, of, sizes), 10
+    least = np.array([rng.randrange(12) for _ in ctx], np.int64)
+    array = suffix.SuffixArray(np.frombuffer(b"".join(ctx), np.uint8), np.array([len(c) for c in ctx]), m)
+    spans = list(zip(*(x.tolist() for x in array.spans(least))))
+    first = {}
+    for c, d in zip(ctx, least):
+        for j in range(1, len(c) - m + 1):
+            first[c[j : j + m]] = min(d, first.get(c[j : j + m], d))
+    assert len(spans) <= sum(len(c) - m for c in ctx) * 3
+    for rank in range(13):
+        for i, c in enumerate(ctx):
+            want, got = np.zeros(len(c), bool), np.zeros(len(c), bool)
+            for j in range(1, len(c) - m + 1):
+                want[j : j + m] |= first[c[j : j + m]] < rank
+            for own, offset, length, doc in spans:
+                if own == i and doc < rank:
+                    got[1 + offset : 1 + offset + length] = True
+            assert (want == got).all()
+
+
+def test_labels_name_their_partitions(spark):
+    from pyspark.sql import functions as F
+
+    from quire.llm.common import label_column, labels
+
+    for n in (1, 2, 7, 211):
+        df = spark.range(n).select("id", label_column(F.col("id"), n).alias("label")).selectExpr("id", "label", f"pmod(hash(label), {n}) AS place")
+        assert [(r.id, r.label) for r in df.orderBy("id").collect()] == list(enumerate(labels(n))) and df.where("id <> place").count() == 0
 
 
 def test_maximal_repeats(make_docs):
