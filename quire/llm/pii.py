@@ -8,14 +8,17 @@ anchor a deterministic local parser grows outwards to the boundaries of what it
 * cues (``iban``, ``account``, ``token``, ``ssn``, ...): the account or identifier behind ``=`` or ``:``;
 * beginnings of keys (``AKIA``, ``ghp_``, ...): the key.
 
-Digits and plus signs anchor the numeric kinds (ip, card, phone), which the base rules define.
+Dots behind a digit and plus signs anchor the numeric kinds ip and phone, runs of digits the kind card; the base rules
+define these. Every parser reads a stretch of the text once, so the work follows the text's length whatever it holds.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -29,8 +32,9 @@ RANK = {k: i for i, k in enumerate(KINDS)}
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DIGITS = frozenset("0123456789")
 LABEL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")  # matched at the first digit of a run only
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
@@ -44,7 +48,10 @@ VALUE = re.compile(r"(?:\s?(?:no|nr|number|num|key))?\.?\s{0,2}[:=#]\s{0,2}([\"'
 ACCOUNT = re.compile(r"[A-Za-z0-9](?:[ /-]?[A-Za-z0-9]){4,39}")
 SECRET = re.compile(r"[A-Za-z0-9_+/=.~-]{8,}")
 IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]){11,30}")
+IBAN_LEAD = re.compile(r"(?:\s?(?:no|nr|number)\.?)?\s{0,2}[:=#]?\s{0,2}")
 HOST = re.compile(r"[^\s/?#\"'<>]*")
+NUMERIC_HOST, PORT = re.compile(r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}|\[[0-9a-fA-F:.]+\]"), re.compile(r":[0-9]*$")
+MAILBOX, REST, TELEPHONE = re.compile(r"[^\s\"'<>?]*"), re.compile(r"[^\s\"'<>]*"), re.compile(r"\+?[0-9][0-9().-]{5,}")
 
 Span = tuple[int, int, int]  # start, rank of kind, end
 
@@ -94,20 +101,43 @@ def base_emails(text: str, ats: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def base_spans(text: str, ats: list[int]) -> list[Span]:
-    found: list[Span] = [(s, 0, e) for s, e in base_emails(text, ats)]
+def base_ips(text: str, dots: list[int]) -> list[tuple[int, int]]:
+    """Leftmost non-overlapping addresses, grown from the dots that follow a digit: runs of digits joined by single dots, in fours."""
+    out, done = [], 0
+    for dot in dots:
+        if dot < done:
+            continue
+        start = dot - 1
+        while start > done and text[start - 1] in DIGITS:
+            start -= 1
+        m = DOTTED.match(text, start)
+        if not m:
+            continue
+        done, at = m.end(), start
+        parts = m[0].split(".")
+        for i in range(0, len(parts) - 3, 4):
+            four = parts[i : i + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in four):
+                out.append((at, end))
+            at = end + 1
+    return out
+
+
+def base_spans(text: str, hits: list[tuple[int, int, str, str]]) -> list[Span]:
+    found: list[Span] = [(s, 0, e) for s, e in base_emails(text, [s for s, _, sort, _ in hits if sort == "@"])]
+    found += [(s, 1, e) for s, e in base_ips(text, [e - 1 for _, e, sort, _ in hits if sort == "dot"])]
     if DIGIT.search(text):
-        for m in IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
-                found.append((m.start(), 1, m.end()))
         for m in CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 14 <= len(digits) <= 19 and luhn(digits):
                 found.append((m.start(), 2, m.end()))
-        if "+" in text:
-            for m in PHONE.finditer(text):
-                if 10 <= sum("0" <= c <= "9" for c in m[0]) <= 15:
-                    found.append((m.start(), 3, m.end()))
+    done = 0
+    for start, _, sort, _ in hits:
+        if sort == "plus" and start >= done and (m := PHONE.match(text, start)):
+            done = m.end()
+            if 10 <= sum(c in DIGITS for c in m[0]) <= 15:
+                found.append((start, 3, done))
     return sorted(found)
 
 
@@ -119,6 +149,9 @@ class Anchors:
     def __init__(self) -> None:
         self.auto = ahocorasick.Automaton()
         self.auto.add_word("@", ("@", ""))
+        self.auto.add_word("+", ("plus", "+"))
+        for d in "0123456789":
+            self.auto.add_word(f"{d}.", ("dot", f"{d}."))
         for s in SCHEMES:
             self.auto.add_word(s, ("scheme", s))
         for c in CUES:
@@ -145,36 +178,42 @@ def wide_email(text: str, at: int) -> tuple[int, int] | None:
     return (start, end) if start < at and len(domain) >= 2 and all(domain) and len(domain[-1]) >= 2 and domain[-1].isalpha() else None
 
 
-def expand(text: str, start: int, end: int, sort: str, anchor: str) -> tuple[int, int, int] | None:
-    """The span (start, rank, end) that an anchor stands for, or None if nothing valid is there."""
+def expand(text: str, start: int, end: int, sort: str, anchor: str, seen: dict[str, int]) -> tuple[int, int, int] | None:
+    """The span (start, rank, end) that an anchor stands for, or None if nothing valid is there.
+
+    ``seen``: how far the last look from an anchor of each sort went. What a later anchor inside that stretch stands for lies
+    inside it too, so no stretch is read twice.
+    """
     if sort == "@":
         hit = wide_email(text, start)
         return hit and (hit[0], RANK["email"], hit[1])
     if sort == "scheme":
+        if start < seen.get(anchor if anchor == "mailto:" else "address", 0):
+            return None
         if anchor == "mailto:":
-            stop = end
-            while stop < len(text) and not text[stop].isspace() and text[stop] not in "\"'<>?":
-                stop += 1
+            stop = MAILBOX.match(text, end).end()
+            seen[anchor] = stop
             return (start, RANK["address"], stop) if "@" in text[end:stop] else None
         if anchor == "tel:":
-            m = re.compile(r"\+?[0-9][0-9().-]{5,}").match(text, end)
+            m = TELEPHONE.match(text, end)
             return (start, RANK["address"], m.end()) if m else None
         authority = HOST.match(text, end)[0]
         user, at, host = authority.rpartition("@")
-        numeric = re.fullmatch(r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}|\[[0-9a-fA-F:.]+\]", re.sub(r":[0-9]*$", "", host))
+        numeric = NUMERIC_HOST.fullmatch(PORT.sub("", host))
         if not (at and user and host) and not numeric:
             return None
-        stop = end + len(authority)
-        while stop < len(text) and not text[stop].isspace() and text[stop] not in "\"'<>":
-            stop += 1
+        seen["address"] = stop = REST.match(text, end + len(authority)).end()
         return start, RANK["address"], stop
     if start and (text[start - 1].isalnum() or text[start - 1] == "_"):
         return None
     if sort == "key":
+        if anchor == "xoxb-" and start < seen.get(anchor, 0):
+            return None
         m = KEYS[anchor].match(text, start)
+        seen[anchor] = m.end() if m else 0
         return (start, RANK["secret"], m.end()) if m else None
     if anchor == "iban":
-        m = re.compile(r"(?:\s?(?:no|nr|number)\.?)?\s{0,2}[:=#]?\s{0,2}").match(text, end)
+        m = IBAN_LEAD.match(text, end)
         if hit := IBAN.match(text, m.end()):
             for stop in range(hit.end(), hit.start() + 14, -1):  # the longest valid one
                 if iban_valid(text[hit.start() : stop]) and text[stop - 1] != " ":
@@ -184,7 +223,11 @@ def expand(text: str, start: int, end: int, sort: str, anchor: str) -> tuple[int
     if not m:
         return None
     if anchor in SECRET_CUES:
+        if m.end() < seen.get("secret", 0):  # inside a value that is already told: the rest of it is
+            return None
         hit = SECRET.match(text, m.end())
+        if hit:
+            seen["secret"] = hit.end()
         if hit and (m[1] or (DIGIT.search(hit[0]) and len(hit[0]) >= 12)):
             return hit.start(), RANK["secret"], hit.end()
         return None
@@ -201,15 +244,22 @@ def expand(text: str, start: int, end: int, sort: str, anchor: str) -> tuple[int
 
 def find_spans(text: str, anchors: Anchors) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans), each by start and then kind. Spans that a base span covers aren't added."""
-    hits = anchors.find(text)
-    base = base_spans(text, [s for s, _, sort, _ in hits if sort == "@"])
+    hits, seen = anchors.find(text), {}
+    base = base_spans(text, hits)
+    starts = [s for s, _, _ in base]
+    reach = list(accumulate((e for _, _, e in base), max))  # how far the spans up to each go
     extra = set()
     for hit in hits:
-        if span := expand(text, *hit):
-            if not any(b[0] <= span[0] and span[2] <= b[2] for b in base):
+        if hit[2] not in ("plus", "dot") and (span := expand(text, *hit, seen)):
+            at = bisect_right(starts, span[0])
+            if not at or reach[at - 1] < span[2]:
                 extra.add(span)
-    extra = {s for s in extra if not any(o is not s and o[0] <= s[0] and s[2] <= o[2] and (o[2] - o[0] > s[2] - s[0] or o < s) for o in extra)} if len(extra) > 1 else extra
-    return base, sorted({*base, *extra})
+    added, far = [], -1
+    for span in sorted(extra, key=lambda x: (x[0], -x[2], x[1])):  # what a span covers comes after it
+        if span[2] > far:
+            added.append(span)
+            far = span[2]
+    return base, sorted({*base, *added})
 
 
 def spell(spans: list[Span]) -> str:

@@ -75,6 +75,9 @@ def plain_base(t):
     return sorted(out)
 
 
+ANCHORS = pii.Anchors()
+
+
 @given(st.text(alphabet="ab1.@-+% é", max_size=60))
 def test_emails(text):
     assert [x for x in pii.find_spans(text, pii.Anchors())[0] if x[1] == 0] == [x for x in plain_base(text) if x[1] == 0]
@@ -104,6 +107,36 @@ def test_left_alone(text):
     assert pii.find_spans(text, pii.Anchors())[1] == []
 
 
+@given(st.text(alphabet="0123.", max_size=40))
+def test_chains_of_numbers(text):
+    assert pii.find_spans(text, pii.Anchors())[0] == plain_base(text)
+
+
+def plain_added(text, anchors):
+    """All spans by the definition, pair by pair, each anchor by itself."""
+    hits = anchors.find(text)
+    base = pii.base_spans(text, hits)
+    extra = {s for h in hits if h[2] not in ("plus", "dot") and (s := pii.expand(text, *h, {})) and not any(b[0] <= s[0] and s[2] <= b[2] for b in base)}
+    return sorted({*base, *(s for s in extra if not any(o != s and o[0] <= s[0] and s[2] <= o[2] and (o[2] - o[0] > s[2] - s[0] or o < s) for o in extra))})
+
+
+@given(st.lists(st.sampled_from(["token=", "http://", "u:p@", "h", "/", " ", "é@b.co", "a1b2c3d4e5f6", "mailto:", "a@b.co", "?", "'", "password: ", "xoxb-", "0123456789abcdefghij-", "account no: ", "12345-6", "10.0.0.1", "tel:+4930123456", ":", "secret"]), max_size=14))
+@settings(deadline=None)
+def test_spans_of_mixed_anchors(parts):
+    text = "".join(parts)
+    assert pii.find_spans(text, ANCHORS)[1] == plain_added(text, ANCHORS)
+
+
+@pytest.mark.parametrize("text", ["1" * 400_000, "1" * 200_000 + ".2", "a@b.example " * 40_000, "é@bücher.example, " * 30_000, "token=" * 80_000, "http://u:p@h/" * 40_000, "mailto:" * 60_000, "xoxb-" * 80_000, "+1(" * 150_000, "1." * 200_000, "x@" * 200_000, "password: a1b2c3d4e5f6g " * 20_000])
+def test_long_texts_in_time(text):
+    """Each of these took time with the square of its length in one parser or another."""
+    import time
+
+    began = time.process_time()
+    pii.find_spans(text, ANCHORS)
+    assert time.process_time() - began < 8
+
+
 def test_detect(spark, sf, edge_docs):
     for df in (spark.read.parquet(f"{sf}/documents.parquet"), edge_docs):
         texts = sorted(((str(r.doc_id), r.text or "") for r in df.collect()))
@@ -127,6 +160,34 @@ def test_globs(globs, strings):
     assert got.tolist() == want
 
 
+def test_long_strings(monkeypatch):
+    """Alone or in slices, the same answers; a very long url takes no memory for the others."""
+    rng = np.random.default_rng(5)
+    globs = ("*casino*", "a*b", "*", "", "*abababababababababababababababababababababababababababababababababab*", "b*")
+    strings = ["".join(rng.choice(list("ab"), n)).encode() for n in [*range(0, 60), 300, 300]] + [b"ab" * 40, b"xcasinox"]
+    want = urlfilter.GlobSet(globs).match(strings)
+    monkeypatch.setattr(urlfilter, "LONG", 20)
+    assert (urlfilter.GlobSet(globs).match(strings) == want).all()
+    monkeypatch.setattr(urlfilter, "SLICE", 100)
+    assert (urlfilter.GlobSet(globs).match(strings) == want).all()
+    monkeypatch.undo()
+    many = urlfilter.GlobSet(globs).match([b"b" * 1_000_000 + b"casino"] + [b"ab"] * 10_000)
+    assert many[0].tolist() == [True, False, True, False, False, True] and many[1:, 1].all()
+
+
+def test_canonical_urls(spark):
+    urls = ["http://A.org/%63asino?x#casino", "http://a.org/?go=%43ASINO", "http://a.org/%2563asino", "http://a.org/%zz%c3%a9%6", "http://a.org/x#casino", "HTTP://a.org/%7e%2D", None, "x", "http://a.org/%", "http://" + "a" * 20_000 + ".org/%70oker"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "1 AS host", "2 AS rule", "3 AS verdict", "4 AS path")
+    assert urlfilter.canonical(urls[3]) == "a.org/%zz%c3%a9%6" and urlfilter.canonical(urls[2]) == "a.org/%2563asino" and urlfilter.canonical(urls[5]) == "a.org/~-"
+    import duckdb
+
+    c = duckdb.connect()
+    c.register("pages", df.select("page_id", "url").toPandas())
+    want = {r[0]: r[1:] for r in c.execute(f"SELECT page_id, verdict, \"glob\" FROM ({urlfilter.judge_sql()})").fetchall()}
+    got = {r.page_id: (r.verdict, r.glob) for r in urlfilter.judge(df).collect()}
+    assert got == want and [got[i][0] for i in range(10)] == ["block", "block", "allow", "allow", "allow", "allow", "allow", "allow", "allow", "block"]
+
+
 def test_judge(spark, sf):
     import duckdb
 
