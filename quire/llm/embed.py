@@ -1,29 +1,36 @@
 """Near-duplicate embeddings: spherical k-means cells, blocked cosine products within cells, one kept per group.
 
 Every distinct vector has a home cell, that of its nearest centroid, and is compared in each cell where a partner
-could be at home: if x is at home in c, then x.(c - c') >= 0 for any other centroid c', and a vector y with
-cos(x, y) >= t is no further from x than sqrt(2 - 2t), so y.(own - c) / |own - c| <= sqrt(2 - 2t) for its own centroid.
-This loses no pair, whatever the centroids; they only decide how much is compared. Cells are laid together, or cut,
-into tiles of about TILE vectors; a tile is a task's worth of homes, and vectors to compare stream past it in blocks.
+could be at home. Let t be the threshold, x at home in cell c, y elsewhere, and cos(x, y) >= t:
+
+* x.(c - c') >= 0 for y's own centroid c', and y is no further from x than sqrt(2 - 2t), so y.(c' - c) / |c' - c| <= sqrt(2 - 2t);
+* angles obey the triangle inequality, so the angles of x and y to c differ by acos(t) at most, and so do those to c'.
+
+Both hold for either of the two, whatever the centroids: they only decide how much is compared, and no pair is lost.
+Homes are laid into tiles of about TILE vectors: small cells together, large ones in shells by the angle to their centroid. A task has
+one tile's homes and a block of the vectors that visit it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import label_column, runs, shuffle_partitions
 from .components import Shelf, components
 
 THRESHOLD = 0.95
 SAMPLE, SAMPLE_BYTES = 20_000, 32 << 20  # vectors that centroids are fitted on, at most
-CELL, MAX_CELLS, ROUNDS = 512, 1024, 8
-TILE, BLOCK = 8192, 1024
+CELL, MAX_CELLS, ROUNDS = 512, 2048, 8
+TILE, VISITORS, BLOCK = 2048, 16_384, 1024
+STEPS = 128  # to the radian, in which angles are counted
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -51,28 +58,32 @@ def kmeans(units: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 11) -> n
 
 
 class Cells:
-    """Centroids of one dimension, and the tiles of each cell: tile i of cell c is first[c] + i."""
+    """Centroids of one dimension."""
 
     def __init__(self, centres: np.ndarray, threshold: float):
         self.centres = centres
-        self.reach = np.sqrt(2 - 2 * threshold) + 1e-9
-        gap = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T))
-        np.fill_diagonal(gap, np.inf)
-        self.gap = np.maximum(gap, 1e-12)
+        self.reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
+        self.angle = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
+
+    def sims(self, units: np.ndarray) -> np.ndarray:
+        return units @ self.centres.T
+
+    def near(self, sims: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Boolean (vectors x cells): on which sides of the bisectors a partner can be; always its own."""
+        cells, at = np.unique(own, return_inverse=True)
+        gap = np.sqrt(np.maximum(0, 2 - 2 * self.centres[cells] @ self.centres.T))
+        out = sims[np.arange(len(own)), own][:, None] - sims <= self.reach * np.maximum(gap, 1e-12)[at]
+        out[np.arange(len(own)), own] = True
+        return out
 
-    def home(self, units: np.ndarray) -> np.ndarray:
-        return (units @ self.centres.T).argmax(axis=1)
 
-    def visits(self, units: np.ndarray) -> np.ndarray:
-        """Boolean (vectors x cells): where a partner of the vector can be at home; its own cell always."""
-        sims = units @ self.centres.T
-        own = sims.argmax(axis=1)
-        far = (sims[np.arange(len(units)), own][:, None] - sims) / self.gap[own]
-        return far <= self.reach
+def angles(sims: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(sims, -1, 1))
 
 
-def _binary(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id, dim, digest, vec): vec is the bytes of float64; digest is null where nothing can be linked."""
+def _binary(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, str]:
+    """(vec_id, dim, digest, vec) and the kind of number that vec's bytes hold; digest is null where nothing can be linked."""
+    kind = "<f4" if dict(df.dtypes)[vec_col] == "array<float>" else "<f8"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,7 +93,7 @@ def _binary(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
                 x = lists[i].values if ids[i].is_valid and lists[i].is_valid else None
                 v = None
                 if x is not None and len(x) and not x.null_count:
-                    v = np.asarray(x, np.float64) + 0.0  # one zero
+                    v = np.asarray(x).astype(kind) + np.dtype(kind).type(0)  # one zero
                     if not np.isfinite(v).all() or not v.any():
                         v = None
                 raw = None if v is None else v.tobytes()
@@ -91,120 +102,142 @@ def _binary(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
                 vecs.append(raw)
             yield pa.RecordBatch.from_arrays([ids, pa.array(dims, pa.int32()), pa.array(digests, pa.binary()), pa.array(vecs, pa.binary())], ["vec_id", "dim", "digest", "vec"])
 
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
-    return rows.mapInArrow(run, "vec_id long, dim int, digest binary, vec binary")
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>" if kind == "<f4" else "array<double>").alias("v"))
+    return rows.mapInArrow(run, "vec_id long, dim int, digest binary, vec binary"), kind
 
 
-def stack(raw: pa.Array | list, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(x if isinstance(x, bytes) else x.as_py() for x in raw), np.float64).reshape(-1, dim)
+def stack(raw: pa.Array | list, dim: int, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(x if isinstance(x, bytes) else x.as_py() for x in raw), kind).reshape(-1, dim)
 
 
-def fit_cells(distinct: DataFrame, n: int, threshold: float, sample: int = SAMPLE) -> dict[int, Cells]:
+def fit_cells(distinct: DataFrame, n: int, threshold: float, sample: int, kind: str) -> dict[int, Cells]:
     """Centroids for each dimension, fitted on at most ``sample`` vectors by a hash of their bytes."""
     by_dim: dict[int, list[bytes]] = {}
     for r in distinct.select("dim", "vec").orderBy(F.xxhash64("digest"), "digest").limit(sample).collect():
         by_dim.setdefault(r.dim, []).append(bytes(r.vec))
     k = max(1, min(MAX_CELLS, n // CELL))
-    return {d: Cells(kmeans(unit(stack(x, d)), max(1, k * len(x) // min(n, sample))), threshold) for d, x in by_dim.items()}
-
-
-def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vec_col: str = "embedding", tile: int = TILE) -> DataFrame:
+    return {d: Cells(kmeans(unit(stack(x, d, kind)), max(1, k * len(x) // min(n, sample))), threshold) for d, x in by_dim.items()}
+
+
+class Tiles:
+    """Which tiles the homes of a cell are in: shells (first tile, how many, least and greatest angle) in the order of their angles."""
+
+    def __init__(self, counts: list[tuple[int, int, int, int]], tile: int):
+        """counts: (dim, cell, step of the angle, homes), sorted."""
+        self.shells: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
+        at, room, last_dim = -1, 0, None
+        for (dim, cell), held_by in groupby(counts, key=lambda x: x[:2]):
+            own = list(held_by)
+            low, total = own[0][2], sum(x[3] for x in own)
+            if total <= tile:  # a small cell: beside others, where there is room
+                if total > room or dim != last_dim:
+                    at, room, last_dim = at + 1, tile, dim
+                room -= total
+                self.shells[dim, cell] = [(at, 1, low, own[-1][2])]
+                continue
+            out, held = [], 0
+            for _, _, step, homes in own:
+                if out and held + homes <= tile:
+                    first, many, low, _ = out[-1]
+                    out[-1], held = (first, many, low, step), held + homes
+                else:
+                    many = -(-homes // tile)  # one step alone may fill many tiles
+                    out.append((at + 1, many, step, step))
+                    at, held = at + many, homes if many == 1 else tile
+            room, last_dim = 0, None
+            self.shells[dim, cell] = out
+        self.count = at + 1
+
+    def home(self, dim: int, cell: int, step: int, digest: int) -> int:
+        first, many = next((s[0], s[1]) for s in self.shells[dim, cell] if s[2] <= step <= s[3])
+        return first + digest % many
+
+    def visited(self, dim: int, cell: int, angle: float, reach: float) -> Iterator[int]:
+        for first, many, low, high in self.shells.get((dim, cell), ()):
+            if low / STEPS - reach <= angle <= (high + 1) / STEPS + reach:
+                yield from range(first, first + many)
+
+
+def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vec_col: str = "embedding", tile: int = TILE, visitors: int = VISITORS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector.
 
     Vectors link where their cosine in double precision is ``threshold`` or more; equal vectors are compared once.
     Vectors that are null, empty or zero, or hold nulls or numbers that aren't finite, link with nothing, like vectors of
     other dimensions and rows with a null id (whose component_id is null and which aren't kept). Repeated rows are
-    vectors of their own with one id. An empty table gives no rows.
+    vectors of their own with one id, and so are different vectors with one id. An empty table gives no rows.
     """
     spark = df.sparkSession
-    shelf = Shelf(spark, "embed")
-    own = shelf.keep(_binary(df, id_col, vec_col))
+    shelf, parts = Shelf(spark, "embed"), shuffle_partitions(spark)
+    rows, kind = _binary(df, id_col, vec_col)
+    own = shelf.keep(rows)
     distinct = shelf.keep(own.where("digest IS NOT NULL").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("dim").alias("dim"), F.first("vec").alias("vec")))
     n, widest = distinct.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(1))).first()
-    cells = fit_cells(distinct, n, threshold, max(1, min(SAMPLE, SAMPLE_BYTES // (8 * widest))))
-    state = spark.sparkContext.broadcast(cells)  # MAX_CELLS centroids at most
+    cells = fit_cells(distinct, n, threshold, max(1, min(SAMPLE, SAMPLE_BYTES // (8 * widest))), kind)
+    state = spark.sparkContext.broadcast(cells)  # no more numbers than the sample has
 
-    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The home of each vector and its angle there, once and for all: -1 for a dimension that the sample hasn't."""
         for batch in batches:
-            out = np.full(batch.num_rows, -1, np.int64)
-            dims = np.asarray(batch.column(0))
+            dims, cell, step = np.asarray(batch.column(2)), np.full(batch.num_rows, -1, np.int32), np.zeros(batch.num_rows, np.int32)
             for d in np.unique(dims):
-                at = np.flatnonzero(dims == d)
-                if int(d) in state.value:
-                    for i in range(0, len(at), BLOCK):
-                        part = at[i : i + BLOCK]
-                        out[part] = state.value[int(d)].home(unit(stack(batch.column(1).take(pa.array(part)), int(d))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["dim", "cell"])
-
-    sizes = distinct.select("dim", "vec").mapInArrow(homes, "dim int, cell long").groupBy("dim", "cell").count().orderBy("dim", "cell").limit(MAX_CELLS * 64)
-    first: dict[tuple[int, int], tuple[int, int]] = {}  # (dim, cell) -> first tile and how many: as many entries as cells
-    at, room = -1, 0
-    last_dim = None
-    for r in sizes.collect():
-        if r["count"] > tile:
-            many = -(-r["count"] // tile)
-            first[(r.dim, r.cell)] = (at + 1, many)
-            at, room, last_dim = at + many, 0, None
-        else:
-            if r["count"] > room or r.dim != last_dim:
-                at, room, last_dim = at + 1, tile, r.dim
-            room -= r["count"]
-            first[(r.dim, r.cell)] = (at, 1)
-    for d, c in cells.items():  # a cell that rounding gives to another product of the same vectors
-        for k in range(len(c.centres)):
-            first.setdefault((d, k), (max(at, 0), 1))
-    tiles = spark.sparkContext.broadcast(first)
+                at, c = np.flatnonzero(dims == d), state.value.get(int(d))
+                for i in range(0, len(at) if c else 0, BLOCK):
+                    part = at[i : i + BLOCK]
+                    sims = c.sims(unit(stack(batch.column(3).take(pa.array(part)), int(d), kind)))
+                    cell[part] = sims.argmax(axis=1)
+                    step[part] = (angles(sims.max(axis=1)) * STEPS).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(step)], ["digest", "copies", "dim", "vec", "cell", "step"])
+
+    placed = shelf.keep(distinct.select("digest", "copies", "dim", "vec").mapInArrow(place, "digest binary, copies long, dim int, vec binary, cell int, step int"))
+    counts = placed.groupBy("dim", "cell", "step").count().orderBy("dim", "cell", "step")  # as many rows as cells have steps
+    tiles = Tiles([tuple(r) for r in counts.collect()], tile)
+    blocks, told = max(1, -(-n // visitors)), spark.sparkContext.broadcast(tiles)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row at home in its tile (kind 0), and a row to compare (kind 1) for each tile that it visits."""
+        """A row at home (kind 0) for each block of its tile, and a row to compare (kind 1) in its block of each tile that it visits."""
         for batch in batches:
-            dims = np.asarray(batch.column(3))
-            rows, to, kind, cell = [], [], [], []
+            dims, cells_, steps = (np.asarray(batch.column(i)) for i in (2, 4, 5))
+            rows, to, kinds = [], [], []
             for d in np.unique(dims):
                 where, c = np.flatnonzero(dims == d), state.value.get(int(d))
                 for i in range(0, len(where), BLOCK):
                     part = where[i : i + BLOCK]
-                    if c is None:  # a dimension that the sample hasn't: one cell
-                        home, visits = np.full(len(part), -1), np.ones((len(part), 1), bool)
-                        ids = [-1]
-                    else:
-                        u = unit(stack(batch.column(4).take(pa.array(part)), int(d)))
-                        home, visits, ids = c.home(u), c.visits(u), range(len(c.centres))
-                    for j, p in enumerate(part):
-                        start, many = tiles.value[(int(d), int(home[j]))]
-                        rows.append(p)
-                        to.append(start + int(p_hash(batch.column(0)[int(p)].as_py())) % many)
-                        kind.append(0)
-                        cell.append(home[j])
-                        seen = {t for k in np.flatnonzero(visits[j]) if (x := tiles.value.get((int(d), ids[k]))) for t in range(x[0], x[0] + x[1])}
-                        rows += [p] * len(seen)
-                        to += seen
-                        kind += [1] * len(seen)
-                        cell += [home[j]] * len(seen)
-            taken = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(kind, pa.int32()), pa.array(cell, pa.int32()), taken.column(1), taken.column(2), taken.column(3), taken.column(4)], ["tile", "kind", "cell", "rep", "copies", "dim", "vec"])
-
-    dealt = distinct.select("digest", "rep", "copies", "dim", "vec").mapInArrow(deal, "tile int, kind int, cell int, rep long, copies long, dim int, vec binary")
+                    if c:
+                        sims = c.sims(unit(stack(batch.column(3).take(pa.array(part)), int(d), kind)))
+                        near, angle = c.near(sims, cells_[part]), angles(sims)
+                    for j, p in enumerate(part.tolist()):
+                        h = p_hash(batch.column(0)[p].as_py())
+                        home = told.value.home(int(d), int(cells_[p]), int(steps[p]), h >> 20)
+                        seen = {t for k in np.flatnonzero(near[j]).tolist() for t in told.value.visited(int(d), k, angle[j, k], c.angle)} if c else set(told.value.visited(int(d), -1, 0, 4))
+                        rows += [p] * (blocks + len(seen))
+                        to += [home * blocks + b for b in range(blocks)] + [t * blocks + h % blocks for t in seen]
+                        kinds += [0] * blocks + [1] * len(seen)
+                        if len(rows) >= 1 << 14:
+                            yield batch_of(batch, rows, to, kinds)
+                            rows, to, kinds = [], [], []
+            yield batch_of(batch, rows, to, kinds)
+
+    def batch_of(batch: pa.RecordBatch, rows: list[int], to: list[int], kinds: list[int]) -> pa.RecordBatch:
+        taken = batch.take(pa.array(rows, pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(kinds, pa.int32()), *taken.columns], ["task", "kind", *batch.schema.names])
+
+    dealt = placed.mapInArrow(deal, "task long, kind int, digest binary, copies long, dim int, vec binary, cell int, step int")
+    dealt = dealt.withColumn("label", label_column(F.pmod(F.col("task"), F.lit(parts)), parts)).repartition(parts, "label").sortWithinPartitions("task", "kind", "cell")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
         for batch in batches:
-            t = np.asarray(batch.column(0))
-            edges = np.flatnonzero(np.r_[True, t[1:] != t[:-1]]) if len(t) else []
-            for a, b in zip(edges, [*edges[1:], len(t)]):
-                if work is None or work.tile != t[a]:
-                    if work is not None:
-                        yield from work.done()
-                    work = _Tile(int(t[a]), state.value, threshold)
-                yield from work.add(batch.slice(a, b - a))
-        if work is not None:
-            yield from work.done()
-
-    found = shelf.keep(dealt.repartition(shuffle_partitions(spark), "tile").sortWithinPartitions("tile", "kind", "cell").mapInArrow(compare, "a long, b long, n long"))
-    counts = found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    joined = components(found.where("b IS NOT NULL"), shelf).withColumnRenamed("node", "rep")
-    classes = distinct.select("digest", "rep", "copies").join(counts, "rep", "left").join(joined, "rep", "left")
-    classes = classes.select("digest", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("component"))
+            for a, size in zip(*runs(np.asarray(batch.column(0)))):
+                if work is None or work.task != batch.column(0)[a].as_py():
+                    work = _Tile(batch.column(0)[a].as_py(), state.value, threshold, kind)
+                yield from work.add(batch.slice(a, size))
+
+    found = shelf.keep(dealt.drop("label").mapInArrow(compare, "a binary, b binary, n long"))
+    counts = found.where("b IS NULL").groupBy(F.col("a").alias("digest")).agg(F.sum("n").alias("n"))
+    joined = components(found.where("b IS NOT NULL"), shelf).withColumnRenamed("node", "digest")
+    classes = distinct.select("digest", "rep", "copies").join(counts, "digest", "left").join(joined, "digest", "left").withColumn("root", F.coalesce("component", "digest"))
+    least = classes.groupBy("root").agg(F.min("rep").alias("component"))
+    classes = classes.drop("component").join(least, "root").select("digest", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), "component")
     out = own.select("vec_id", "digest").join(classes, "digest", "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
@@ -215,59 +248,72 @@ def p_hash(digest: bytes) -> int:
 
 
 class _Tile:
-    """The homes of a tile, by cell, and what has been compared with them."""
+    """The homes of a tile, by cell, and the vectors that are compared with them."""
 
-    def __init__(self, tile: int, cells: dict[int, Cells], threshold: float):
-        self.tile, self.cells, self.threshold = tile, cells, threshold
+    def __init__(self, task: int, cells: dict[int, Cells], threshold: float, kind: str):
+        self.task, self.cells, self.threshold, self.kind = task, cells, threshold, kind
         self.homes: list[tuple] = []
-        self.ready = None
+        self.ready = False
 
     def _columns(self, batch: pa.RecordBatch) -> tuple:
-        dim = batch.column(5)[0].as_py()
-        return unit(stack(batch.column(6), dim)), np.asarray(batch.column(2)), np.asarray(batch.column(3)), np.asarray(batch.column(4)), dim
+        """unit vectors, home cells, digests, copies, dimension"""
+        dim = batch.column(4)[0].as_py()
+        return unit(stack(batch.column(5), dim, self.kind)), np.asarray(batch.column(6)), np.array(batch.column(2).to_pylist(), "V16"), np.asarray(batch.column(3)), dim
 
     def add(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        kind = np.asarray(batch.column(1))
-        split = int((kind == 0).sum())
+        split = int((np.asarray(batch.column(1)) == 0).sum())
         if split:
             self.homes.append(self._columns(batch.slice(0, split)))
-        if split < len(kind):
-            if self.ready is None:
-                if not self.homes:
-                    return
-                u, cell, rep, copies = (np.concatenate(x) for x in list(zip(*self.homes))[:4])
-                edge = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-                self.ready = (u, cell, rep, copies, list(zip(edge, [*edge[1:], len(cell)])))
-                self.label = np.arange(len(rep))
-            for i in range(split, len(kind), BLOCK):
-                yield self._compare(*self._columns(batch.slice(i, BLOCK)))
-
-    def _compare(self, q: np.ndarray, _: np.ndarray, ids: np.ndarray, copies: np.ndarray, dim: int) -> pa.RecordBatch:
-        u, cell, rep, weight, blocks = self.ready
-        c = self.cells.get(dim)
-        visits = c.visits(q) if c else None
-        count, pairs = np.zeros(len(q), np.int64), []
-        for a, b in blocks:
-            rows = np.flatnonzero(visits[:, cell[a]]) if visits is not None else np.arange(len(q))
-            if not len(rows):
+        if split == batch.num_rows or not self.homes:
+            return
+        if not self.ready:
+            self.units, self.cell, self.digest, self.copies = (np.concatenate(x) for x in list(zip(*self.homes))[:4])
+            self.group, self.ready, c = np.arange(len(self.cell)), True, self.cells.get(self.homes[0][4])
+            if c:
+                sims = c.sims(self.units)
+                self.near, self.angle = c.near(sims, self.cell), angles(sims)
+        for i in range(split, batch.num_rows, BLOCK):
+            yield self._compare(*self._columns(batch.slice(i, BLOCK)))
+
+    def _pairs(self, q: np.ndarray, cell: np.ndarray, c: Cells | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(vectors, homes) whose products are needed: those of two cells at a time, less what either's centroid rules out."""
+        if c is None:
+            yield np.arange(len(q)), np.arange(len(self.cell))
+            return
+        sims = c.sims(q)
+        near, angle = c.near(sims, cell), angles(sims)
+        for a, size in zip(*runs(self.cell)):
+            home, mine = int(self.cell[a]), slice(a, a + size)
+            reach = self.angle[mine, home]
+            use = near[:, home] & (angle[:, home] >= reach.min() - c.angle) & (angle[:, home] <= reach.max() + c.angle)
+            for f, m in zip(*runs(cell)):
+                rows = f + np.flatnonzero(use[f : f + m])
+                if len(rows):
+                    at, own = int(cell[f]), angle[rows, cell[f]]
+                    homes = a + np.flatnonzero(self.near[mine, at] & (self.angle[mine, at] >= own.min() - c.angle) & (self.angle[mine, at] <= own.max() + c.angle))
+                    if len(homes):
+                        yield rows, homes
+
+    def _compare(self, q: np.ndarray, cell: np.ndarray, ids: np.ndarray, copies: np.ndarray, dim: int) -> pa.RecordBatch:
+        count, pairs, linked = np.zeros(len(q), np.int64), [], np.full(len(q), -1, np.int64)
+        for rows, homes in self._pairs(q, cell, self.cells.get(dim)):
+            r, h = np.nonzero(q[rows] @ self.units[homes].T >= self.threshold)
+            r, h = rows[r], homes[h]
+            other = ids[r] != self.digest[h]
+            r, h = r[other], h[other]
+            if not len(r):
                 continue
-            hit = q[rows] @ u[a:b].T >= self.threshold
-            r, h = np.nonzero(hit)
-            other = ids[rows[r]] != rep[a + h]
-            r, h = rows[r[other]], a + h[other]
-            if len(r):
-                count += np.bincount(r, weight[h], minlength=len(q)).astype(np.int64)
-                fresh = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-                pairs += [(int(ids[r[f]]), int(rep[h[f]])) for f in fresh]
-                first = np.repeat(h[fresh], np.diff(np.r_[fresh, len(r)]))
-                for x, y in zip(first[self.label[first] != self.label[h]], h[self.label[first] != self.label[h]]):
-                    if self.label[x] != self.label[y]:  # two homes that a vector links
-                        pairs.append((int(rep[x]), int(rep[y])))
-                        self.label[self.label == self.label[y]] = self.label[x]
+            count += np.bincount(r, self.copies[h], minlength=len(q)).astype(np.int64)
+            for f, m in zip(*runs(r)):
+                x = int(r[f])
+                if linked[x] < 0:
+                    linked[x] = h[f]
+                    pairs.append((ids[x].tobytes(), self.digest[h[f]].tobytes()))
+                strange = h[f : f + m][self.group[h[f : f + m]] != self.group[linked[x]]]
+                for y in strange.tolist():  # two homes that a vector links
+                    if self.group[y] != self.group[linked[x]]:
+                        pairs.append((self.digest[linked[x]].tobytes(), self.digest[y].tobytes()))
+                        self.group[self.group == self.group[y]] = self.group[linked[x]]
         some = np.flatnonzero(count)
-        a, b = [*(p[0] for p in pairs), *ids[some].tolist()], [*(p[1] for p in pairs)] + [None] * len(some)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([None] * len(pairs) + count[some].tolist(), pa.int64())], ["a", "b", "n"])
-
-    def done(self) -> Iterator[pa.RecordBatch]:
-        self.homes, self.ready = [], None
-        return iter(())
+        a, b = [*(p[0] for p in pairs), *(ids[i].tobytes() for i in some)], [*(p[1] for p in pairs)] + [None] * len(some)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array([None] * len(pairs) + count[some].tolist(), pa.int64())], ["a", "b", "n"])

@@ -357,7 +357,28 @@ def test_links_of_vectors(spark, tile, cell, monkeypatch):
     assert len(pairs) > 100
     root = union(len(v), pairs)
     degree = np.bincount(np.array(pairs).ravel(), minlength=len(v))
-    assert near(df, tile=tile) == {i: (int(degree[i]), root[i], root[i] == i) for i in range(len(v))}
+    for visitors in (16_384, 40):
+        assert near(df, tile=tile, visitors=visitors) == {i: (int(degree[i]), root[i], root[i] == i) for i in range(len(v))}
+
+
+@pytest.mark.parametrize("spread", [0.02, 0.12, 0.3])
+def test_links_of_one_large_cell(spark, spread, monkeypatch):
+    """Shells of a cell that many tiles hold, and centroids that lie badly."""
+    monkeypatch.setattr(embed, "MAX_CELLS", 3)
+    monkeypatch.setattr(embed, "CELL", 10)
+    rng = np.random.default_rng(9)
+    v = [(c + rng.normal(size=6) * spread).tolist() for c in rng.normal(size=(2, 6)) for _ in range(150)]
+    pairs = plain_links(v)
+    root, degree = union(len(v), pairs), np.bincount(np.array(pairs).ravel(), minlength=len(v))
+    df = spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<double>")
+    assert near(df, tile=20, visitors=70) == {i: (int(degree[i]), root[i], root[i] == i) for i in range(len(v))}
+
+
+def test_vectors_with_one_id_and_many_dimensions(spark, monkeypatch):
+    monkeypatch.setattr(embed, "SAMPLE", 3)  # most dimensions have no centroid
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01])] + [(10 * d + i, [1.0] * d + [0.01 * i]) for d in range(3, 9) for i in range(3)]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embed.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(1, 0, 1), (1, 1, 1), (2, 1, 1)] + [(10 * d + i, 2, 10 * d) for d in range(3, 9) for i in range(3)]
 
 
 def test_vectors_of_the_table(spark, sf):
