@@ -273,7 +273,81 @@ def page(body, head=""):
     ],
 )
 def test_main_text(body, want):
-    assert htmltree.main_text(page(body), frozenset()) == want
+    assert htmltree.main_text(page(body)) == want
+
+
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        ('<article class="post has-sidebar"><p>t</p></article>', "t"), ('<article><header class="entry-header"><h1>H</h1></header><p>t</p></article>', "H t"), ('<article><p class="share-price">1</p><h2 id="related-work">R</h2><p>t</p></article>', "1 R t"),
+        ("<article><fieldset><p>f</p></fieldset><p>a <math><mi>x</mi></math> b</p></article>", "f a x b"), ("<article><p>a<button>b</p><p>c</p></article>", "a b c"), ("<article><p>a<svg>b</p><p>c</p><svg><text>no</text></svg></article>", "ab c"), ("<article><p>a<select><option>b</p><p>c</p></article>", "a b c"),
+        ("<article><p>a</p><object>o<p>c</p></article>", "a o c"), ("<article><p>a</p><script>var x = 1;<p>c</p></article>", "a c"), ("<article><p>a<button>no</button>b</p><p>a<br>b</p></article>", "a b a b"), ("<article><p>t</p><div class='comments-area'><p>c</p></div><section id='related-posts'>r</section><p class='advert'>x</p></article>", "t"),
+        ("<article><p>it's <b title=don't>so</b> 1 < 2</p></article><p>no</p>", "it's so 1 < 2"), ("<p a=\"x>y\">t", "t"), ("<div class='site-footer'>f</div><div class='widget-area'>w</div><div class='banner-image'>b</div>", "b"), ("<p>x</p><!-- <p>y</p>", "x"), ("<p>a</p></div></article><p>b</p>", "a b"),
+    ],
+)
+def test_odd_pages(body, want):
+    assert htmltree.main_text(page(body)) == want
+
+
+@pytest.mark.parametrize("text", ["<button>x" * 60_000, "<script>x" * 60_000, "<a <a <a " * 60_000, "<div>" * 100_000 + "x" + "</p>" * 100_000, "<!--" * 100_000, "<p title=\"" * 50_000, "<svg>" * 50_000 + "x</svg>", "<p>x" * 100_000, "<" * 300_000, "</div" * 100_000, "&amp" * 100_000])
+def test_long_pages_in_time(text):
+    import time
+
+    began = time.process_time()
+    htmltree.main_text(text)
+    assert time.process_time() - began < 8
+
+
+def plain_tree(pages_):
+    """{(host, path): (pages, importance, share)} as the definition has it, page by page."""
+    from math import log
+
+    hosts = {}
+    for host, text in pages_:
+        texts, chains, nodes = htmltree.read(text)
+        hosts.setdefault(host, {})[frozenset(zip(chains, texts))] = (set(zip(chains, texts)), {c: s for _, s, c in nodes})
+    out = {}
+    for host, own in hosts.items():
+        every = {c for _, nodes in own.values() for c in nodes}
+        m = {c: sum(c in nodes for _, nodes in own.values()) for c in every}
+        entropy = lambda counts, base: sum(n * log(n) for n in counts) / sum(counts) / log(base) if base > 1 else 0.0
+        leaf = {}
+        for c in every:
+            counts = Counter(t for found, _ in own.values() for d, t in found if d == c)
+            if counts:
+                leaf[c] = (sum(counts.values()), max(0.0, 1 - entropy(counts.values(), m[c])) if m[c] > 1 else 1.0)
+        whole = sum(n * w for n, w in leaf.values())
+        for c in every:
+            styles = Counter(nodes[c] for _, nodes in own.values() if c in nodes)
+            under = [x for d, x in leaf.items() if d[: len(c)] == c]
+            mass, n = sum(k * w for k, w in under), sum(k for k, _ in under)
+            look = 1 - entropy(styles.values(), m[c]) if m[c] > 1 else 1.0
+            out[host, c[-1]] = (m[c], 1 - (1 - mass / n) * (1 - (1 - 0.9 ** len(styles)) * look), mass / whole if whole else 0.0)
+    return out
+
+
+def test_style_tree_by_definition(spark):
+    rng = np.random.default_rng(3)
+    word = lambda: "w" + str(rng.integers(3))
+    bodies = ["".join(f"<div class='{word()}'><p>{word()}</p>{'<ul>' + '<li>x</li>' * int(rng.integers(3)) + '</ul>'}{word()}</div>" for _ in range(rng.integers(4))) + f"<p>{i % 7}</p>" for i in range(60)]
+    rows = [(i, f"http://h{i % 3}.org/", page(b)) for i, b in enumerate(bodies)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {(r.host, r.path): (r.pages, r.importance, r.share) for r in htmltree.style_tree(htmltree.parsed(df)).collect()}
+    want = plain_tree([(f"h{i % 3}.org", h) for i, _, h in rows])
+    assert got.keys() == want.keys() and len(want) > 20 and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_nothing_goes_without_the_tree(spark):
+    """A box that every page repeats inside its article, with a date of its own: only the tree can tell. Deep and null pages beside it."""
+    box = "<div class='note'><p>Written by the house</p><p>All rights with us</p><p>As ever</p><span>On day {}</span></div>"
+    rows = [(i, f"http://h.org/{i}", page(f"<article><h1>T {i}</h1>" + "".join(f"<p>Story {i} {k}</p>" for k in range(6)) + box.format(i) + "</article>")) for i in range(20)]
+    rows += [(50, "http://h.org/", "<div>" * 3000 + "deep"), (51, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    with_tree = {r.page_id: r.text for r in htmltree.extract(df).collect()}
+    without = {r.page_id: r.text for r in htmltree.extract(df, min_importance=-1.0).collect()}
+    story = lambda i: f"T {i} " + " ".join(f"Story {i} {k}" for k in range(6))
+    assert with_tree == {i: story(i) for i in range(20)} | {50: "deep", 51: ""}
+    assert without[3] == story(3) + " Written by the house All rights with us As ever On day 3"
 
 
 def test_style_tree_removes_furniture(spark):
