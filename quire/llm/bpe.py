@@ -24,8 +24,8 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import id_text, shuffle_partitions
-from .suffix import gather, labels, squeeze, unsqueeze
+from .common import gather, id_text, labels, shuffle_partitions
+from .suffix import squeeze, unsqueeze
 
 VOCABULARY = "word_bpe_49k.json"
 BLOCK_BYTES = 24 << 20

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, label_column, labels, mix64, runs, shuffle_partitions
+from .common import gather, id_text, label_column, labels, mix64, runs, shuffle_partitions
 
 MIN_LEN, GRAM = 50, 24
 BLOCK = 1 << 18  # bytes worked on at once
@@ -98,11 +98,6 @@ def digests(buf: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix64((total[b] - total[a]) * _POWERS[1][a] + (b - a).astype(np.uint64) * np.uint64(0x94D049BB133111EB))
 
 
-def gather(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Positions begin[i], ..., begin[i] + size[i] - 1 for every i, in a row."""
-    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
-
-
 class Windows:
     """The runs of neighbouring windows with one key in a block of texts.
 

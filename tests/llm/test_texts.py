@@ -238,6 +238,57 @@ def test_machine_learns_pairs():
     assert score("alpha beta") > 0.7 > 0.3 > max(score("alpha"), score("beta"), score("other"))
 
 
+@pytest.mark.parametrize("rule", ["xor", "neutral pair"])
+def test_machine_learns_pairs_of_neutral_terms(rule):
+    """Neither term tells anything alone; no filter may drop them before their pair is seen."""
+    rng, rows, y = np.random.default_rng(2), [], []
+    for i in range(3000):
+        a, b = (rng.random(2) < 0.5).tolist()
+        noise = [f"w{k}" for k in rng.integers(0, 300, 12)]
+        rows.append(toxicity.terms(" ".join([*(["alpha"] * a), *(["beta"] * b), *noise])))
+        y.append(int(a != b) if rule == "xor" else int(a == b))
+    y = np.array(y)
+    assert set(toxicity.terms("alpha beta")) <= set(toxicity.telling(rows, y > 0))
+    m = toxicity.FactorizationMachine.fit(rows, y)
+    score = lambda t: m.score(toxicity.terms(t))
+    alone, same = [score("alpha w1 w2"), score("beta w5")], [score("alpha beta w9"), score("w3 w4")]
+    assert min(alone) > 0.7 > 0.3 > max(same) if rule == "xor" else min(same) > 0.7 > 0.3 > max(alone)
+
+
+@given(st.integers(0, 40), st.integers(0, 1000))
+@settings(deadline=None)
+def test_score_is_the_sum_over_pairs(n, seed):
+    rng = np.random.default_rng(seed)
+    known = np.sort(rng.choice(1 << 40, 60, replace=False).astype(np.uint64))
+    m = toxicity.FactorizationMachine(known, 0.1, rng.normal(size=60) * 0.2, rng.normal(size=(60, 3)) * 0.3)
+    own = rng.choice(60, n, replace=False)
+    plain = 0.1 + sum(m.weights[i] for i in own) + sum(float(m.factors[i] @ m.factors[j]) for k, i in enumerate(own) for j in own[:k])
+    strange = np.array([3, 5], np.uint64) + np.uint64(1 << 41)
+    assert np.isclose(m.logit(m.places(np.sort(np.r_[known[own], strange]))), plain)
+    assert np.isclose(m.score(known[own]), 1 / (1 + np.exp(-np.clip(plain, -30, 30))))
+
+
+def test_gradient_of_a_batch():
+    rng = np.random.default_rng(4)
+    places = [np.sort(rng.choice(9, k, replace=False)) for k in (3, 0, 5, 1)]
+    b = toxicity._Batch(places, np.zeros(4))
+    x = rng.normal(size=(9, 2))
+    assert np.allclose(b.by_row(x[b.at]), [x[np.searchsorted(b.terms, p)].sum(axis=0) for p in places])
+    assert np.allclose(b.by_term(b.row + 1.0), [sum(r + 1 for r, p in enumerate(places) if t in p) for t in b.terms])
+
+
+def test_sample_of_terms(spark, monkeypatch):
+    """Repeated, tied and oversized rows; more terms than the bound; columns with the names used inside."""
+    texts = [(i, f"{'idiot' if i % 3 == 0 else 'nice'} words of row {i % 40}") for i in range(200)]
+    texts += [texts[0], texts[0], (1000, " ".join(f"t{k}" for k in range(3000))), (1001, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "1 AS toxic", "'x' AS terms", "2 AS key", "3 AS score")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in texts] + [(0, 0), (None, 1), (7, None)], "doc_id long, toxic int").selectExpr("*", "1 AS text")
+    monkeypatch.setattr(toxicity, "MAX_TERMS", 700)
+    m = toxicity.fit(docs, labels)
+    got = toxicity.score(docs, m).collect()
+    assert len(got) == len(texts) and all(r.predicted == (r.doc_id % 3 == 0) for r in got if r.doc_id < 200)
+
+
 def test_toxicity(spark, edge_docs):
     top = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{top}/documents.parquet"), spark.read.parquet(f"{top}/labels.parquet")
