@@ -4,7 +4,7 @@ One pass splits texts into the words that the tokenizer's merges never cross, an
 single exchange: the distinct words of a *block* of texts (by a hash of the word, so that each distinct word of the
 corpus meets itself in one bucket and is encoded once there), and the block's texts as positions in its own list of
 words. Buckets send the ids of its words back to each block, where they are joined by position.
-A block is a bounded amount of text; decoding joins ids to the vocabulary's pieces, word by word.
+A block is a bounded amount of text, the same whenever its task runs; decoding joins ids to the vocabulary's pieces, word by word.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from .suffix import squeeze, unsqueeze
 
 VOCABULARY = "word_bpe_49k.json"
 BLOCK_BYTES = 24 << 20
+#: Buckets of words, at most: a block sends a row to each, so rows grow with the blocks alone.
+MAX_BUCKETS = 4096
 WORDS, TEXTS = 0, 1
 ROWS = "label int, block long, kind int, body binary"
 
@@ -75,9 +77,10 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 class Coder:
     def __init__(self, path: str, n: int):
         self.path, self.n, self.label = path, n, labels(n)
+        self.buckets = min(n, MAX_BUCKETS)
 
     def split(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of both kinds for every block of texts."""
+        """Rows of both kinds for every block of texts. Texts come sorted, so a task that runs again makes the same blocks."""
         splitter, count = Splitter(self.path), 0
         ids: dict[str, int] = {}
         docs: list[int | None] = []
@@ -89,14 +92,14 @@ class Coder:
             block = (TaskContext.get().partitionId() << 24) + count
             home = self.label[(TaskContext.get().partitionId() + count * 7919) % self.n]  # neighbours on parts of their own
             words = list(ids)
-            bucket = np.array([xxhash.xxh64_intdigest(w.encode(), 3) % self.n for w in words], np.int64)
+            bucket = np.array([xxhash.xxh64_intdigest(w.encode(), 3) % self.buckets for w in words], np.int64)
             order = np.argsort(bucket, kind="stable")
-            bounds = np.searchsorted(bucket[order], np.arange(self.n + 1))
+            bounds = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
             rows = [(home, block, TEXTS, zstandard.ZstdCompressor(level=3).compress(self._texts(docs, sizes, places)))]
-            for b in range(self.n):
+            for b in range(self.buckets):
                 own = order[bounds[b] : bounds[b + 1]]
                 if len(own):
-                    rows.append((self.label[b], block, WORDS, squeeze(np.array([home], np.int32), own.astype(np.uint32), "\n".join(words[i] for i in own).encode())))
+                    rows.append((self.label[b * self.n // self.buckets], block, WORDS, squeeze(np.array([home], np.int32), own.astype(np.uint32), "\n".join(words[i] for i in own).encode())))
             return _batch(rows)
 
         for batch in batches:
@@ -183,7 +186,7 @@ class Coder:
 def _coded(docs: DataFrame, vocabulary: str | None, schema: str, row) -> DataFrame:
     n = shuffle_partitions(docs.sparkSession)
     coder = Coder(vocabulary or public_tokenizers.path(VOCABULARY), n)
-    dealt = id_text(docs).mapInArrow(coder.split, ROWS).repartition(n, "label")
+    dealt = id_text(docs).sortWithinPartitions("doc_id", "text").mapInArrow(coder.split, ROWS).repartition(n, "label")
     answers = dealt.mapInArrow(coder.encode, ROWS)
     names, types = zip(*(x.split() for x in schema.split(", ")))
     arrow = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -33,10 +34,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def reliable_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir where set, else one beside the warehouse (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset: a folder of the warehouse, if that is in a shared file
+    system or all executors are on this machine; else there is none, and that is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        own = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+        own = spark.conf.get("spark.checkpoint.dir", None)
+        if not own:
+            top = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+            if not sc.master.startswith("local[") and sc.master != "local" and re.match(r"file:|/", top):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            own = f"{top}/_checkpoints"
         sc.setCheckpointDir(own)
     return sc.getCheckpointDir()
 

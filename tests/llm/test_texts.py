@@ -223,6 +223,35 @@ def test_bpe(spark, sf, edge_docs, make_docs):
     assert bpe.digest(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("buckets", [4096, 2])
+def test_bpe_of_many_blocks(spark, sf, buckets, tmp_path):
+    """Several blocks in each task and more partitions than buckets: positions are joined within their own block. Workers take the
+    sizes from the module, so the functions run here, in one process."""
+    import pyarrow.parquet as pq
+
+    t = Tokenizer.from_file(public_tokenizers.path(bpe.VOCABULARY))
+    t.no_truncation()
+    t.no_padding()
+    table = pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text"]).slice(0, 60)
+    coder = bpe.Coder(public_tokenizers.path(bpe.VOCABULARY), 5)
+    coder.buckets = min(5, buckets)
+    was, bpe.BLOCK_BYTES = bpe.BLOCK_BYTES, 4000
+    task = bpe.TaskContext.get
+    bpe.TaskContext.get = staticmethod(lambda: type("T", (), {"partitionId": lambda self: 3})())
+    try:
+        dealt = pa.Table.from_batches(list(coder.split(iter(table.to_batches(max_chunksize=7)))))
+    finally:
+        bpe.BLOCK_BYTES, bpe.TaskContext.get = was, task
+    blocks = set(dealt.column("block").to_pylist())
+    assert len(blocks) > 5
+    of = lambda x, label: x.filter(pa.compute.equal(x.column("label"), label))
+    labels = sorted(set(dealt.column("label").to_pylist()))
+    answers = pa.Table.from_batches([b for x in labels for b in coder.encode(iter(of(dealt, x).to_batches()))])
+    got = {d: (ids.tolist(), text) for x in labels for d, ids, text in coder.finish(of(dealt, x), of(answers, x))}
+    want = {d: (ids := t.encode(text or "", add_special_tokens=False).ids, t.decode(ids, skip_special_tokens=False)) for d, text in zip(*(c.to_pylist() for c in table.columns))}
+    assert got == want
+
+
 # ---- toxicity
 
 
