@@ -29,7 +29,7 @@ from .components import Shelf, components
 THRESHOLD = 0.95
 SAMPLE, SAMPLE_BYTES = 20_000, 32 << 20  # vectors that centroids are fitted on, at most
 CELL, MAX_CELLS, ROUNDS = 512, 2048, 8
-TILE, VISITORS, BLOCK = 2048, 16_384, 1024
+TILE, VISITORS, BLOCK = 8192, 16_384, 1024
 STEPS = 128  # to the radian, in which angles are counted
 
 
@@ -148,14 +148,9 @@ class Tiles:
             self.shells[dim, cell] = out
         self.count = at + 1
 
-    def home(self, dim: int, cell: int, step: int, digest: int) -> int:
-        first, many = next((s[0], s[1]) for s in self.shells[dim, cell] if s[2] <= step <= s[3])
-        return first + digest % many
-
-    def visited(self, dim: int, cell: int, angle: float, reach: float) -> Iterator[int]:
-        for first, many, low, high in self.shells.get((dim, cell), ()):
-            if low / STEPS - reach <= angle <= (high + 1) / STEPS + reach:
-                yield from range(first, first + many)
+    def of(self, dim: int) -> list[tuple[int, int, int, int, int]]:
+        """(cell, first tile, how many, least and greatest step) of every shell of a dimension."""
+        return [(cell, *shell) for (d, cell), shells in self.shells.items() if d == dim for shell in shells]
 
 
 def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vec_col: str = "embedding", tile: int = TILE, visitors: int = VISITORS) -> DataFrame:
@@ -197,27 +192,27 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
         """A row at home (kind 0) for each block of its tile, and a row to compare (kind 1) in its block of each tile that it visits."""
         for batch in batches:
             dims, cells_, steps = (np.asarray(batch.column(i)) for i in (2, 4, 5))
-            rows, to, kinds = [], [], []
-            for d in np.unique(dims):
-                where, c = np.flatnonzero(dims == d), state.value.get(int(d))
+            spread = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u8")[::2]  # the digests' first halves
+            for d in np.unique(dims).tolist():
+                where, c, shells, every = np.flatnonzero(dims == d), state.value.get(d), told.value.of(d), told.value.count
                 for i in range(0, len(where), BLOCK):
                     part = where[i : i + BLOCK]
                     if c:
-                        sims = c.sims(unit(stack(batch.column(3).take(pa.array(part)), int(d), kind)))
+                        sims = c.sims(unit(stack(batch.column(3).take(pa.array(part)), d, kind)))
                         near, angle = c.near(sims, cells_[part]), angles(sims)
-                    for j, p in enumerate(part.tolist()):
-                        h = p_hash(batch.column(0)[p].as_py())
-                        home = told.value.home(int(d), int(cells_[p]), int(steps[p]), h >> 20)
-                        seen = {t for k in np.flatnonzero(near[j]).tolist() for t in told.value.visited(int(d), k, angle[j, k], c.angle)} if c else set(told.value.visited(int(d), -1, 0, 4))
-                        rows += [p] * (blocks + len(seen))
-                        to += [home * blocks + b for b in range(blocks)] + [t * blocks + h % blocks for t in seen]
-                        kinds += [0] * blocks + [1] * len(seen)
-                        if len(rows) >= 1 << 14:
-                            yield batch_of(batch, rows, to, kinds)
-                            rows, to, kinds = [], [], []
-            yield batch_of(batch, rows, to, kinds)
-
-    def batch_of(batch: pa.RecordBatch, rows: list[int], to: list[int], kinds: list[int]) -> pa.RecordBatch:
+                    home, seen = np.zeros(len(part), np.int64), [np.zeros(0, np.int64)]
+                    for cell, first, many, low, high in shells:
+                        own = np.flatnonzero((cells_[part] == cell) & (low <= steps[part]) & (steps[part] <= high))
+                        home[own] = first + (spread[part[own]] >> np.uint64(20)).astype(np.int64) % many
+                        to = np.flatnonzero(near[:, cell] & (low / STEPS - c.angle <= angle[:, cell]) & (angle[:, cell] <= (high + 1) / STEPS + c.angle)) if c else np.arange(len(part))
+                        seen.append((to[:, None] * every + first + np.arange(many)).ravel())
+                    visits = np.unique(np.concatenate(seen))
+                    row, to = visits // every, visits % every
+                    rows = np.r_[np.repeat(part, blocks), part[row]]
+                    task = np.r_[(home[:, None] * blocks + np.arange(blocks)).ravel(), to * blocks + (spread[part[row]] % np.uint64(blocks)).astype(np.int64)]
+                    yield batch_of(batch, rows, task, np.repeat([0, 1], [len(part) * blocks, len(row)]))
+
+    def batch_of(batch: pa.RecordBatch, rows: np.ndarray, to: np.ndarray, kinds: np.ndarray) -> pa.RecordBatch:
         taken = batch.take(pa.array(rows, pa.int64()))
         return pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(kinds, pa.int32()), *taken.columns], ["task", "kind", *batch.schema.names])
 
@@ -243,10 +238,6 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
-def p_hash(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "little")
-
-
 class _Tile:
     """The homes of a tile, by cell, and the vectors that are compared with them."""
 
