@@ -113,9 +113,9 @@ def dq_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dq_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents against themselves with one digit changed, cut, or without their tags."""
+    """Documents against themselves with one digit changed, a single word, or themselves without their tags or with others."""
     src = F.concat(F.lit("<p>"), "text", F.lit("</p>"))
-    dst = F.expr("CASE doc_id % 4 WHEN 0 THEN concat('<p>', replace(text, '1', '2'), '</p>') WHEN 1 THEN concat('<p>', left(text, 30), '</p>') WHEN 2 THEN text ELSE concat('<P>', text, '</P>') END")
+    dst = F.expr("CASE doc_id % 4 WHEN 0 THEN concat('<p>', replace(text, '1', '2'), '</p>') WHEN 1 THEN concat('<p>', 'brief', '</p>') WHEN 2 THEN text ELSE concat('<P>', text, '</P>') END")
     d = table(spark, sf_dir, "documents").select("doc_id", src.alias("src"), dst.alias("dst"))
     return d.select("doc_id", quality.flag(F.col("src"), F.col("dst")).alias("flag"))
 
@@ -158,14 +158,14 @@ def paragraph_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hyphen_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = doc_arrays(spark, sf_dir)
-    cut = F.transform("lines", lambda x, i: F.when(i % 3 == 0, F.concat(F.rtrim(F.left(x, F.lit(40))), F.lit("-"))).otherwise(F.left(x, F.lit(40))))
+    cut = F.transform("lines", lambda x, i: F.when(i % 3 == 0, F.concat(F.rtrim(x), F.lit("-"))).otherwise(x))
     return d.select("doc_id", layout.join_text(cut).alias("text"))
 
 
 def classify_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.expr("CASE i % 7 WHEN 1 THEN upper(replace(left(line, 60), 'ß', 's')) WHEN 2 THEN concat(left(line, 20), ' 12 345 6789 01 23') WHEN 3 THEN concat(left(line, 12), ' = + ×') ELSE line END")
+    t = F.expr("CASE i % 7 WHEN 1 THEN upper(replace(line, 'ß', 's')) WHEN 2 THEN concat('Total ', doc_id, ' 12 345 6789 01 23') WHEN 3 THEN concat('x', i, ' = + ×') WHEN 4 THEN concat('PART ', i) ELSE line END")
     lines = doc_lines(spark, sf_dir).select(F.col("doc_id").alias("book_id"), "page_no", F.col("i").alias("para_seq"), t.alias("text"))
-    p = lines.withColumn("html", F.expr("CASE WHEN para_seq % 7 = 1 THEN concat('<b>', text, '</b>') ELSE text END")).withColumn("size", F.expr("double(8 + length(text) % 4)"))
+    p = lines.withColumn("html", F.expr("CASE WHEN para_seq % 7 IN (1, 4) THEN concat('<b>', text, '</b>') ELSE text END")).withColumn("size", F.expr("double(8 + length(text) % 4)"))
     return layout.classify(p).select(F.col("book_id").alias("doc_id"), F.col("para_seq").alias("i"), "kind")
 
 
@@ -215,7 +215,7 @@ def figure_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.expr("CASE i % 5 WHEN 0 THEN concat('| Figure ', i, ' ', left(line, 20)) WHEN 1 THEN cast(i AS string) WHEN 2 THEN 'xii' ELSE left(line, 30) END")
+    t = F.expr("CASE i % 5 WHEN 0 THEN concat('| Figure ', i, ' ', line) WHEN 1 THEN cast(i AS string) WHEN 2 THEN 'xii' ELSE line END")
     d = doc_lines(spark, sf_dir).select("doc_id", "i", t.alias("t"))
     return d.select("doc_id", "i", X.is_caption(F.col("t")).alias("caption"), X.is_page_number(F.col("t")).alias("number"), X.is_prose(F.col("t")).alias("prose"), X.has_letters(F.col("t")).alias("letters"), X.collapse(F.col("t"), 20).alias("shown"))
 
@@ -240,7 +240,7 @@ def spine_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prev_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = context.previous_rows(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], F.left("text", F.lit(20)))
+    c = context.previous_rows(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], F.col("text"))
     return c.select("conv_id", "turn", F.array_join("before", "|").alias("context"))
 
 
@@ -307,7 +307,7 @@ def upsert_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seg_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answer = F.expr("""concat('<seg id="', doc_id, '">', left(text, 50), '</seg> junk <seg id="', doc_id + 1, '" x="1">', left(text, 20), '</seg><seg id="', doc_id, '">last</seg>')""")
+    answer = F.expr("""concat('<seg id="', doc_id, '">', text, '</seg> junk <seg id="', doc_id + 1, '" x="1">', text, '</seg><seg id="', doc_id, '">last</seg>')""")
     d = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.segments(answer)).alias("s"))
     return d.select("doc_id", F.col("s.id").alias("id"), F.col("s.body").alias("body"))
 

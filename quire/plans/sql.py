@@ -12,7 +12,7 @@ _BLOCKS = ", ".join(f"'{t}'" for t in sorted(BLOCK_TAGS))
 #: Leaf blocks by windows over tokens: a leaf's group of tokens begins with its opening tag and the next block tag closes.
 LEAVES = rf"""
     c AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>', '', 'g') AS h FROM pages),
-    t AS (SELECT page_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i FROM (SELECT page_id, regexp_extract_all(h, '(?s)<[^>]*>|[^<]+') AS toks FROM c)),
+    t AS (SELECT page_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i FROM (SELECT page_id, regexp_extract_all(h, '(?s)<(?:[^>="'']|=\s*"[^"]*"|=\s*''[^'']*''|[="''])*>|[^<]+') AS toks FROM c)),
     k AS (SELECT *, starts_with(tok, '<') AS is_tag, starts_with(tok, '</') AS is_close, lower(regexp_extract(tok, '^</?([a-zA-Z][^\s/>]*)', 1)) AS nm FROM t),
     b AS (SELECT *, nm IN ({_BLOCKS}) AS is_block, sum(CASE WHEN nm IN ('nav', 'pre') THEN CASE WHEN is_close THEN -1 ELSE 1 END ELSE 0 END) OVER w AS depth,
                  sum(CASE WHEN nm IN ({_BLOCKS}) THEN 1 ELSE 0 END) OVER w AS gid FROM k WINDOW w AS (PARTITION BY page_id ORDER BY i)),
@@ -95,7 +95,7 @@ ORACLE: dict[str, str] = {
         f AS (SELECT conv_id, turn, {flag_sql('src', 'dst')} AS flag FROM p WHERE role = 'user' AND r = 'assistant')
         SELECT conv_id, turn, flag, CASE WHEN flag IS NULL THEN 'accept' WHEN flag IN ('missing_number', 'missing_term') THEN 'advise' ELSE 'retry' END AS action FROM f""",
     "dq_numbers": f"""
-        WITH p AS (SELECT doc_id, '<p>' || text || '</p>' AS src, CASE doc_id % 4 WHEN 0 THEN '<p>' || replace(text, '1', '2') || '</p>' WHEN 1 THEN '<p>' || left(text, 30) || '</p>' WHEN 2 THEN text ELSE '<P>' || text || '</P>' END AS dst FROM documents)
+        WITH p AS (SELECT doc_id, '<p>' || text || '</p>' AS src, CASE doc_id % 4 WHEN 0 THEN '<p>' || replace(text, '1', '2') || '</p>' WHEN 1 THEN '<p>' || 'brief' || '</p>' WHEN 2 THEN text ELSE '<P>' || text || '</P>' END AS dst FROM documents)
         SELECT doc_id, {flag_sql('src', 'dst')} AS flag FROM p""",
     "dq_missing_term": rf"""
         WITH d AS (SELECT doc_id, text AS src, left(text, length(text) // 2) AS dst FROM documents),
@@ -125,13 +125,13 @@ ORACLE: dict[str, str] = {
         br AS (SELECT st.*, sum(CASE WHEN coalesce(step > pitch * 1.6::DOUBLE OR ind > 6.0::DOUBLE OR le, false) THEN 1 ELSE 0 END) OVER (PARTITION BY page_no ORDER BY ord) AS para FROM st JOIN pp USING (page_no))
         SELECT page_no, min(ord) AS para_seq, string_agg(text, ' ' ORDER BY ord) AS text, max(size) AS size, min(x0) AS x0, min(y0) AS y0, count(*) AS n_lines FROM br GROUP BY page_no, para""",
     "hyphen_join": rf"""
-        WITH RECURSIVE {LINES}, c AS (SELECT doc_id, i, CASE WHEN i % 3 = 0 THEN rtrim(left(line, 40)) || '-' ELSE left(line, 40) END AS l FROM lines), m AS (SELECT doc_id, max(i) AS last FROM c GROUP BY doc_id),
+        WITH RECURSIVE {LINES}, c AS (SELECT doc_id, i, CASE WHEN i % 3 = 0 THEN rtrim(line) || '-' ELSE line END AS l FROM lines), m AS (SELECT doc_id, max(i) AS last FROM c GROUP BY doc_id),
         r AS (SELECT doc_id, i, l AS t FROM c WHERE i = 0
               UNION ALL SELECT c.doc_id, c.i, CASE WHEN regexp_matches(t, '[a-zA-Zà-ỹÀ-ÖØ-Þ]-$') THEN CASE WHEN regexp_matches(c.l, '^\p{{Ll}}') THEN left(t, length(t) - 1) || c.l ELSE t || c.l END ELSE t || ' ' || c.l END FROM r JOIN c ON c.doc_id = r.doc_id AND c.i = r.i + 1)
         SELECT r.doc_id, r.t AS text FROM r JOIN m ON r.doc_id = m.doc_id AND r.i = m.last""",
     "classify_blocks": rf"""
-        WITH {LINES}, t AS (SELECT doc_id, i, i // 10 AS page_no, CASE i % 7 WHEN 1 THEN upper(replace(left(line, 60), 'ß', 's')) WHEN 2 THEN left(line, 20) || ' 12 345 6789 01 23' WHEN 3 THEN left(line, 12) || ' = + ×' ELSE line END AS text FROM lines),
-        p AS (SELECT *, i % 7 = 1 AS bold, (8 + length(text) % 4)::DOUBLE AS size FROM t),
+        WITH {LINES}, t AS (SELECT doc_id, i, i // 10 AS page_no, CASE i % 7 WHEN 1 THEN upper(replace(line, 'ß', 's')) WHEN 2 THEN 'Total ' || doc_id || ' 12 345 6789 01 23' WHEN 3 THEN 'x' || i || ' = + ×' WHEN 4 THEN 'PART ' || i ELSE line END AS text FROM lines),
+        p AS (SELECT *, i % 7 IN (1, 4) AS bold, (8 + length(text) % 4)::DOUBLE AS size FROM t),
         z AS (SELECT doc_id, page_no, size, sum(length(text)) AS n, min(i) AS f FROM p GROUP BY ALL),
         b AS (SELECT doc_id, page_no, size AS body FROM z QUALIFY row_number() OVER (PARTITION BY doc_id, page_no ORDER BY n DESC, f) = 1),
         x AS (SELECT doc_id, i, bold, size, body, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s FROM p JOIN b USING (doc_id, page_no)),
@@ -169,7 +169,7 @@ ORACLE: dict[str, str] = {
         SELECT page_no, seq, CASE k WHEN 0 THEN 'Figure 3 a map' WHEN 1 THEN 'K Ores' WHEN 2 THEN 'a sentence of plain prose that is long enough to stay' ELSE 'x' END AS text FROM l
         WHERE k IN (0, 2) OR NOT EXISTS (SELECT 1 FROM f WHERE f.page_no = l.page_no AND greatest(0, least(x0 + 60, b) - greatest(x0, a)) * greatest(0, least(y0 + 10, 260) - greatest(y0, 20)) / 600.0 >= 0.5)""",
     "text_kinds": rf"""
-        WITH {LINES}, x AS (SELECT doc_id, i, CASE i % 5 WHEN 0 THEN '| Figure ' || i || ' ' || left(line, 20) WHEN 1 THEN i::VARCHAR WHEN 2 THEN 'xii' ELSE left(line, 30) END AS t FROM lines),
+        WITH {LINES}, x AS (SELECT doc_id, i, CASE i % 5 WHEN 0 THEN '| Figure ' || i || ' ' || line WHEN 1 THEN i::VARCHAR WHEN 2 THEN 'xii' ELSE line END AS t FROM lines),
         y AS (SELECT *, regexp_replace(t, '^\s+|\s+$', '', 'g') AS s FROM x),
         z AS (SELECT *, length(regexp_replace(s, '[^\p{{L}} ]', '', 'g')) AS letters_, len(list_filter(regexp_split_to_array(s, '\s+'), lambda w: length(regexp_replace(w, '[^\p{{L}}]', '', 'g')) >= 2)) AS words FROM y)
         SELECT doc_id, i, regexp_matches(t, '(?i)^[^\w\p{{L}}\p{{N}}]*(Figure|Fig\.)\s+\d+') AS caption, regexp_matches(s, '(?i)^(\d{{1,3}}|[ivxlc]{{1,6}})$') AS number,
@@ -183,7 +183,7 @@ ORACLE: dict[str, str] = {
         WITH m AS (SELECT p_brand AS book_id, 'c' || p_size || '.xhtml' AS name, CASE WHEN p_partkey % 3 = 0 THEN -p_partkey END AS place, p_partkey AS seq FROM part WHERE p_partkey % 7 <> 0 AND p_partkey % 13 <> 0),
         f AS (SELECT book_id, name, min({'a': place IS NULL, 'b': coalesce(place, seq)}) AS o FROM m GROUP BY ALL)
         SELECT book_id, name, row_number() OVER (PARTITION BY book_id ORDER BY o) - 1 AS place FROM f""",
-    "prev_context": "SELECT conv_id, turn, coalesce(array_to_string(list(left(text, 20)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '|'), '') AS context FROM conversations",
+    "prev_context": "SELECT conv_id, turn, coalesce(array_to_string(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '|'), '') AS context FROM conversations",
     "chunk_context": f"""
         WITH {BOOKS}, h AS (SELECT book_id, chunk_id, min(block_id) AS head FROM books GROUP BY ALL)
         SELECT h.book_id, h.chunk_id, x.block_id, x.dst_html, x.age FROM h, LATERAL (SELECT block_id, dst_html, row_number() OVER (ORDER BY block_id DESC) AS age FROM books b WHERE b.book_id = h.book_id AND dst_html IS NOT NULL AND page_no >= 0 AND b.block_id < h.head ORDER BY block_id DESC LIMIT 3) x""",
@@ -202,7 +202,7 @@ ORACLE: dict[str, str] = {
         SELECT CASE WHEN hit THEN 'pending' ELSE 'done' END AS status, count(*) AS chunks, sum(CASE WHEN hit THEN 0 ELSE o_custkey END) AS in_tokens, sum(2) AS attempts, sum(targets) AS targets FROM c GROUP BY 1""",
     "overflow_flags": f"WITH {BOOKS} SELECT page_no, CASE WHEN block_id % 17 = 0 THEN 'overflow' WHEN page_no BETWEEN 2 AND 4 THEN NULL ELSE flag END AS flag, count(*) AS n FROM books GROUP BY 1, 2",
     "upsert_meta": "WITH o AS (SELECT o_custkey AS key, arg_max(o_orderpriority, o_orderkey) AS value FROM orders GROUP BY 1) SELECT coalesce(o.key, c_custkey) AS key, coalesce(o.value, c_mktsegment) AS value FROM customer FULL JOIN o ON o.key = c_custkey",
-    "seg_parse": "SELECT doc_id, doc_id AS id, 'last' AS body FROM documents UNION ALL SELECT doc_id, doc_id + 1, left(text, 20) FROM documents",
+    "seg_parse": "SELECT doc_id, doc_id AS id, 'last' AS body FROM documents UNION ALL SELECT doc_id, doc_id + 1, text FROM documents",
     "pad_text": r"""
         WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS l FROM documents)
         SELECT doc_id, CASE WHEN len(l) < 4 THEN text ELSE text || ' ' || array_to_string(l[1:greatest(1, floor(len(l) * 0.25)::INT)], ' ') END AS text FROM w""",
