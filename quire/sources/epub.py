@@ -104,14 +104,25 @@ def ordered_documents(manifest: DataFrame, spine: DataFrame) -> DataFrame:
 
 
 def flatten_contents(entries: DataFrame) -> DataFrame:
-    """(book_id, entry_id, title, depth, place) of a tree of contents (book_id, entry_id, parent_id, ord, title), sections before
-    what they hold. The tree is walked by one recursive query, ordered by the path of places."""
-    entries.createOrReplaceTempView("_contents")
-    return entries.sparkSession.sql("""
-        WITH RECURSIVE t (book_id, entry_id, title, depth, path) AS (
-          SELECT book_id, entry_id, title, 0, format_string('%08d', ord) FROM _contents WHERE parent_id IS NULL
-          UNION ALL
-          SELECT c.book_id, c.entry_id, c.title, t.depth + 1, concat(t.path, '/', format_string('%08d', c.ord)) FROM _contents c JOIN t ON c.book_id = t.book_id AND c.parent_id = t.entry_id
-        )
-        SELECT book_id, entry_id, title, depth, row_number() OVER (PARTITION BY book_id ORDER BY path) - 1 AS place FROM t
-    """)
+    """(book_id, entry_id, title, depth, place) of trees of contents (book_id, entry_id, parent_id, ord, title), sections before
+    what they hold, neighbours by ord and then id. A task walks one book's tree at a time, however deep or long; entries that no root
+    leads to aren't in it."""
+    kinds = dict(entries.dtypes)
+
+    def walk(book: pa.Table) -> pa.Table:
+        below: dict = {}
+        ids, parents, titles, ords = (book.column(c).to_pylist() for c in ("entry_id", "parent_id", "title", "ord"))
+        for row, up in enumerate(parents):
+            below.setdefault(up, []).append(row)
+        for rows in below.values():
+            rows.sort(key=lambda r: (ords[r] is not None, ords[r], ids[r]), reverse=True)  # the next one lies on top
+        stack, out = [(r, 0) for r in below.pop(None, ())], []
+        while stack:
+            row, depth = stack.pop()
+            out.append((row, depth))
+            stack += [(r, depth + 1) for r in below.pop(ids[row], ())]
+        taken = book.take(pa.array([r for r, _ in out], pa.int64()))
+        return pa.table([taken.column("book_id"), taken.column("entry_id"), taken.column("title"), pa.array([d for _, d in out], pa.int32()), pa.array(range(len(out)), pa.int64())], names=["book_id", "entry_id", "title", "depth", "place"])
+
+    rows = entries.select("book_id", "entry_id", "parent_id", F.col("ord").cast("long").alias("ord"), "title")
+    return rows.groupBy("book_id").applyInArrow(walk, f"book_id {kinds['book_id']}, entry_id {kinds['entry_id']}, title {kinds['title']}, depth int, place long")

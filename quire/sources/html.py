@@ -18,8 +18,12 @@ SIBLING_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote div figcaption".split()
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BILINGUAL_CSS = ".bt-src{color:#777;font-size:0.9em;font-style:italic;}"
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S | re.I)
-TAGS = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[^>]*>", re.S | re.I)
+#: Attributes up to the tag's end: a quoted value may hold ``>``.
+INSIDE = r"(?:[^>=\"']++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|[=\"'])*+"
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style)\b{INSIDE}>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)({INSIDE})>", re.S | re.I)
+TAGS = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style)\b{INSIDE}>.*?(?:</\1\s*>|\Z)|</?[a-zA-Z]{INSIDE}>|<[^>]*>", re.S | re.I)
+OPENING = re.compile(rf"<([a-zA-Z][^\s/>]*+)({INSIDE})>")
+ATTRIBUTE = re.compile(r"\s+([^\s=\"'/>]+)(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 SCHEMA = "page_id long, pos int, tag string, src_html string, text string"
 
 
@@ -96,8 +100,8 @@ def leaf_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
 
 def without_anchors(inner: str) -> str:
     """Without ids and names of anchors: a copy must not repeat them."""
-    inner = re.sub(r"(<[a-zA-Z][^>]*?)\s+id\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", r"\1", inner)
-    return re.sub(r"(<a\b[^>]*?)\s+name\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", r"\1", inner, flags=re.I)
+    gone = lambda tag, name: name == "id" or (name == "name" and tag == "a")
+    return OPENING.sub(lambda t: f"<{t[1]}{ATTRIBUTE.sub(lambda m: '' if gone(t[1].lower(), m[1].lower()) else m[0], t[2])}>", inner)
 
 
 def put_back(page: str, targets: dict[int, str], bilingual: bool = False, lang: str = "vi") -> str:
@@ -118,8 +122,8 @@ def put_back(page: str, targets: dict[int, str], bilingual: bool = False, lang:
             out.append(targets[i] + page[x.end : x.close])
         at = x.close
     done = "".join(out) + page[at:]
-    if m := re.search(r"<html\b[^>]*>", done, re.I):
-        tag = re.sub(r"\s+(xml:)?lang\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "", m[0])
+    if m := re.search(rf"<html\b{INSIDE}>", done, re.I):
+        tag = ATTRIBUTE.sub(lambda x: "" if x[1].lower() in ("lang", "xml:lang") else x[0], m[0])
         done = done[: m.start()] + tag[:-1] + f' lang="{lang}">' + done[m.end() :]
     if bilingual and targets and (m := re.search(r"</head\s*>", done, re.I)):
         done = f"{done[: m.start()]}<style>{BILINGUAL_CSS}</style>{done[m.start() :]}"
