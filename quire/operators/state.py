@@ -118,26 +118,31 @@ def pending_blocks(blocks: DataFrame, chunks: DataFrame) -> DataFrame:
     return blocks.where("dst_html IS NULL").join(chunks.where("status <> 'done'").select("book_id", "chunk_id"), ["book_id", "chunk_id"], "left_semi")
 
 
-def accept(answers: DataFrame, attempt: int, attempts: int = ATTEMPTS) -> DataFrame:
-    """Answers (with flag and action) that are taken now: fine ones, advisory ones, and any with text on the last attempt."""
-    last = F.lit(attempt >= attempts) & (F.col("flag") != "empty")
-    return answers.where(F.col("action").isin("accept", "advise") | last)
+def settle(answers: DataFrame, last: bool) -> DataFrame:
+    """(book_id, chunk_id, block_id, dst, flag): what is taken of the answers (with flag, action and attempt) of several attempts: the
+    first that is fine or advisory; when no attempt is left (``last``), else the latest one, if it has any text."""
+    told = F.struct("dst", "flag")
+    good = F.col("action").isin("accept", "advise")
+    best = answers.groupBy("book_id", "chunk_id", "block_id").agg(F.min_by(told, F.when(good, F.col("attempt"))).alias("good"), F.count_if(good).alias("n"), F.max_by(told, "attempt").alias("latest"))
+    chosen = best.withColumn("t", F.when(F.col("n") > 0, F.col("good")).when(F.lit(last) & ~F.col("latest.flag").eqNullSafe("empty"), F.col("latest")))
+    return chosen.where("t IS NOT NULL").select("book_id", "chunk_id", "block_id", "t.dst", "t.flag")
 
 
 def finalise(chunks: DataFrame, blocks: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Chunks after a run. ``ledger`` has a row for every attempt: book_id, chunk_id, provider, model, error, usage.
+    """Chunks after a run. ``ledger`` has a row for every attempt: book_id, chunk_id, provider, model, error, truncated, usage.
 
-    A chunk is done when no block of it is left open, else failed; attempts and tokens are added, missing usage counts 0.
+    A chunk is done when no block of it is left open, else failed, with the last attempt's error or what it left open and whether
+    its answer was cut; attempts and tokens are added, missing usage counts 0.
     """
     left = blocks.where("chunk_id IS NOT NULL").groupBy("book_id", "chunk_id").agg(F.count_if(F.col("dst_html").isNull()).alias("_left"))
     spent = ledger.groupBy("book_id", "chunk_id").agg(
-        F.count("*").alias("_tries"), F.max_by("provider", "attempt").alias("_p"), F.max_by("model", "attempt").alias("_m"), F.max_by("error", "attempt").alias("_e"),
+        F.count("*").alias("_tries"), F.max_by("provider", "attempt").alias("_p"), F.max_by("model", "attempt").alias("_m"), F.max_by("error", "attempt").alias("_e"), F.max_by("truncated", "attempt").alias("_cut"),
         *(F.sum(F.coalesce(c, F.lit(0))).alias(f"_{c}") for c in ("in_tokens", "out_tokens", "cache_read", "cache_write")),
     )
     out = chunks.join(spent, ["book_id", "chunk_id"], "left").join(left, ["book_id", "chunk_id"], "left")
     tried, done = F.col("_tries").isNotNull(), F.coalesce("_left", F.lit(0)) == 0
     out = out.withColumn("status", F.when(tried & done, "done").when(tried, "failed").otherwise(F.col("status")))
-    out = out.withColumn("error", F.when(tried & done, F.lit(None)).when(tried, F.coalesce("_e", F.lit("no answer for some segments; a smaller chunk size may help"))).otherwise(F.col("error")))
+    out = out.withColumn("error", F.when(tried & done, F.lit(None)).when(tried, F.coalesce("_e", F.concat(F.format_string("attempt %d: %d segments missing or wrong", "_tries", "_left"), F.when(F.col("_cut"), " (the answer was cut at the token limit; a smaller chunk size helps)").otherwise("")))).otherwise(F.col("error")))
     out = out.withColumn("attempts", (F.coalesce("attempts", F.lit(0)) + F.coalesce("_tries", F.lit(0))).cast("int"))
     out = out.withColumn("provider", F.coalesce("_p", "provider")).withColumn("model", F.coalesce("_m", "model"))
     out = out.withColumns({c: F.coalesce(c, F.lit(0)) + F.coalesce(f"_{c}", F.lit(0)) for c in ("in_tokens", "out_tokens", "cache_read", "cache_write")})

@@ -141,27 +141,32 @@ def get(name: str) -> Provider:
     return REGISTRY[name]()
 
 
-ANSWERS = "book_id string, chunk_id long, answer string, error string, fatal boolean, truncated boolean, provider string, model string, in_tokens long, out_tokens long, cache_read long, cache_write long"
+ANSWERS = "book_id string, chunk_id long, answer string, error string, fatal boolean, called boolean, truncated boolean, provider string, model string, in_tokens long, out_tokens long, cache_read long, cache_write long"
 
 
 def ask(prompts: DataFrame, provider: str | Callable[[], Provider], system: str, model: str | None = None) -> DataFrame:
     """Answers to (book_id, chunk_id, prompt): one client for each task; errors are rows, told apart as the provider does.
-    An error of neither kind counts as fatal."""
+    An error of neither kind counts as fatal, and after a fatal one a task calls no more: what is left comes back as not called."""
     make = (lambda: get(provider)) if isinstance(provider, str) else provider
     columns = [x.split()[0] for x in ANSWERS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         who = make()
-        client, name = who.client(), model or who.default_model
+        client, name, stopped = None, model or who.default_model, False
         for batch in batches:
             rows = []
             for book, chunk, prompt in zip(*(c.to_pylist() for c in batch.columns)):
+                if stopped:
+                    rows.append((book, chunk, None, None, False, False, False, who.name, name, 0, 0, 0, 0))
+                    continue
                 try:
+                    client = client or who.client()
                     a = who.call(client, name, system, prompt)
-                    rows.append((book, chunk, a.text, None, False, a.truncated, who.name, name, *a.usage.values()))
+                    rows.append((book, chunk, a.text, None, False, True, a.truncated, who.name, name, *a.usage.values()))
                 except Exception as e:  # noqa: BLE001  every kind of error becomes a row
-                    rows.append((book, chunk, None, str(e), who.is_fatal(e) or not who.is_retryable(e), False, who.name, name, 0, 0, 0, 0))
-            types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), *[pa.int64()] * 4]
+                    stopped = who.is_fatal(e) or not who.is_retryable(e)
+                    rows.append((book, chunk, None, str(e), stopped, True, False, who.name, name, 0, 0, 0, 0))
+            types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), *[pa.int64()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(types), types)], columns)
 
     return prompts.select("book_id", "chunk_id", "prompt").mapInArrow(run, ANSWERS)
