@@ -141,9 +141,12 @@ def mine(spark: SparkSession, a: argparse.Namespace) -> list[str]:
 
 def edit(spark: SparkSession, a: argparse.Namespace) -> list[str]:
     p = Project(spark, a.project).opened()
-    r = p.blocks.where(F.col("block_id") == a.block).first()
-    if r is None:
+    found = p.blocks.where((F.col("block_id") == a.block) & (F.lit(a.book is None) | (F.col("book_id") == a.book))).limit(2).collect()
+    if not found:
         raise Refused(f"no block {a.block}")
+    if len(found) > 1:
+        raise Refused(f"several books have a block {a.block}; name one with --book")
+    r = found[0]
     if a.set is None:
         return [f"block {r.block_id}, page {r.page_no + 1 if r.page_no >= 0 else r.page_no}, {r.kind}" + (f", {r.flag}" if r.flag else ""), f"  source: {r.src_html}", f"  target: {r.dst_html or '(none)'}"]
     try:
@@ -190,9 +193,10 @@ def work(spark: SparkSession, a: argparse.Namespace) -> list[str]:
     lines = spark.createDataFrame(list(enumerate(declared.splitlines())), "seq int, value string")
     system = X.system_prompt(p.text("style.md"), glossary.prompt_text(lines).first()[0])
     try:
-        left = translate.run(p.store, a.provider, system, glossary.parse(lines), todo, pause=a.pause, model=a.model)
+        left = translate.run(p.store, a.provider, system, glossary.parse(lines), todo, pause=a.pause, model=a.model, wave=a.wave)
     except providers.FatalError as e:
         raise Refused(f"{e}\nLook at the key, the model's name and the balance.") from None
+    out += [f"chunk {r.chunk_id} failed: {r.error}" for r in status.failures(p.chunks).collect()]
     return out + [f"{left} chunks are left"]
 
 
@@ -205,9 +209,12 @@ def export(spark: SparkSession, a: argparse.Namespace) -> list[str]:
     def epub(target: str) -> str:
         books = sinks.epub_books(files, sinks.epub_parts(p.blocks), a.bilingual)
         books.write.mode("overwrite").parquet(f"{target}.parts")
-        for r in spark.read.parquet(f"{target}.parts").toLocalIterator():  # one book at a time
-            with open(target, "wb") as f:
-                f.write(r.content)
+        parts, names = spark.read.parquet(f"{target}.parts"), {}
+        several = parts.limit(2).count() > 1  # each book has a file of its own, in a folder of the target's name
+        for r in parts.toLocalIterator():  # one book at a time
+            stem = PurePath(r.book_id).stem
+            names[stem] = names.get(stem, 0) + 1
+            sinks.write_bytes(spark, f"{target}/{stem}{f'-{names[stem]}' if names[stem] > 1 else ''}.epub" if several else target, r.content)
         return target
 
     def pdf(target: str, **_: object) -> str:
@@ -241,9 +248,9 @@ def parser() -> argparse.ArgumentParser:
     command("status", show_status)
     command("inspect", inspect, pages)
     command("glossary", mine, ("--top", {"type": int, "default": 200}))
-    command("edit", edit, ("--block", {"type": int, "required": True}), ("--set", {}))
+    command("edit", edit, ("--block", {"type": int, "required": True}), ("--book", {}), ("--set", {}))
     command("reset", reset, pages, ("--yes", yes))
-    command("translate", work, ("--provider", {"default": os.environ.get("QUIRE_PROVIDER", "echo")}), ("--model", {}), ("--limit", {"type": int}), pages, ("--pause", {"type": float, "default": 5.0}))
+    command("translate", work, ("--provider", {"default": os.environ.get("QUIRE_PROVIDER", "echo")}), ("--model", {}), ("--limit", {"type": int}), pages, ("--pause", {"type": float, "default": 5.0}), ("--wave", {"type": int, "default": 256}))
     command("export", export, (("-o", "--output"), {}), ("--bilingual", yes), ("--mode", {"choices": sinks.PDF_MODES}), pages, ("--dry-run", yes), ("--probe", yes))
     return top
 

@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
@@ -140,3 +140,13 @@ def report_lines(items: DataFrame, samples: int = 20) -> DataFrame:
 def write_lines(lines: DataFrame, path: str) -> None:
     """Lines of one text column as a text file."""
     lines.coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """A file in whatever file system the path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()

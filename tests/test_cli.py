@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from test_operators import make_epub
 
 from quire import cli, fonts, sinks
-from quire.operators import packing
+from quire.operators import packing, state
 
 
 def run(spark, capsys, *args):
@@ -51,6 +51,21 @@ def test_commands(spark, tmp_path, capsys):
     assert "[VI] One A</text>" in z.read("O/n.ncx").decode() and "[VI] A Book &amp; more" in z.read("O/p.opf").decode()
 
 
+def test_several_books(spark, tmp_path, capsys):
+    for place in ("a.epub", "b.epub", "c.epub"):
+        (tmp_path / "in" / place).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / place).write_bytes(make_epub())
+    p, do = tmp_path / "p", lambda *a: run(spark, capsys, *a)
+    assert do("init", tmp_path / "in", "--dir", p)[0] == 0 and "0 chunks are left" in do("translate", p, "--pause", 0, "--wave", 2)[1]
+    code, said = do("edit", p, "--block", 1)
+    assert code == 1 and "--book" in said
+    book = next(r.book_id for r in state.Store(spark, f"{p}/tables").read("blocks").collect() if r.book_id.endswith("c.epub"))
+    assert "changed" in do("edit", p, "--block", 1, "--book", book, "--set", "Một mình")[1]
+    assert "written" in do("export", p, "-o", tmp_path / "out")[1]
+    books = sorted((tmp_path / "out").glob("*.epub"))
+    assert len(books) == 3 and ["Một mình" in zipfile.ZipFile(b).read("O/a.xhtml").decode() for b in books] == [False, False, True]
+
+
 def font(letters):
     """A font file with nothing but a character map."""
     codes = sorted({ord(c) for c in letters})
