@@ -4,6 +4,7 @@ import io
 import sys
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -231,16 +232,37 @@ def raster(boxes, w=200, h=300):
     return bytes(g), w, h
 
 
+def test_figure_noise_is_dropped(spark):
+    lines = spark.createDataFrame([("b", 0, 0, 85.0, 70.0, 120.0, 80.0, "K Ores"), ("b", 0, 1, 20.0, 200.0, 180.0, 210.0, "a long line of plain prose that stays"), ("b", 0, 2, 85.0, 100.0, 120.0, 110.0, "Figure 3 here")], "book_id string, page_no int, seq int, x0 double, y0 double, x1 double, y1 double, text string")
+    figures = spark.createDataFrame([("b", 0, 80.0, 60.0, 130.0, 150.0)], "book_id string, page_no int, x0 double, y0 double, x1 double, y1 double")
+    assert sorted(r.seq for r in geometry.drop_figure_noise(lines, figures).collect()) == [1, 2]
+
+
+def test_whole_pages():
+    import pyarrow as pa
+
+    rows = [("a", 1), ("a", 1), ("a", 2), ("b", 2), ("b", 2), ("b", 2), (None, 2), (None, 3)]
+    table = pa.table({"book_id": [r[0] for r in rows], "page_no": [r[1] for r in rows], "k": range(8)})
+    for size in (1, 2, 3, 8):
+        got = [t.column("k").to_pylist()[a:b] for t, pages in geometry.whole_pages(iter(table.to_batches(max_chunksize=size))) for a, b in pages]
+        assert got == [[0, 1], [2], [3, 4, 5], [6], [7]]
+
+
 def test_figures():
     ink = geometry.components(*raster([(50, 50, 52, 120, 60), (100, 50, 108, 58, 60)]), 1.0)
     assert ink == [(50, 50, 52, 120), (100, 50, 108, 58)]
     assert geometry.components(*raster([(50, 50, 60, 60, 178)]), 1.0) == []
-    find = lambda boxes, told=(): geometry.figure_regions(geometry.components(*raster([(*b, 60) for b in boxes]), 1.0), list(told), 200, 300)
+    find = lambda boxes, told=(), prose=(), caption=(): [tuple(r) for r in geometry.figure_regions(geometry.components(*raster([(*b, 60) for b in boxes]), 1.0), told, prose, caption, 200, 300).tolist()]
     assert find([(90, 60, 92, 140)]) == [(90, 60, 92, 140)]
     assert find([(90, 60, 92, 140), (100, 45, 106, 52)]) == [(90, 45, 106, 140)]
     assert len(find([(30, 40, 32, 90), (150, 200, 152, 260)])) == 2
-    told = [((85, 70, 120, 80), "K Ores"), ((20, 200, 180, 210), "a long line of plain prose that stays"), ((85, 100, 120, 110), "Figure 3 here")]
-    assert geometry.keep_lines(told, [(80, 60, 130, 150)]) == [False, True, True]
+    assert find([(90, 60, 92, 140), (60, 61, 140, 63)], [(85, 142, 160, 152)], [True], [False]) == [(60, 60, 140, 140)]
+    assert find([(90, 60, 92, 140)], [(20, 130, 160, 150)], [True], [False]) == [(90, 60, 92, 129.5)]  # cut back to the prose
+    assert find([(90, 60, 92, 140)], [(20, 130, 160, 150)], [False], [False]) == [(90, 60, 92, 140)]
+    chain = np.array([(20, 100, 160, 110), (20, 112, 160, 122), (30, 124, 160, 134), (20, 200, 160, 210)], float)
+    assert geometry.protected(chain, np.zeros(4, bool), np.array([True, False, False, False])).tolist() == [0, 1, 2]
+    touching = np.array([(0, 0, 10, 10), (20, 0, 30, 10), (10, 5, 20, 8), (50, 50, 60, 60)], float)
+    assert sorted(map(tuple, geometry.merged_boxes(touching).tolist())) == [(0, 0, 30, 10), (50, 50, 60, 60)]
 
 
 # ---- packing
@@ -378,7 +400,82 @@ def test_work_loop(spark, tmp_path):
     store.commit(blocks=blocks, chunks=chunks)
     with pytest.raises(providers.FatalError):
         translate.run(store, Broken, pause=0)
-    assert store.read("chunks").where("status = 'failed'").count() == 2
+    assert store.read("chunks").where("status = 'pending' AND attempts = 1").count() == chunks.where("status = 'pending' AND attempts = 1").count()
+
+
+class Forgetful(providers.Echo):
+    """Segment 5 comes with broken tags the first time and never again; the answers to later attempts are cut."""
+
+    def call(self, client, model, system, user):
+        a = super().call(client, model, system, user)
+        if "missing or wrong" in user:
+            return providers.Answer("", a.usage, "length")
+        a.text = a.text.replace("[VI] source 5", "<b>[VI] source 5").replace('<seg id="6">[VI] source 6</seg>', "")
+        return a
+
+
+class Stops(providers.Echo):
+    """Can't go on at the chunk with segment 6."""
+
+    def call(self, client, model, system, user):
+        if "source 6" in user:
+            raise providers.FatalError("no balance")
+        return super().call(client, model, system, user)
+
+
+def test_best_answer_of_all_attempts(spark, tmp_path):
+    store = state.Store(spark, str(tmp_path / "s"))
+    blocks, chunks = book(spark)
+    store.commit(blocks=blocks, chunks=chunks)
+    translate.run(store, Forgetful, pause=0)
+    rows = {r.block_id: (r.dst_html, r.flag) for r in store.read("blocks").collect()}
+    assert rows[5] == ("<b>[VI] source 5", "tag_mismatch") and rows[6] == (None, None)
+    left = blocks.where("block_id = 6").first().chunk_id
+    c = {r.chunk_id: r for r in store.read("chunks").collect()}
+    assert c[left].status == "failed" and "1 segments missing" in c[left].error and "cut at the token limit" in c[left].error
+
+
+def test_a_stop_loses_one_wave(spark, tmp_path):
+    store = state.Store(spark, str(tmp_path / "s"))
+    blocks, chunks = book(spark)
+    store.commit(blocks=blocks, chunks=chunks)
+    before = {r.chunk_id: r for r in store.read("chunks").collect()}
+    stopped = blocks.where("block_id = 6").first().chunk_id
+    with pytest.raises(providers.FatalError, match="no balance"):
+        translate.run(store, Stops, pause=0, wave=1)
+    after = {r.chunk_id: r for r in store.read("chunks").collect()}
+    assert after[stopped] == before[stopped] and all(after[c].status == "done" for c in after if c < stopped)
+    assert all(after[c] == before[c] for c in after if c > stopped)
+    assert store.read("blocks").where(f"chunk_id = {stopped}").exceptAll(blocks.where(f"chunk_id = {stopped}").select(store.read("blocks").columns)).count() == 0
+    assert translate.run(store, "echo", pause=0, wave=2) == 0
+    assert store.read("blocks").where("dst_html IS NULL AND chunk_id IS NOT NULL").count() == 0
+
+
+def test_nothing_is_called_after_a_fatal_error(spark):
+    asked = spark.createDataFrame([("b", i, f"source {i}") for i in range(5, 9)], "book_id string, chunk_id long, prompt string").coalesce(1)
+    got = {r.chunk_id: (r.called, r.fatal) for r in providers.ask(asked, Stops, "").collect()}
+    assert got == {5: (True, False), 6: (True, True), 7: (False, False), 8: (False, False)}
+
+
+@pytest.mark.parametrize("kind", ["messages", "chat"])
+def test_adapters(kind):
+    """The adapters against clients that answer as the services do."""
+    from types import SimpleNamespace as N
+
+    said = []
+    keep = lambda answer: lambda **k: (said.append(k), answer)[1]
+    if kind == "messages":
+        reply = N(content=[N(type="text", text="a"), N(type="other"), N(type="text", text="b")], usage=N(input_tokens=5, output_tokens=2, cache_read_input_tokens=3, cache_creation_input_tokens=None), stop_reason="max_tokens")
+        a = providers.CachedMessages().call(N(messages=N(create=keep(reply))), "m", "sys", "user")
+        assert a.usage == {"in_tokens": 5, "out_tokens": 2, "cache_read": 3, "cache_write": 0} and said[0]["system"][0]["cache_control"] == {"type": "ephemeral"}
+    else:
+        choice = N(message=N(content="ab"), finish_reason="length")
+        reply = N(choices=[choice], usage=N(prompt_tokens=9, completion_tokens=2, prompt_tokens_details=N(cached_tokens=4)))
+        a = providers.Compatible().call(N(chat=N(completions=N(create=keep(reply)))), "m", "sys", "user")
+        assert a.usage == {"in_tokens": 5, "out_tokens": 2, "cache_read": 4, "cache_write": 0}
+        with pytest.raises(RuntimeError):
+            providers.Compatible().call(N(chat=N(completions=N(create=keep(N(choices=[], usage=None))))), "m", "sys", "user")
+    assert a.text == "ab" and a.truncated
 
 
 def test_providers():
@@ -495,6 +592,37 @@ def test_contents(spark):
     assert [r.title for r in epub.flatten_contents(e).orderBy("place").collect()] == ["A", "A1", "A2", "B"]
 
 
+def test_deep_and_long_contents(spark):
+    deep = spark.range(3000).selectExpr("'d' AS book_id", "id AS entry_id", "CASE WHEN id > 0 THEN id - 1 END AS parent_id", "1 AS ord", "string(id) AS title")
+    long = spark.range(300_000).selectExpr("'l' AS book_id", "id AS entry_id", "CASE WHEN id >= 10 THEN id % 10 END AS parent_id", "id + 100000000 AS ord", "string(id) AS title")
+    lost = spark.createDataFrame([("o", 1, 2, 0, "a"), ("o", 2, 1, 0, "b"), ("o", 3, None, 0, None), ("o", 4, 9, 0, "c")], "book_id string, entry_id long, parent_id long, ord long, title string")
+    got = epub.flatten_contents(deep.withColumn("ord", F.col("ord").cast("long")).unionByName(long).unionByName(lost))
+    assert got.where("book_id = 'd' AND place = entry_id AND depth = entry_id").count() == 3000
+    rows = [tuple(r) for r in got.where("book_id = 'l' AND place BETWEEN 30000 AND 30002").orderBy("place").select("entry_id", "depth").collect()]
+    assert rows == [(1, 0), (11, 1), (21, 1)] and [r.entry_id for r in got.where("book_id = 'o'").collect()] == [3]
+
+
+def test_attributes_that_hold_signs():
+    page = """<html lang='a>b'><p title="a>b">text</p><p title='x > "y"'>more <a id="k>1" name='n' href="#">link</a></p><script data-x=">">var a = "<p>no</p>";</script><p data-a=don't>it</p></html>"""
+    assert [t for *_, t in html.blocks_of(page)] == ["text", "more link", "it"]
+    assert html.without_anchors("""<a title="x>y" id="k>1" name='n' href="#">l</a><b name="m" ID=k>b</b>""") == """<a title="x>y" href="#">l</a><b name="m">b</b>"""
+    done = html.put_back(page, {0: "một"}, bilingual=True)
+    assert '<p title="a>b">một</p><p class="bt-src">text</p>' in done and done.startswith('<html lang="vi">')
+
+
+def test_attributes_that_hold_signs_in_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    from quire.plans.sql import ORACLE
+
+    pages = pd.DataFrame({"page_id": [1, 2], "html": ["""<body><p title="a>b">text</p><div class='x>"y"'><p>in</p></div></body>""", """<p a="1" b='>'>one<br>two</p><ul><li title="<p>">three</li></ul>"""]})
+    c = duckdb.connect()
+    c.register("pages", pages)
+    got = sorted(map(tuple, html.leaf_blocks(spark.createDataFrame(pages)).select("page_id", "pos", "tag", "text").collect()))
+    assert got == sorted(c.execute(ORACLE["html_leaf_blocks"]).fetchall()) and len(got) == 4
+
+
 def test_streams(spark, sf, tmp_path):
     from quire import streaming
 
