@@ -20,7 +20,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import label_column, runs, shuffle_partitions
@@ -165,7 +165,8 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     shelf, parts = Shelf(spark, "embed"), shuffle_partitions(spark)
     rows, kind = _binary(df, id_col, vec_col)
     own = shelf.keep(rows)
-    distinct = shelf.keep(own.where("digest IS NOT NULL").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("dim").alias("dim"), F.first("vec").alias("vec")))
+    distinct = own.where("digest IS NOT NULL").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("dim").alias("dim"), F.first("vec").alias("vec"))
+    distinct = shelf.keep(distinct.withColumn("node", F.concat(_sortable(F.col("rep")), "digest")).drop("rep"))  # the least node of a group has its smallest id
     n, widest = distinct.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(1))).first()
     cells = fit_cells(distinct, n, threshold, max(1, min(SAMPLE, SAMPLE_BYTES // (8 * widest))), kind)
     state = spark.sparkContext.broadcast(cells)  # no more numbers than the sample has
@@ -181,9 +182,9 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
                     sims = c.sims(unit(stack(batch.column(3).take(pa.array(part)), int(d), kind)))
                     cell[part] = sims.argmax(axis=1)
                     step[part] = (angles(sims.max(axis=1)) * STEPS).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(step)], ["digest", "copies", "dim", "vec", "cell", "step"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(step)], ["node", "copies", "dim", "vec", "cell", "step"])
 
-    placed = shelf.keep(distinct.select("digest", "copies", "dim", "vec").mapInArrow(place, "digest binary, copies long, dim int, vec binary, cell int, step int"))
+    placed = shelf.keep(distinct.select("node", "copies", "dim", "vec").mapInArrow(place, "node binary, copies long, dim int, vec binary, cell int, step int"))
     counts = placed.groupBy("dim", "cell", "step").count().orderBy("dim", "cell", "step")  # as many rows as cells have steps
     tiles = Tiles([tuple(r) for r in counts.collect()], tile)
     blocks, told = max(1, -(-n // visitors)), spark.sparkContext.broadcast(tiles)
@@ -192,7 +193,7 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
         """A row at home (kind 0) for each block of its tile, and a row to compare (kind 1) in its block of each tile that it visits."""
         for batch in batches:
             dims, cells_, steps = (np.asarray(batch.column(i)) for i in (2, 4, 5))
-            spread = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u8")[::2]  # the digests' first halves
+            spread = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u8")[2::3]  # the digests' last bytes
             for d in np.unique(dims).tolist():
                 where, c, shells, every = np.flatnonzero(dims == d), state.value.get(d), told.value.of(d), told.value.count
                 for i in range(0, len(where), BLOCK):
@@ -216,7 +217,7 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
         taken = batch.take(pa.array(rows, pa.int64()))
         return pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(kinds, pa.int32()), *taken.columns], ["task", "kind", *batch.schema.names])
 
-    dealt = placed.mapInArrow(deal, "task long, kind int, digest binary, copies long, dim int, vec binary, cell int, step int")
+    dealt = placed.mapInArrow(deal, "task long, kind int, node binary, copies long, dim int, vec binary, cell int, step int")
     dealt = dealt.withColumn("label", label_column(F.pmod(F.col("task"), F.lit(parts)), parts)).repartition(parts, "label").sortWithinPartitions("task", "kind", "cell")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,16 +229,25 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
                 yield from work.add(batch.slice(a, size))
 
     found = shelf.keep(dealt.drop("label").mapInArrow(compare, "a binary, b binary, n long"))
-    counts = found.where("b IS NULL").groupBy(F.col("a").alias("digest")).agg(F.sum("n").alias("n"))
-    joined = components(found.where("b IS NOT NULL"), shelf).withColumnRenamed("node", "digest")
-    classes = distinct.select("digest", "rep", "copies").join(counts, "digest", "left").join(joined, "digest", "left").withColumn("root", F.coalesce("component", "digest"))
-    least = classes.groupBy("root").agg(F.min("rep").alias("component"))
-    classes = classes.drop("component").join(least, "root").select("digest", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), "component")
+    counts = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
+    joined = components(found.where("b IS NOT NULL"), shelf)
+    classes = distinct.select("digest", "node", "copies").join(counts, "node", "left").join(joined, "node", "left")
+    classes = classes.select("digest", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), _number(F.substring(F.coalesce("component", "node"), 1, 8)).alias("component"))
     out = own.select("vec_id", "digest").join(classes, "digest", "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
+def _sortable(x: Column) -> Column:
+    """A long as eight bytes that sort as it does."""
+    return F.unhex(F.lpad(F.hex(x.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
+
+
+def _number(x: Column) -> Column:
+    """The long that _sortable took."""
+    return (F.conv(F.hex(x), 16, 10).cast("decimal(20,0)") - F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("long")
+
+
 class _Tile:
     """The homes of a tile, by cell, and the vectors that are compared with them."""
 
@@ -247,9 +257,9 @@ class _Tile:
         self.ready = False
 
     def _columns(self, batch: pa.RecordBatch) -> tuple:
-        """unit vectors, home cells, digests, copies, dimension"""
+        """unit vectors, home cells, nodes, copies, dimension"""
         dim = batch.column(4)[0].as_py()
-        return unit(stack(batch.column(5), dim, self.kind)), np.asarray(batch.column(6)), np.array(batch.column(2).to_pylist(), "V16"), np.asarray(batch.column(3)), dim
+        return unit(stack(batch.column(5), dim, self.kind)), np.asarray(batch.column(6)), np.array(batch.column(2).to_pylist(), "V24"), np.asarray(batch.column(3)), dim
 
     def add(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         split = int((np.asarray(batch.column(1)) == 0).sum())
@@ -258,7 +268,7 @@ class _Tile:
         if split == batch.num_rows or not self.homes:
             return
         if not self.ready:
-            self.units, self.cell, self.digest, self.copies = (np.concatenate(x) for x in list(zip(*self.homes))[:4])
+            self.units, self.cell, self.node, self.copies = (np.concatenate(x) for x in list(zip(*self.homes))[:4])
             self.group, self.ready, c = np.arange(len(self.cell)), True, self.cells.get(self.homes[0][4])
             if c:
                 sims = c.sims(self.units)
@@ -290,7 +300,7 @@ class _Tile:
         for rows, homes in self._pairs(q, cell, self.cells.get(dim)):
             r, h = np.nonzero(q[rows] @ self.units[homes].T >= self.threshold)
             r, h = rows[r], homes[h]
-            other = ids[r] != self.digest[h]
+            other = ids[r] != self.node[h]
             r, h = r[other], h[other]
             if not len(r):
                 continue
@@ -299,11 +309,11 @@ class _Tile:
                 x = int(r[f])
                 if linked[x] < 0:
                     linked[x] = h[f]
-                    pairs.append((ids[x].tobytes(), self.digest[h[f]].tobytes()))
+                    pairs.append((ids[x].tobytes(), self.node[h[f]].tobytes()))
                 strange = h[f : f + m][self.group[h[f : f + m]] != self.group[linked[x]]]
                 for y in strange.tolist():  # two homes that a vector links
                     if self.group[y] != self.group[linked[x]]:
-                        pairs.append((self.digest[linked[x]].tobytes(), self.digest[y].tobytes()))
+                        pairs.append((self.node[linked[x]].tobytes(), self.node[y].tobytes()))
                         self.group[self.group == self.group[y]] = self.group[linked[x]]
         some = np.flatnonzero(count)
         a, b = [*(p[0] for p in pairs), *(ids[i].tobytes() for i in some)], [*(p[1] for p in pairs)] + [None] * len(some)

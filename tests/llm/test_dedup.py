@@ -377,6 +377,8 @@ def test_links_of_one_large_cell(spark, spread, monkeypatch):
 def test_vectors_with_one_id_and_many_dimensions(spark, monkeypatch):
     monkeypatch.setattr(embed, "SAMPLE", 3)  # most dimensions have no centroid
     rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01])] + [(10 * d + i, [1.0] * d + [0.01 * i]) for d in range(3, 9) for i in range(3)]
+    far = embed.near_duplicates(spark.createDataFrame([(-5, [1.0, 0.0]), (7, [1.0, 0.1]), (-(1 << 63), [0.0, 1.0]), ((1 << 63) - 1, [0.1, 1.0])], "vec_id long, embedding array<double>"))
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in far.collect()) == [(-(1 << 63), 1, -(1 << 63), True), (-5, 1, -5, True), (7, 1, -5, False), ((1 << 63) - 1, 1, -(1 << 63), False)]
     got = sorted((r.vec_id, r.n_links, r.component_id) for r in embed.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
     assert got == [(1, 0, 1), (1, 1, 1), (2, 1, 1)] + [(10 * d + i, 2, 10 * d) for d in range(3, 9) for i in range(3)]
 
