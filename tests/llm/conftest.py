@@ -1,4 +1,9 @@
 import pytest
+from hypothesis import settings
+
+# A first example loads a vocabulary; how long that takes says nothing of its result.
+settings.register_profile("untimed", deadline=None)
+settings.load_profile("untimed")
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
