@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import sinks
 from ..functions import text as X
 from ..operators import chunking, context, geometry, glossary, layout, packing, quality, state, status
 from ..sources import epub, html, pdf
@@ -256,6 +257,42 @@ def status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.totals(_books(spark, sf_dir), ["book_id"])
 
 
+def chunk_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return status.chunk_sizes(_books(spark, sf_dir))
+
+
+def inspect_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return status.inspect_totals(_books(spark, sf_dir))
+
+
+def page_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which lines of documents begin a page, as the inspection shows them."""
+    b = doc_lines(spark, sf_dir).select(F.col("doc_id").alias("book_id"), "page_no", F.col("i").alias("pos"), F.lit("text").alias("kind"), F.lit("p").alias("tag"), F.lit(None).cast("int").alias("cont_group"), F.col("line").alias("src_html"))
+    return status.inspect(b).where("page_header IS NOT NULL").select(F.col("book_id").alias("doc_id"), "page_header", "page_no", "pos")
+
+
+def open_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left to do: blocks without a target in chunks that aren't done (every third is)."""
+    b = _books(spark, sf_dir)
+    chunks = b.select("book_id", "chunk_id").distinct().withColumn("status", F.expr("CASE WHEN chunk_id % 3 = 0 THEN 'done' ELSE 'pending' END"))
+    return state.pending_blocks(b, chunks).select("book_id", "block_id")
+
+
+def update_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth block gets a new target and loses its flag; ids that no block has are passed over."""
+    b = _books(spark, sf_dir)
+    new = b.where("block_id % 5 = 0").select("book_id", "block_id", F.lit("new").alias("dst_html"), F.lit(None).cast("string").alias("flag"))
+    done = state.update_blocks(b, new.unionByName(new.withColumn("block_id", -F.col("block_id"))))
+    return done.groupBy("page_no").agg(F.count_if(F.col("dst_html") == "new").alias("renewed"), F.count("dst_html").alias("targets"), F.count("flag").alias("flags"))
+
+
+def page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a page builder gets: every page of a book, those without blocks too; skipped and unplaced blocks left out."""
+    b = _books(spark, sf_dir).selectExpr("*", "block_id AS pos", "CASE WHEN block_id % 4 = 0 THEN 'skip' ELSE 'text' END AS kind", "CASE WHEN block_id % 7 > 0 THEN '0,0,1,1' END AS bbox")
+    pages = b.select("book_id").distinct().withColumn("page_no", F.explode(F.sequence(F.lit(0), F.lit(8))))
+    return sinks.pdf_items(b, pages).select("book_id", "page_no", F.coalesce(F.size("items"), F.lit(0)).alias("items"), F.coalesce(F.size(F.filter("items", lambda x: x["done"])), F.lit(0)).alias("done"))
+
+
 def pages_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.complete_pages(_books(spark, sf_dir).withColumn("page_no", F.col("chunk_id").cast("int")))
 
@@ -366,7 +403,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         html_leaf_blocks, html_block_stats, html_book_rollup, apply_targets, chunk_pack, chunk_page_range, page_specs, glossary_candidates, dq_check, dq_numbers, dq_missing_term,
         running_heads, head_slots, continuation_groups, reading_order, paragraph_groups, hyphen_join, classify_blocks, fragment_merge, span_merge, column_gap, ocr_rows, figure_noise, figure_regions,
-        text_kinds, toc_order, spine_order, prev_context, chunk_context, status_rollup, pages_complete, chunk_status, model_usage, flag_counts, cost_estimate, json_layout, snapshot_reset,
+        text_kinds, toc_order, spine_order, prev_context, chunk_context, status_rollup, chunk_sizes, inspect_totals, page_headers, open_blocks, update_targets, page_items, pages_complete, chunk_status, model_usage, flag_counts, cost_estimate, json_layout, snapshot_reset,
         overflow_flags, upsert_meta, seg_parse, pad_text, frame_fit, box_fit, fit_totals, upper_median, vertical_pack, vertical_stack,
     )
 }

@@ -188,6 +188,15 @@ ORACLE: dict[str, str] = {
         WITH {BOOKS}, h AS (SELECT book_id, chunk_id, min(block_id) AS head FROM books GROUP BY ALL)
         SELECT h.book_id, h.chunk_id, x.block_id, x.dst_html, x.age FROM h, LATERAL (SELECT block_id, dst_html, row_number() OVER (ORDER BY block_id DESC) AS age FROM books b WHERE b.book_id = h.book_id AND dst_html IS NOT NULL AND page_no >= 0 AND b.block_id < h.head ORDER BY block_id DESC LIMIT 3) x""",
     "status_rollup": f"WITH {BOOKS} SELECT book_id, count(*) AS blocks, count(dst_html) AS done, sum(length(src_html)) AS chars, coalesce(sum(CASE WHEN dst_html IS NULL THEN length(src_html) END), 0) AS chars_left, count(DISTINCT page_no) AS pages FROM books GROUP BY book_id",
+    "chunk_sizes": f"WITH {BOOKS} SELECT book_id, chunk_id, count(*) AS blocks, sum(length(src_html))::BIGINT AS chars FROM books GROUP BY ALL",
+    "inspect_totals": f"WITH {BOOKS} SELECT count(*) AS blocks, count(DISTINCT page_no) AS pages, sum(length(src_html))::BIGINT AS chars FROM books",
+    "page_headers": f"WITH {LINES}, p AS (SELECT doc_id, i, i // 10 AS page_no FROM lines) SELECT doc_id, page_no + 1 AS page_header, page_no, min(i) AS pos FROM p GROUP BY doc_id, page_no",
+    "open_blocks": f"WITH {BOOKS} SELECT book_id, block_id FROM books WHERE dst_html IS NULL AND chunk_id % 3 <> 0",
+    "update_targets": f"WITH {BOOKS} SELECT page_no, count(*) FILTER (WHERE block_id % 5 = 0) AS renewed, count(*) FILTER (WHERE block_id % 5 = 0 OR dst_html IS NOT NULL) AS targets, count(*) FILTER (WHERE block_id % 5 <> 0 AND flag IS NOT NULL) AS flags FROM books GROUP BY page_no",
+    "page_items": f"""
+        WITH {BOOKS}, p AS (SELECT book_id, unnest(range(0, 9)) AS page_no FROM (SELECT DISTINCT book_id FROM books)),
+        k AS (SELECT book_id, page_no, count(*) AS items, count(dst_html) AS done FROM books WHERE block_id % 4 <> 0 AND block_id % 7 > 0 GROUP BY ALL)
+        SELECT book_id, page_no, coalesce(items, 0) AS items, coalesce(done, 0) AS done FROM p LEFT JOIN k USING (book_id, page_no)""",
     "pages_complete": f"WITH {BOOKS}, p AS (SELECT book_id, chunk_id, bool_and(dst_html IS NOT NULL) AS whole FROM books GROUP BY ALL) SELECT book_id, count(*) FILTER (WHERE whole) AS pages_complete FROM p GROUP BY book_id",
     "chunk_status": "SELECT CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'pending' ELSE 'failed' END AS status, count(*) AS n FROM orders GROUP BY 1",
     "model_usage": "SELECT o_orderstatus AS provider, o_orderpriority AS model, count(*) AS n, sum(o_custkey) AS in_tokens, coalesce(sum(CASE WHEN o_custkey % 3 > 0 THEN o_custkey % 100 END), 0) AS out_tokens FROM orders WHERE o_orderstatus <> 'O' GROUP BY 1, 2",
