@@ -3,6 +3,8 @@ pages of positioned lines, and so on; the projection is the same in the SQL of `
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable
 
 import numpy as np
@@ -10,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .. import sinks
+from .. import sinks, sources, translate
 from ..functions import text as X
 from ..operators import chunking, context, geometry, glossary, layout, packing, quality, state, status
 from ..sources import epub, html, pdf
@@ -398,6 +400,155 @@ def vertical_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tops.select("page_no", F.posexplode("y").alias("i", "anchor"), "tops").select("page_no", "i", "anchor", F.get("tops", F.col("i")).alias("top"))
 
 
+# ---- books: marginal paragraphs, blocks, glossary files, state -------------------------------------------------
+
+
+def running_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of five books of sixty pages, near the top, in the body and near the foot; which ones are running heads."""
+    text = "CASE l_partkey % 4 WHEN 0 THEN concat(' Part ', l_partkey % 3, ' PAGE ', l_orderkey % 60) WHEN 1 THEN repeat('x', 61) ELSE concat('note ', l_returnflag, chr(int(97 + l_partkey % 26)), chr(int(97 + l_orderkey % 26))) END"
+    y0 = "double(CASE l_linenumber % 3 WHEN 0 THEN (l_partkey % 13) * (l_suppkey % 4) WHEN 1 THEN 300 ELSE 616 + l_orderkey % 50 END)"
+    p = table(spark, sf_dir, "lineitem").selectExpr("cast(l_suppkey % 5 AS string) AS book_id", "int(l_orderkey % 60) AS page_no", f"{SEQ} AS para_seq", f"{text} AS text", f"{y0} AS y0", "'text' AS kind")
+    pages = p.select("book_id").distinct().select("book_id", F.lit(60).alias("n_pages"), F.lit(layout.MODEL_HEIGHT).alias("page_height"))
+    return layout.mark_running(p, pages).select("book_id", "page_no", "para_seq", "kind")
+
+
+def block_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = order_lines(spark, sf_dir, kind="CASE l_partkey % 4 WHEN 0 THEN 'skip' WHEN 1 THEN 'heading' ELSE 'text' END", html="concat('h', l_partkey)", size="double(l_partkey % 20 + 5) / 2", x0="double(l_partkey % 300) / 2", y0="double(l_suppkey % 500) / 2", x1="double(l_partkey % 300 + 90) / 2", y1="double(l_suppkey % 500 + 20) / 2", cont_group="cast(nullif(l_linenumber, 1) AS int)")
+    return layout.to_blocks(p.withColumnRenamed("seq", "para_seq")).drop("book_id")
+
+
+def book_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = table(spark, sf_dir, "lineitem").selectExpr("cast(l_suppkey % 20 AS string) AS book_id", "CASE l_linenumber % 3 WHEN 0 THEN 'heading' ELSE 'text' END AS kind", """CASE WHEN l_partkey % 7 > 0 THEN concat('{"size":', l_partkey % 13, '.0}') END AS layout""")
+    return layout.column_body_size(b)
+
+
+def band_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bands of a page are grouped apart, with the pitch of the whole page."""
+    g = order_lines(spark, sf_dir, y0="double(l_linenumber * 120 - 110 + (l_partkey % 4) * 5)", x0="double((l_suppkey % 3) * 5)", x1="double(300)", y1="double(l_linenumber * 120 - 100)", col="0", size="double(8 + l_partkey % 5)", text="concat('t', l_partkey % 100)", html="concat('t', l_partkey % 100)", end_para="false")
+    ordered = layout.reading_order(g).withColumn("band", layout.band(F.col("y0"), F.lit(500.0)))
+    return layout.paragraphs(layout.paragraph_numbers(ordered, part="band"), part="band").select("page_no", "band", "para_seq", "text", "n_lines")
+
+
+def page_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = order_lines(spark, sf_dir, y0="double(l_linenumber * 12 + (l_partkey % 40) * 5)", x0="double(l_partkey % 300)", col="int(l_suppkey % 2)")
+    return layout.line_pitch(layout.reading_order(g)).select("page_no", "pitch")
+
+
+def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of five spans a page: images and spans that aren't near horizontal are dropped."""
+    s = table(spark, sf_dir, "lineitem").selectExpr("'b' AS book_id", "l_orderkey AS page_no", "l_linenumber AS line_no", "l_partkey * 100000 + l_suppkey AS span_no", "CASE WHEN l_partkey % 5 = 0 THEN ' ' ELSE concat('s', l_partkey, ' ') END AS text", "CASE WHEN l_suppkey % 2 = 0 THEN 'Serif-Bold' ELSE 'Serif' END AS font", "double(6 + l_suppkey % 7) AS size",
+        "CASE WHEN l_partkey % 9 = 0 THEN 1 ELSE 0 END AS block_type", "double(l_suppkey % 10 - 1) AS dx", "double(l_partkey % 3) AS dy", "double(l_partkey % 300) AS x0", "double(l_suppkey % 500) AS y0", "double(l_partkey % 300 + 40) AS x1", "double(l_suppkey % 500 + 10) AS y1")
+    return pdf.page_lines(s).select("page_no", F.col("seq").alias("line_no"), "text", "size", "x0", "y0", "x1", "y1")
+
+
+def scanned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = table(spark, sf_dir, "customer").selectExpr("'b' AS book_id", "c_custkey AS page_no", "double(c_custkey % 40 - 20) AS x0", "double(c_nationkey - 12) AS y0", "double(c_custkey % 40 + 380) AS x1", "double(c_nationkey + 640) AS y1", "400D AS page_width", "666D AS page_height")
+    return pdf.scanned_pages(i).select("page_no", "scanned")
+
+
+def number_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents pages of six rows: two texts and a lone page number each, some of them in the margin or in a row of their own."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("page_no"), "p_size", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("r"))
+    said = rows.select("page_no", "p_size", "r", F.explode(F.array(*map(F.lit, range(3)))).alias("k"))
+    y0 = F.expr("double(60 + r * 30 + CASE WHEN k = 2 THEN CASE WHEN (page_no + r) % 5 = 0 THEN 9 ELSE 1 END ELSE 0 END) + CASE WHEN page_no % 11 = 0 THEN 560 ELSE 0 END")
+    x0 = F.expr("double(CASE k WHEN 0 THEN 40 WHEN 1 THEN 120 + p_size ELSE 330 END)")
+    l = said.select(F.lit("b").alias("book_id"), "page_no", (F.col("r") * 3 + F.col("k")).alias("seq"), x0.alias("x0"), y0.alias("y0"), F.expr("CASE k WHEN 2 THEN cast(10 + r AS string) ELSE concat('t', r, 'k', k) END").alias("text"), F.expr("CASE k WHEN 2 THEN 1 ELSE 0 END").alias("col"))
+    l = l.withColumn("x1", F.col("x0") + 40).withColumn("y1", F.col("y0") + 10).withColumn("html", F.col("text")).withColumn("size", F.lit(9.0)).withColumn("page_height", F.lit(layout.MODEL_HEIGHT))
+    return geometry.attach_numbers(l).select("page_no", "x0", "y0", "x1", "y1", "text", "end_para")
+
+
+def figure_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an order as items, orders as figures: each before the first item that is lower."""
+    i = table(spark, sf_dir, "lineitem").select(F.lit("b").alias("book_id"), F.col("l_orderkey").alias("page_no"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.expr(SEQ))).alias("ord"), F.expr("double(l_partkey % 480)").alias("y0"))
+    f = table(spark, sf_dir, "orders").selectExpr("'b' AS book_id", "o_orderkey AS page_no", "double(o_custkey % 400) + 0.5D AS y0", "o_custkey AS figure")
+    return packing.insert_figures(i, f).select("page_no", "place", "is_figure", "y0", "figure")
+
+
+def sniffed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files told by their first bytes: orders as PDFs, text, archives without a mimetype or of another kind, broken ones and books."""
+
+    def archive(**members: str) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, content in members.items():
+                z.writestr(name, content)
+        return out.getvalue()
+
+    kinds = [b"%PDF-1.7", b"plain", b"", archive(mimetype=sources.EPUB_TYPE), archive(mimetype="text/css"), archive(other="x"), b"PK\x03\x04 cut"]
+    content = F.element_at(F.array(*map(F.lit, kinds)), F.expr("int(o_orderkey % 7 + 1)"))
+    files = table(spark, sf_dir, "orders").select(F.concat(F.lit("f"), "o_orderkey").alias("path"), content.alias("content"))
+    return sources.sniff(files)
+
+
+def _glossary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").selectExpr("p_partkey AS seq", "CASE p_partkey % 6 WHEN 0 THEN concat('# ', p_name, ' = x') WHEN 1 THEN concat(' ', p_brand, ' = ', p_name, ' ') WHEN 2 THEN p_name WHEN 3 THEN concat(p_brand, ' =') WHEN 4 THEN concat(p_name, '=', p_type, '=', p_size) ELSE '' END AS value")
+
+
+def glossary_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return glossary.parse(_glossary_lines(spark, sf_dir))
+
+
+def glossary_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return glossary.prompt_text(_glossary_lines(spark, sf_dir))
+
+
+def candidate_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return glossary.candidate_lines(glossary_candidates(spark, sf_dir))
+
+
+def migrated_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _books(spark, sf_dir).drop("page_no").withColumn("doc_index", F.col("chunk_id") % 50).withColumn("doc_href", F.concat(F.lit("text/c"), F.col("chunk_id") % 50, F.lit(".xhtml")))
+    meta = spark.createDataFrame([], "book_id string, key string, value string")
+    return state.migrate_v1(b, meta)[0].select("book_id", "block_id", "page_no", "kind", "layout", "bbox", "src_html", "dst_html")
+
+
+def appended_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two thirds of the orders come after the others: ids go on from the largest of their book."""
+    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 20).cast("string").alias("book_id"), F.col("o_orderkey").alias("n"))
+    return state.append_blocks(o.where("n % 3 = 0").withColumn("block_id", F.col("n")), o.where("n % 3 > 0"), ["n"])
+
+
+def settled_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What counts of up to four attempts, when no attempt is left."""
+    a = table(spark, sf_dir, "orders").selectExpr("cast((o_orderkey div 4) % 20 AS string) AS book_id", "(o_orderkey div 4) % 7 AS chunk_id", "o_orderkey div 4 AS block_id", "int(o_orderkey % 4) AS attempt", "concat('t', o_custkey) AS dst", "CASE o_custkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'missing_number' WHEN 2 THEN 'empty' ELSE 'tag_mismatch' END AS flag")
+    return state.settle(a.withColumn("action", quality.action(F.col("flag"))), True)
+
+
+def chunk_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as chunks after a run whose attempts are events: states, errors and sums."""
+    chunks = table(spark, sf_dir, "orders").selectExpr("'b' AS book_id", "o_orderkey AS chunk_id", "'pending' AS status", "int(o_custkey % 2) AS attempts", "cast(NULL AS string) AS error", "'p' AS provider", "'m' AS model", "10L AS in_tokens", "1L AS out_tokens", "0L AS cache_read", "0L AS cache_write")
+    blocks = _books(spark, sf_dir).withColumn("book_id", F.lit("b"))
+    ledger = table(spark, sf_dir, "events").selectExpr("'b' AS book_id", "event_id div 2 AS chunk_id", "int(event_id % 2 + 1) AS attempt", "event_type AS provider", "'m2' AS model", "CASE WHEN event_id % 7 = 0 THEN 'timeout' END AS error", "event_id % 5 = 0 AS truncated", "CASE WHEN event_id % 3 > 0 THEN user_id END AS in_tokens", "2L AS out_tokens", "cast(NULL AS bigint) AS cache_read", "1L AS cache_write")
+    done = state.finalise(chunks, blocks, ledger)
+    return done.groupBy("status", "error", "provider", "model", "attempts").agg(F.count("*").alias("chunks"), *(F.sum(c).alias(c) for c in ("in_tokens", "out_tokens", "cache_read", "cache_write")))
+
+
+def checked_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of a chunk of five orders hold a segment for each even one, wrong in some, and one of an id that nothing has."""
+    o = table(spark, sf_dir, "orders").selectExpr("'b' AS book_id", "o_orderkey div 5 AS chunk_id", "o_orderkey AS block_id", "concat('<p>order ', o_custkey, '</p>') AS src_html")
+    seg = F.expr("CASE WHEN block_id % 2 = 0 THEN concat('<seg id=\"', block_id, '\"> ', CASE block_id % 8 WHEN 0 THEN src_html WHEN 2 THEN '<p>none</p>' WHEN 4 THEN '<i>none</i>' ELSE ' ' END, ' </seg>') END")
+    a = o.withColumn("s", seg).groupBy("book_id", "chunk_id").agg(F.concat_ws("\n", F.lit('<seg id="-1">x</seg>'), F.collect_list("s")).alias("answer")).withColumn("attempt", F.lit(1))
+    return translate.checked(a, o).select("chunk_id", "block_id", "dst", "flag", "action")
+
+
+def chunks_in_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that aren't done among those that touch two pages."""
+    b = _books(spark, sf_dir)
+    chunks = b.select("book_id", "chunk_id").distinct().withColumn("status", F.expr("CASE WHEN chunk_id % 3 = 0 THEN 'done' ELSE 'pending' END"))
+    return state.pending_in_pages(chunks, chunking.touching(b, 3, 4)).select("book_id", "chunk_id", "status")
+
+
+def reset_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _books(spark, sf_dir).withColumn("book_id", F.lit("b"))
+    c = table(spark, sf_dir, "orders").selectExpr("'b' AS book_id", "o_orderkey AS chunk_id", "o_custkey AS in_tokens", "o_custkey % 10 AS out_tokens")
+    return state.reset_preview(b, c, 2, 3)
+
+
+def opening_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each run of opening tags stands in pages, whatever their case."""
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(X.opening_tags(F.col("html")), " ").alias("tags"), F.array_join(X.digit_runs(X.strip_tags(F.col("html"))), " ").alias("digits"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -405,5 +556,7 @@ QUERIES: dict[str, Query] = {
         running_heads, head_slots, continuation_groups, reading_order, paragraph_groups, hyphen_join, classify_blocks, fragment_merge, span_merge, column_gap, ocr_rows, figure_noise, figure_regions,
         text_kinds, toc_order, spine_order, prev_context, chunk_context, status_rollup, chunk_sizes, inspect_totals, page_headers, open_blocks, update_targets, page_items, pages_complete, chunk_status, model_usage, flag_counts, cost_estimate, json_layout, snapshot_reset,
         overflow_flags, upsert_meta, seg_parse, pad_text, frame_fit, box_fit, fit_totals, upper_median, vertical_pack, vertical_stack,
+        running_marks, block_rows, book_sizes, band_paragraphs, page_pitch, page_lines, scanned_pages, number_hosts, figure_places, sniffed, glossary_file, glossary_prompt, candidate_file,
+        migrated_blocks, appended_blocks, settled_answers, chunk_outcomes, checked_answers, chunks_in_pages, reset_preview, opening_blocks,
     )
 }

@@ -259,6 +259,99 @@ ORACLE["vertical_stack"] = """
     v AS (SELECT d.page_no, d.i, d.a, CASE WHEN fits THEN d.y ELSE u.y END AS y FROM d JOIN z USING (page_no) LEFT JOIN u ON u.page_no = d.page_no AND u.i = d.i)
     SELECT page_no, i - 1 AS i, a AS anchor, CASE WHEN min(y) OVER (PARTITION BY page_no) >= 22 - 1e-6 THEN y END AS top FROM v"""
 
+_SEQ = "(l_linenumber * 1000000 + l_partkey) * 100000 + l_suppkey"
+_GLOSSARY = """
+    v AS (SELECT p_partkey AS seq, CASE p_partkey % 6 WHEN 0 THEN '# ' || p_name || ' = x' WHEN 1 THEN ' ' || p_brand || ' = ' || p_name || ' ' WHEN 2 THEN p_name WHEN 3 THEN p_brand || ' =' WHEN 4 THEN p_name || '=' || p_type || '=' || p_size ELSE '' END AS v FROM part),
+    g AS (SELECT seq, trim(left(v, strpos(v, '=') - 1)) AS term, trim(substr(v, strpos(v, '=') + 1)) AS translation FROM v WHERE contains(v, '=') AND NOT starts_with(trim(v), '#')),
+    d AS (SELECT * FROM g WHERE term <> '' AND translation <> '')
+"""
+ORACLE |= {
+    "running_marks": rf"""
+        WITH p AS (SELECT cast(l_suppkey % 5 AS VARCHAR) AS book_id, l_orderkey % 60 AS page_no, {_SEQ} AS para_seq,
+                CASE l_partkey % 4 WHEN 0 THEN ' Part ' || l_partkey % 3 || ' PAGE ' || l_orderkey % 60 WHEN 1 THEN repeat('x', 61) ELSE 'note ' || l_returnflag || chr((97 + l_partkey % 26)::INT) || chr((97 + l_orderkey % 26)::INT) END AS text,
+                (CASE l_linenumber % 3 WHEN 0 THEN (l_partkey % 13) * (l_suppkey % 4) WHEN 1 THEN 300 ELSE 616 + l_orderkey % 50 END)::DOUBLE AS y0 FROM lineitem),
+        e AS (SELECT *, (y0 < 40 OR y0 > 615) AND length(trim(text)) <= 60 AS edge, regexp_replace(lower(trim(text)), '\d+', '#', 'g') AS fp, round_even(y0 / 6.0::DOUBLE, 0) AS slot FROM p),
+        k AS (SELECT DISTINCT book_id, fp, page_no FROM e WHERE edge),
+        w AS (SELECT book_id, fp, count(*) OVER (PARTITION BY book_id, fp) AS n, count(*) OVER (PARTITION BY book_id, fp ORDER BY page_no RANGE BETWEEN CURRENT ROW AND 9 FOLLOWING) AS ahead FROM k),
+        h AS (SELECT book_id, fp FROM w WHERE n >= 4 GROUP BY ALL HAVING max(ahead) >= 6),
+        s AS (SELECT book_id, slot FROM e WHERE edge GROUP BY ALL HAVING count(DISTINCT page_no) >= 60 * 0.6::DOUBLE)
+        SELECT e.book_id, page_no, para_seq, CASE WHEN edge AND (h.fp IS NOT NULL OR s.slot IS NOT NULL) THEN 'skip' ELSE 'text' END AS kind
+        FROM e LEFT JOIN h ON h.book_id = e.book_id AND h.fp = e.fp LEFT JOIN s ON s.book_id = e.book_id AND s.slot = e.slot""",
+    "block_rows": f"""
+        SELECT l_orderkey AS page_no, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_SEQ}) - 1 AS pos, CASE l_partkey % 4 WHEN 1 THEN 'h2' ELSE 'p' END AS tag, CASE l_partkey % 4 WHEN 1 THEN 'heading' ELSE 'text' END AS kind, 'h' || l_partkey AS src_html,
+               format('{{:.1f}},{{:.1f}},{{:.1f}},{{:.1f}}', l_partkey % 300 / 2.0::DOUBLE, l_suppkey % 500 / 2.0::DOUBLE, (l_partkey % 300 + 90) / 2.0::DOUBLE, (l_suppkey % 500 + 20) / 2.0::DOUBLE) AS bbox,
+               format('{{{{"size":{{:.1f}}}}}}', (l_partkey % 20 + 5) / 2.0::DOUBLE) AS layout, nullif(l_linenumber, 1) AS cont_group FROM lineitem WHERE l_partkey % 4 > 0""",
+    "book_sizes": """
+        SELECT cast(l_suppkey % 20 AS VARCHAR) AS book_id, coalesce(median(CASE WHEN l_linenumber % 3 > 0 AND l_partkey % 7 > 0 AND l_partkey % 13 > 0 THEN (l_partkey % 13)::DOUBLE END), 10.0::DOUBLE) AS body_size FROM lineitem GROUP BY 1""",
+    "band_paragraphs": f"""
+        WITH src AS (SELECT l_orderkey AS page_no, {_SEQ} AS seq, (l_linenumber * 120 - 110 + (l_partkey % 4) * 5)::DOUBLE AS y0, ((l_suppkey % 3) * 5)::DOUBLE AS x0, 0 AS col, 't' || l_partkey % 100 AS text FROM lineitem), {ordered_sql('src')},
+        bd AS (SELECT *, CASE WHEN y0 < 500 * (40.0::DOUBLE / 666.0::DOUBLE) THEN 'top' WHEN y0 > 500 * (615.0::DOUBLE / 666.0::DOUBLE) THEN 'bottom' ELSE 'body' END AS band, y0 - lag(y0) OVER (PARTITION BY page_no ORDER BY ord) AS page_step FROM ro),
+        pg AS (SELECT page_no, list_sort(list(page_step) FILTER (WHERE page_step > 0 AND page_step < 60)) AS s FROM bd GROUP BY page_no),
+        pp AS (SELECT page_no, CASE WHEN len(s) > 0 THEN s[len(s) // 2 + 1] ELSE 12.0 END AS pitch FROM pg),
+        st AS (SELECT bd.*, pitch, y0 - lag(y0) OVER w AS step, x0 - lag(x0) OVER w AS ind FROM bd JOIN pp USING (page_no) WINDOW w AS (PARTITION BY page_no, band ORDER BY ord)),
+        br AS (SELECT *, sum(CASE WHEN coalesce(step > pitch * 1.6::DOUBLE OR ind > 6.0::DOUBLE, false) THEN 1 ELSE 0 END) OVER (PARTITION BY page_no, band ORDER BY ord) AS para FROM st)
+        SELECT page_no, band, min(ord) AS para_seq, string_agg(text, ' ' ORDER BY ord) AS text, count(*) AS n_lines FROM br GROUP BY page_no, band, para""",
+    "page_pitch": f"""
+        WITH src AS (SELECT l_orderkey AS page_no, {_SEQ} AS seq, (l_linenumber * 12 + (l_partkey % 40) * 5)::DOUBLE AS y0, (l_partkey % 300)::DOUBLE AS x0, l_suppkey % 2 AS col FROM lineitem), {ordered_sql('src')},
+        st AS (SELECT page_no, y0 - lag(y0) OVER (PARTITION BY page_no ORDER BY ord) AS step FROM ro), pg AS (SELECT page_no, list_sort(list(step) FILTER (WHERE step > 0 AND step < 60)) AS s FROM st GROUP BY page_no)
+        SELECT page_no, CASE WHEN len(s) > 0 THEN s[len(s) // 2 + 1] ELSE 12.0 END AS pitch FROM pg""",
+    "page_lines": """
+        WITH s AS (SELECT l_orderkey AS page_no, l_linenumber AS line_no, l_partkey * 100000 + l_suppkey AS i, CASE WHEN l_partkey % 5 = 0 THEN ' ' ELSE 's' || l_partkey || ' ' END AS text, (6 + l_suppkey % 7)::DOUBLE AS size, (l_partkey % 300)::DOUBLE AS x, (l_suppkey % 500)::DOUBLE AS y FROM lineitem
+                   WHERE l_partkey % 9 > 0 AND l_suppkey % 10 > 1 AND abs(degrees(atan2(l_partkey % 3, l_suppkey % 10 - 1))) < 10)
+        SELECT page_no, line_no, string_agg(text, '' ORDER BY i) AS text, max({'n': length(trim(text)), 'size': size}) FILTER (WHERE trim(text) <> '')['size'] AS size, min(x) AS x0, min(y) AS y0, max(x) + 40 AS x1, max(y) + 10 AS y1 FROM s GROUP BY page_no, line_no HAVING trim(string_agg(text, '')) <> ''""",
+    "scanned_pages": """
+        WITH i AS (SELECT c_custkey AS page_no, least(c_custkey % 40 + 380, 400) - greatest(c_custkey % 40 - 20, 0) AS w, least(c_nationkey + 640, 666) - greatest(c_nationkey - 12, 0) AS h FROM customer)
+        SELECT page_no, bool_or(w > 0 AND h > 0 AND w * h >= 0.9::DOUBLE * 400.0::DOUBLE * 666.0::DOUBLE) AS scanned FROM i GROUP BY page_no""",
+    "number_hosts": """
+        WITH q AS (SELECT p_partkey AS page_no, p_size, unnest(range(0, 6)) AS r FROM part),
+        n AS (SELECT *, 60 + r * 30 + CASE WHEN page_no % 11 = 0 THEN 560 ELSE 0 END AS y, CASE WHEN (page_no + r) % 5 = 0 THEN 9 ELSE 1 END AS d FROM q),
+        m AS (SELECT *, y <= 615 AND y + d <= 615 AND d = 1 AS hit FROM n),
+        c AS (SELECT *, count(*) FILTER (WHERE hit) OVER (PARTITION BY page_no) >= 3 AS contents FROM m)
+        SELECT page_no, 40.0::DOUBLE AS x0, y::DOUBLE AS y0, 80.0::DOUBLE AS x1, (y + 10)::DOUBLE AS y1, 't' || r || 'k0' AS text, false AS end_para FROM c
+        UNION ALL SELECT page_no, 120.0::DOUBLE + p_size, y, CASE WHEN hit THEN 370.0::DOUBLE ELSE 160.0::DOUBLE + p_size END, CASE WHEN hit THEN y + 11 ELSE y + 10 END, 't' || r || 'k1' || CASE WHEN hit THEN ' ' || (10 + r) ELSE '' END, hit AND contents FROM c
+        UNION ALL SELECT page_no, 330.0::DOUBLE, y + d, 370.0::DOUBLE, y + d + 10, (10 + r)::VARCHAR, false FROM c WHERE NOT hit""",
+    "figure_places": f"""
+        WITH i AS (SELECT l_orderkey AS page_no, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_SEQ}) AS ord, (l_partkey % 480)::DOUBLE AS y0 FROM lineitem),
+        f AS (SELECT o_orderkey AS page_no, o_custkey % 400 + 0.5::DOUBLE AS y0, o_custkey AS figure FROM orders),
+        p AS (SELECT f.*, coalesce((SELECT min(ord) FROM i WHERE i.page_no = f.page_no AND i.y0 > f.y0), 1 << 30) - 0.5::DOUBLE AS spot FROM f),
+        u AS (SELECT page_no, ord::DOUBLE AS spot, 0 AS is_figure, y0, NULL AS figure FROM i UNION ALL SELECT page_no, spot, 1, y0, figure FROM p)
+        SELECT page_no, row_number() OVER (PARTITION BY page_no ORDER BY spot) AS place, is_figure, y0, figure FROM u""",
+    "sniffed": """
+        SELECT 'f' || o_orderkey AS path, CASE o_orderkey % 7 WHEN 0 THEN 'pdf' WHEN 3 THEN 'epub' END AS format,
+               CASE o_orderkey % 7 WHEN 1 THEN 'the format is unknown' WHEN 2 THEN 'the file is empty' WHEN 4 THEN 'the archive is ''text/css'', not a book' WHEN 5 THEN 'the archive has no mimetype' WHEN 6 THEN 'the archive is broken' END AS error FROM orders""",
+    "glossary_file": f"WITH {_GLOSSARY} SELECT term, arg_max(translation, seq) AS translation FROM d GROUP BY term",
+    "glossary_prompt": f"WITH {_GLOSSARY} SELECT coalesce(string_agg('- ' || term || ' -> ' || translation, chr(10) ORDER BY seq), '(none)') AS glossary FROM d",
+    "migrated_blocks": f"""
+        WITH {BOOKS} SELECT book_id, block_id, chunk_id % 50 AS page_no, 'text' AS kind, '{{"href":"text/c' || chunk_id % 50 || '.xhtml"}}' AS layout, NULL::VARCHAR AS bbox, src_html, dst_html FROM books""",
+    "appended_blocks": """
+        WITH o AS (SELECT cast(o_custkey % 20 AS VARCHAR) AS book_id, o_orderkey AS n FROM orders), m AS (SELECT book_id, max(n) AS last FROM o WHERE n % 3 = 0 GROUP BY 1)
+        SELECT book_id, n, n AS block_id FROM o WHERE n % 3 = 0
+        UNION ALL SELECT o.book_id, n, row_number() OVER (PARTITION BY o.book_id ORDER BY n) + coalesce(last, 0) FROM o LEFT JOIN m ON m.book_id = o.book_id WHERE n % 3 > 0""",
+    "settled_answers": """
+        WITH a AS (SELECT o_orderkey // 4 AS block_id, o_orderkey % 4 AS attempt, 't' || o_custkey AS dst, o_custkey % 6 AS k, CASE o_custkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'missing_number' WHEN 2 THEN 'empty' ELSE 'tag_mismatch' END AS flag FROM orders),
+        b AS (SELECT block_id, arg_min({'dst': dst, 'flag': flag}, attempt) FILTER (WHERE k < 2) AS good, arg_max({'dst': dst, 'flag': flag}, attempt) AS latest FROM a GROUP BY 1),
+        c AS (SELECT block_id, CASE WHEN good IS NOT NULL THEN good ELSE latest END AS t FROM b)
+        SELECT cast(block_id % 20 AS VARCHAR) AS book_id, block_id % 7 AS chunk_id, block_id, t.dst AS dst, t.flag AS flag FROM c WHERE t.flag IS DISTINCT FROM 'empty'""",
+    "chunk_outcomes": f"""
+        WITH {BOOKS}, l AS (SELECT chunk_id, count(*) FILTER (WHERE dst_html IS NULL) AS n FROM books GROUP BY 1),
+        t AS (SELECT event_id // 2 AS chunk_id, count(*) AS tries, arg_max_null(event_type, event_id) AS p, arg_max_null(CASE WHEN event_id % 7 = 0 THEN 'timeout' END, event_id) AS e, arg_max_null(event_id % 5 = 0, event_id) AS cut, coalesce(sum(CASE WHEN event_id % 3 > 0 THEN user_id END), 0) AS i FROM events GROUP BY 1),
+        c AS (SELECT o_custkey % 2 AS held, tries, p, e, cut, i, coalesce(l.n, 0) AS n FROM orders LEFT JOIN t ON t.chunk_id = o_orderkey LEFT JOIN l ON l.chunk_id = o_orderkey),
+        r AS (SELECT CASE WHEN tries IS NULL THEN 'pending' WHEN n = 0 THEN 'done' ELSE 'failed' END AS status,
+                CASE WHEN tries IS NOT NULL AND n > 0 THEN coalesce(e, 'attempt ' || tries || ': ' || n || ' segments missing or wrong' || CASE WHEN cut THEN ' (the answer was cut at the token limit; a smaller chunk size helps)' ELSE '' END) END AS error,
+                coalesce(p, 'p') AS provider, CASE WHEN p IS NULL THEN 'm' ELSE 'm2' END AS model, held + coalesce(tries, 0) AS attempts, 10 + coalesce(i, 0) AS i, coalesce(tries, 0) AS k FROM c)
+        SELECT status, error, provider, model, attempts, count(*) AS chunks, sum(i)::BIGINT AS in_tokens, sum(1 + 2 * k)::BIGINT AS out_tokens, 0 AS cache_read, sum(k)::BIGINT AS cache_write FROM r GROUP BY ALL""",
+    "checked_answers": """
+        WITH o AS (SELECT o_orderkey // 5 AS chunk_id, o_orderkey AS block_id, CASE o_orderkey % 8 WHEN 0 THEN '<p>order ' || o_custkey || '</p>' WHEN 2 THEN '<p>none</p>' WHEN 4 THEN '<i>none</i>' ELSE '' END AS dst, CASE o_orderkey % 8 WHEN 2 THEN 'missing_number' WHEN 4 THEN 'tag_mismatch' WHEN 6 THEN 'empty' END AS flag FROM orders WHERE o_orderkey % 2 = 0)
+        SELECT chunk_id, block_id, dst, flag, CASE WHEN flag IS NULL THEN 'accept' WHEN flag = 'missing_number' THEN 'advise' ELSE 'retry' END AS action FROM o""",
+    "chunks_in_pages": f"WITH {BOOKS} SELECT book_id, chunk_id, 'pending' AS status FROM books WHERE chunk_id % 3 <> 0 GROUP BY ALL HAVING bool_or(page_no BETWEEN 3 AND 4)",
+    "reset_preview": f"""
+        WITH {BOOKS}, h AS (SELECT chunk_id, count(*) AS n FROM books WHERE page_no BETWEEN 2 AND 3 AND dst_html IS NOT NULL GROUP BY 1)
+        SELECT (SELECT coalesce(sum(n), 0)::BIGINT FROM h) AS targets, count(*) AS chunks, coalesce(sum(o_custkey), 0)::BIGINT AS in_tokens, coalesce(sum(o_custkey % 10), 0)::BIGINT AS out_tokens FROM orders SEMI JOIN h ON h.chunk_id = o_orderkey""",
+    "opening_blocks": r"""
+        SELECT page_id, array_to_string(list_sort(regexp_extract_all(lower(html), '<\s*([a-zA-Z][a-zA-Z0-9:_-]*)', 1)), ' ') AS tags, array_to_string(regexp_extract_all(regexp_replace(html, '<[^>]+>', '', 'g'), '\p{Nd}+'), ' ') AS digits FROM pages""",
+}
+ORACLE["candidate_file"] = f"SELECT '# ' || word || ' =            # ' || n || ' lần' AS value FROM ({ORACLE['glossary_candidates']})"
+
 #: Sums of whole numbers are wider in DuckDB than in Spark.
 WHOLE = {
     "html_block_stats": "chars", "html_book_rollup": "blocks chars chunks", "chunk_pack": "chars", "glossary_candidates": "n", "continuation_groups": "cont_group", "reading_order": "row",
