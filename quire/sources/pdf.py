@@ -1,6 +1,6 @@
 """PDF pages: from positioned spans (or recognised text) to paragraphs and blocks.
 
-Reading a PDF's objects and recognising text need libraries that aren't Spark's; they stand behind two functions that a caller
+``pdffile`` reads a file's objects in the tasks; recognising text needs a library, which stands behind a function that a caller
 gives. What they return are rows, and all rules on them are DataFrame operators.
 """
 
@@ -12,10 +12,12 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as X
 from ..operators import geometry, layout
-from . import UnsupportedSource, reader
+from . import binary_files, pdffile, reader
 
 COVER = 0.9
 OCR_TILT, OCR_UPRIGHT, OCR_SIZE = 10.0, 1.5, 0.80
@@ -113,6 +115,53 @@ def load(spans: DataFrame, images: DataFrame, pages: DataFrame, rasters: DataFra
     return book_blocks(paras, heads)
 
 
+PAGES = (
+    "book_id string, page_no int, page_width double, page_height double, n_pages int, "
+    "spans array<struct<line_no: int, span_no: int, text: string, font: string, size: double, dx: double, dy: double, x0: double, y0: double, x1: double, y1: double>>, "
+    "images array<struct<x0: double, y0: double, x1: double, y1: double>>, error string"
+)
+
+
+SPAN = ("line_no", "span_no", "text", "font", "size", "dx", "dy", "x0", "y0", "x1", "y1")
+
+
+def file_pages(files: DataFrame) -> DataFrame:
+    """One row a page of PDF files (path, content), with its size, spans and image boxes; a file that can't be read raises, with
+    its path and why. A task holds one file at a time and gives its pages one by one."""
+    kind = to_arrow_schema(T.StructType.fromDDL(PAGES))
+
+    def rows(path: str, content: bytes) -> Iterator[dict]:
+        try:
+            pages = pdffile.Pdf(content).pages
+            for n, page in enumerate(pages):
+                spans, images = page.shown()
+                told = [(i, k, s.text, s.font, s.size, *s.dir, *s.box) for i, line in enumerate(pdffile.lines_of(spans)) for k, s in enumerate(line)]
+                yield {"book_id": path, "page_no": n, "page_width": page.size[0], "page_height": page.size[1], "n_pages": len(pages), "spans": [dict(zip(SPAN, x)) for x in told], "images": [dict(zip(("x0", "y0", "x1", "y1"), b)) for b in images], "error": None}
+        except pdffile.BrokenPdf as e:
+            yield {"book_id": path, "error": str(e)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column(0), b.column(1)):
+                for row in rows(path.as_py(), content.as_py() or b""):
+                    yield pa.RecordBatch.from_pylist([row], schema=kind)
+
+    found = files.select("path", "content").mapInArrow(run, PAGES)
+    message = F.concat(F.lit("unsupported source "), F.col("book_id"), F.lit(": "), F.col("error"))
+    return found.withColumn("page_no", F.when(F.col("error").isNotNull(), F.raise_error(message).cast("int")).otherwise(F.col("page_no"))).drop("error")
+
+
+def tables(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(spans, images, pages) of ``file_pages``, as ``load`` takes them. Pages are exchanged once, so that the files aren't read for
+    each table and a book's pages are worked on by several tasks."""
+    dealt = found.repartition("book_id", "page_no")
+    spans = dealt.select("book_id", "page_no", F.explode("spans").alias("s")).select("book_id", "page_no", "s.*", F.lit(0).alias("block_type"))
+    images = dealt.select("book_id", "page_no", "page_width", "page_height", F.explode("images").alias("i")).select("book_id", "page_no", "i.*", "page_width", "page_height")
+    return spans, images, dealt.select("book_id", "page_no", "page_width", "page_height", "n_pages")
+
+
 @reader("pdf")
 def read(spark: SparkSession, path: str) -> DataFrame:
-    raise UnsupportedSource("a PDF reader gives spans, images and pages; pass them to quire.sources.pdf.load")
+    """Blocks of the PDF files at ``path``. Books that only have scanned pages need a text recognition engine: ``load`` takes one."""
+    files = binary_files(spark, path).where(F.substring("content", 1, 4) == F.lit(b"%PDF"))
+    return load(*tables(file_pages(files)))

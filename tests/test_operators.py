@@ -1,8 +1,10 @@
 """Cases with known results for the operators: tiny tables, one rule at a time."""
 
+import base64
 import io
 import sys
 import zipfile
+import zlib
 
 import numpy as np
 import pytest
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from quire import providers, sinks, sources, translate
 from quire.functions import text as X
 from quire.operators import chunking, context, geometry, glossary, layout, packing, quality, state, status
-from quire.sources import epub, html, pdf
+from quire.sources import epub, html, pdf, pdffile
 
 
 def lines(spark, rows, **extra):
@@ -553,8 +555,74 @@ def test_pdf_pages(spark):
     got = pdf.load(s, images, pages).collect()
     assert len(got) == 1 and got[0].tag == "p" and got[0].src_html.startswith("This is line 0") and "turned" not in got[0].src_html
     assert not pdf.scanned_pages(images).first().scanned
-    with pytest.raises(sources.UnsupportedSource):
-        pdf.read(spark, "x")
+
+
+def make_pdf(pages, packed=True, extra="", width=400, height=600):
+    """Pages of (x, y from the top, size, text); a text of None is an image over the whole page."""
+    out, at = bytearray(b"%PDF-1.5\n"), 4
+    put = lambda n, body: out.extend(f"{n} 0 obj\n".encode() + body + b"\nendobj\n")
+    kids = []
+    for page in pages:
+        told = "".join("q 400 0 0 600 0 0 cm /I Do Q\n" if t is None else f"BT /F {s} Tf 1 0 0 1 {x} {height - y} Tm ({t}) Tj ET\n" for x, y, s, t in page).encode()
+        data = zlib.compress(told) if packed else told
+        put(at, f"<< /Length {len(data)}{' /Filter /FlateDecode' if packed else ''} >>\nstream\n".encode() + data + b"\nendstream")
+        put(at + 1, f"<< /Type /Page /Parent 2 0 R /Contents {at} 0 R /Resources << /Font << /F 3 0 R >> /XObject << /I 900 0 R >> >> {extra} >>".encode())
+        kids.append(f"{at + 1} 0 R")
+        at += 2
+    put(900, b"<< /Subtype /Image /Width 1 /Height 1 /BitsPerComponent 8 /ColorSpace /DeviceGray /Length 1 >>\nstream\n\x00\nendstream")
+    put(3, b"<< /Type /Font /Subtype /Type1 /BaseFont /Times-Bold /Encoding << /BaseEncoding /WinAnsiEncoding /Differences [ 128 /eacute /fi /uni0110 ] >> >>")
+    put(2, f"<< /Type /Pages /Kids [{' '.join(kids)}] /Count {len(kids)} /MediaBox [0 0 {width} {height}] >>".encode())
+    put(1, b"<< /Type /Catalog /Pages 2 0 R >>")
+    return bytes(out) + b"trailer << /Root 1 0 R >>\n%%EOF"
+
+
+def test_pdf_objects():
+    r = pdffile.Reader(b"<< /A#42 [1 -2.5 (a\\(b\\051(c)\\101) <4a4> true null 7 0 R] /B << /C /D >> >> % end\nTj")
+    assert r.one() == {"AB": [1, -2.5, b"a(b)(c)A", b"J@", True, None, pdffile.Ref(7)], "B": {"C": "D"}}
+    assert r.one() == b"Tj" and r.one() is None
+    assert pdffile.unfiltered(b"\x02abc\xfed\x80", ["RunLengthDecode"], []) == b"abcddd"
+    assert pdffile.unfiltered(base64.a85encode(b"Hello there") + b"~>", ["A85"], []) == b"Hello there"
+    assert pdffile.unfiltered(b"48 65 6>", ["ASCIIHexDecode"], []) == b"He`"
+    rows = zlib.compress(bytes([2, 1, 2, 3, 2, 1, 1, 1, 1, 5, 1, 1]))
+    assert list(pdffile.unfiltered(rows, ["FlateDecode"], [{"Predictor": 12, "Columns": 3}])) == [1, 2, 3, 2, 3, 4, 5, 6, 7]
+    told = b"1 begincodespacerange <00> <ff> endcodespacerange 1 beginbfchar <01> <00660069> endbfchar 2 beginbfrange <02> <04> <0041> <05> <06> [<0058> <0059>] endbfrange"
+    assert pdffile.character_map(told) == {1: "fi", 2: "A", 3: "B", 4: "C", 5: "X", 6: "Y"}
+    assert [pdffile.glyph_text(n) for n in ("A", "space", "uni0110", "eacute", "ccedilla", "g23x", "a.alt")] == ["A", " ", "Đ", "é", "ç", "", "a"]
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_pdf_text(packed):
+    page = pdffile.Pdf(make_pdf([[(50, 100, 10, "one"), (65.5, 100, 10, "two"), (200, 100, 10, "far"), (50, 120, 10, "\\200\\201\\202 \\(x\\)"), (0, 0, 0, None)]], packed)).pages[0]
+    spans, images = page.shown()
+    assert [[s.text for s in line] for line in pdffile.lines_of(spans)] == [["onetwo"], ["far"], ["éfiĐ (x)"]]
+    assert images == [(0.0, 0.0, 400.0, 600.0)] and page.size == (400.0, 600.0)
+    assert [round(v, 3) for v in spans[0].box] == [50, 92, 65, 102] and spans[0].font == "Times-Bold" and spans[0].dir == (1.0, 0.0)
+    left = page.without_text([(40, 90, 180, 105)])
+    assert b"(far)" in left and b"(one)" not in left and b"(two)" not in left
+
+
+def test_pdf_turned_and_broken():
+    page = pdffile.Pdf(make_pdf([[(50, 100, 10, "one")]], extra="/Rotate 90")).pages[0]
+    span = page.shown()[0][0]
+    assert page.size == (600.0, 400.0) and [round(v) for v in span.dir] == [0, 1] and [round(v) for v in span.start] == [500, 50]
+    for data, why in ((b"%PDF-1.4 junk", "catalogue"), (make_pdf([[]]).replace(b"/Root 1 0 R", b"/Root 1 0 R /Encrypt 9 0 R"), "password")):
+        with pytest.raises(pdffile.BrokenPdf, match=why):
+            pdffile.Pdf(data).pages
+    cut = make_pdf([[(50, 100, 10, "whole")], [(50, 100, 10, "gone")]])
+    assert pdffile.Pdf(cut[: cut.index(b"\n6 0 obj")]).objects and pdffile.Pdf(make_pdf([[]])).pages[0].shown() == ([], [])
+
+
+def test_pdf_book(spark, tmp_path):
+    prose = [(50, 100 + 14 * n, 10, f"Line {n} of the first page goes on") for n in range(6)] + [(50, 260, 18, "A NEW PART"), (50, 300, 10, "Its text is here.")]
+    (tmp_path / "x").write_bytes(make_pdf([prose, [], [(50, 100, 10, "Last page.")]]))
+    got = sources.load(spark, str(tmp_path / "x")).orderBy("page_no", "pos").collect()
+    assert [(r.page_no, r.pos, r.tag, r.kind) for r in got] == [(0, 0, "p", "text"), (0, 1, "h2", "heading"), (0, 2, "p", "text"), (2, 0, "p", "text")]
+    assert got[0].src_html.startswith("<b>Line 0 of") and got[1].src_html == "<b>A NEW PART</b>" and got[3].bbox.startswith("50.0,")
+    n = pdf.file_pages(sources.binary_files(spark, str(tmp_path / "x"))).select("page_no", "n_pages", F.size("spans").alias("s")).orderBy("page_no").collect()
+    assert [(r.page_no, r.n_pages, r.s) for r in n] == [(0, 3, 8), (1, 3, 0), (2, 3, 1)]
+    (tmp_path / "y").write_bytes(b"%PDF-1.4 nothing")
+    with pytest.raises(Exception, match="unsupported source .*y: the file has no catalogue"):
+        sources.load(spark, str(tmp_path / "y")).collect()
 
 
 def test_ocr(spark):
