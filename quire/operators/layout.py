@@ -39,7 +39,10 @@ def near_horizontal(dx: Column, dy: Column, limit: float = 10.0) -> Column:
 
 def merge_spans(spans: DataFrame) -> DataFrame:
     """(book_id, page_no, line_no, html, text, size): neighbouring spans of one style share an element, blank runs have none,
-    italics stand inside bold; the size is that of the longest span by its stripped text, the larger one of equals."""
+    italics stand inside bold; the size is that of the longest span by its stripped text, the larger one of equals. Spans with
+    boxes (x0..y1) give lines with theirs."""
+    box = {"x0": F.min, "y0": F.min, "x1": F.max, "y1": F.max} if "x0" in spans.columns else {}
+    around = [f(c).alias(c) for c, f in box.items()]
     line = [*PAGE, "line_no"]
     w = Window.partitionBy(*line).orderBy("span_no")
     style = F.struct(X.is_bold(F.col("font")).alias("b"), X.is_italic(F.col("font")).alias("i"))
@@ -47,12 +50,12 @@ def merge_spans(spans: DataFrame) -> DataFrame:
     s = s.withColumn("new", F.coalesce((F.lag("style").over(w) != F.col("style")).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(w))
     joined = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("span_no", "text"))), lambda x: x["text"]), c)
     weight = F.when(X.strip(F.col("text")) != "", F.struct(F.length(X.strip(F.col("text"))).alias("n"), F.coalesce("size", F.lit(0.0)).alias("size")))
-    runs = s.withColumn("w", weight).groupBy(*line, "run", "style").agg(joined("").alias("raw"), F.max("w").alias("w"))
+    runs = s.withColumn("w", weight).groupBy(*line, "run", "style").agg(joined("").alias("raw"), F.max("w").alias("w"), *around)
     esc = X.escape_html(F.col("raw"))
     italic = F.when(F.col("style.i"), F.concat(F.lit("<i>"), esc, F.lit("</i>"))).otherwise(esc)
     dressed = F.when(X.strip(esc) == "", esc).when(F.col("style.b"), F.concat(F.lit("<b>"), italic, F.lit("</b>"))).otherwise(italic)
     in_order = lambda name: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("run", F.col(name).alias("v")))), lambda x: x["v"]), "")
-    return runs.withColumn("html", dressed).groupBy(*line).agg(in_order("html").alias("html"), in_order("raw").alias("text"), F.coalesce(F.max("w")["size"], F.lit(0.0)).alias("size"))
+    return runs.withColumn("html", dressed).groupBy(*line).agg(in_order("html").alias("html"), in_order("raw").alias("text"), F.coalesce(F.max("w")["size"], F.lit(0.0)).alias("size"), *around)
 
 
 def reading_order(lines: DataFrame) -> DataFrame:
@@ -63,12 +66,13 @@ def reading_order(lines: DataFrame) -> DataFrame:
     return rows.withColumn("ord", F.row_number().over(Window.partitionBy(*PAGE).orderBy("col", "row", "x0", "y0", "seq"))).drop("_new")
 
 
-def line_pitch(ordered: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(by..., pitch): the upper median of the steps between neighbouring lines of a page, 12 points without any."""
-    w = Window.partitionBy(*PAGE).orderBy("ord")
-    step = F.col("y0") - F.lag("y0").over(w)
-    steps = ordered.withColumn("_s", step).groupBy(*(by or PAGE)).agg(F.sort_array(F.collect_list(F.when((F.col("_s") > 0) & (F.col("_s") < PITCH_LIMIT), F.col("_s")))).alias("s"))
-    return steps.select(*(by or PAGE), upper_median(F.col("s"), DEFAULT_PITCH).alias("pitch"))
+def with_pitch(ordered: DataFrame) -> DataFrame:
+    """``ordered`` with pitch: the upper median of the steps between neighbouring lines of a page, 12 points without any. Windows of a
+    page only: nothing is joined, so what the lines come from is worked out once."""
+    page = Window.partitionBy(*PAGE)
+    told = ordered.withColumn("_s", F.col("y0") - F.lag("y0").over(page.orderBy("ord")))
+    steps = F.collect_list(F.when((F.col("_s") > 0) & (F.col("_s") < PITCH_LIMIT), F.col("_s"))).over(page)
+    return told.withColumn("pitch", upper_median(F.sort_array(steps), DEFAULT_PITCH)).drop("_s")
 
 
 def upper_median(sorted_values: Column, default: float) -> Column:
@@ -77,15 +81,14 @@ def upper_median(sorted_values: Column, default: float) -> Column:
     return F.when(n > 0, F.element_at(sorted_values, F.floor(n / 2).cast("int") + 1)).otherwise(F.lit(default))
 
 
-def paragraph_numbers(ordered: DataFrame, pitch: DataFrame | None = None, part: str | None = None) -> DataFrame:
+def paragraph_numbers(ordered: DataFrame, part: str | None = None) -> DataFrame:
     """``ordered`` with para: a new one after a large step, an indent, or a line marked as a paragraph's end.
 
     ``part`` names a column (a band) whose lines are grouped apart, with the pitch of the whole page.
     """
     keys = [*PAGE, *([part] if part else [])]
     w = Window.partitionBy(*keys).orderBy("ord")
-    pitch = pitch if pitch is not None else line_pitch(ordered)
-    lines = ordered.join(pitch, PAGE)
+    lines = with_pitch(ordered)
     far = F.col("y0") - F.lag("y0").over(w) > F.col("pitch") * BREAK_FACTOR
     indent = F.col("x0") - F.lag("x0").over(w) > INDENT
     ended = F.lag("end_para").over(w)
@@ -128,10 +131,11 @@ def paragraphs(numbered: DataFrame, part: str | None = None) -> DataFrame:
     return joined.select(*PAGE, *([part] if part else []), "para_seq", F.col("j.text").alias("text"), F.col("j.html").alias("html"), "size", "x0", "y0", "x1", "y1", "n_lines")
 
 
-def body_size(paras: DataFrame) -> DataFrame:
-    """(book_id, page_no, body_size): the size with most characters on a page; the one seen first of equals."""
-    per = paras.groupBy(*PAGE, "size").agg(F.sum(F.length("text")).alias("n"), F.min("para_seq").alias("first"))
-    return per.groupBy(*PAGE).agg(F.max_by("size", F.struct("n", -F.col("first"))).alias("body_size"))
+def with_body_size(paras: DataFrame) -> DataFrame:
+    """``paras`` with body_size: the size with most characters on its page; the one seen first of equals."""
+    same = Window.partitionBy(*PAGE, "size")
+    told = paras.withColumn("_n", F.struct(F.sum(F.length("text")).over(same).alias("n"), (-F.min("para_seq").over(same)).alias("first"), F.col("size").alias("size")))
+    return told.withColumn("body_size", F.max("_n").over(Window.partitionBy(*PAGE))["size"]).drop("_n")
 
 
 def kind(text: Column, html: Column, size: Column, body: Column) -> Column:
@@ -145,8 +149,7 @@ def kind(text: Column, html: Column, size: Column, body: Column) -> Column:
 
 
 def classify(paras: DataFrame) -> DataFrame:
-    out = paras.drop("kind").join(body_size(paras), PAGE)
-    return out.withColumn("kind", kind(F.col("text"), F.col("html"), F.col("size"), F.col("body_size"))).drop("body_size")
+    return with_body_size(paras).withColumn("kind", kind(F.col("text"), F.col("html"), F.col("size"), F.col("body_size"))).drop("body_size")
 
 
 def fingerprint(text: Column) -> Column:
@@ -170,22 +173,26 @@ def mark_running(paras: DataFrame, pages: DataFrame) -> DataFrame:
     """
     told = paras.join(pages, "book_id", "left")
     edge = (band(F.col("y0"), F.col("page_height")) != "body") & (F.length(X.strip(F.col("text"))) <= RUNNING_CHARS) & (F.col("n_pages") >= LEAST_PAGES)
-    told = told.withColumn("_edge", F.coalesce(edge, F.lit(False))).withColumn("_fp", fingerprint(F.col("text"))).withColumn("_slot", F.bround(F.col("y0") / SLOT_HEIGHT).cast("long"))
-    marginal = told.where("_edge")
-    heads = repeating(marginal, ["book_id", "_fp"]).withColumn("_head", F.lit(True))
-    slots = marginal.groupBy("book_id", "_slot").agg(F.count_distinct("page_no").alias("k"), F.first("n_pages").alias("n"))
-    slots = slots.where(F.col("k") >= F.col("n") * F.lit(SLOT_SHARE)).select("book_id", "_slot", F.lit(True).alias("_taken"))
-    out = told.join(heads, ["book_id", "_fp"], "left").join(slots, ["book_id", "_slot"], "left")
-    skip = F.col("_edge") & (F.coalesce("_head", F.lit(False)) | F.coalesce("_taken", F.lit(False)))
-    return out.withColumn("kind", F.when(skip, "skip").otherwise(F.col("kind"))).select(*paras.columns)
-
-
-def link_continuations(paras: DataFrame, order: list[str], keys: list[str] | None = None, page: str = "page_no", text: str = "text") -> DataFrame:
-    """``paras`` (of kind text) with cont_group: numbers of runs in which each goes on, on a later page, where the one before
-    has no sentence end; null for the others."""
-    w = Window.partitionBy(*(keys or ["book_id"])).orderBy(*order)
+    told = told.withColumn("_edge", F.coalesce(edge, F.lit(False)))
+    of_edge = lambda c: F.when(F.col("_edge"), c)
+    told = told.withColumn("_fp", of_edge(fingerprint(F.col("text")))).withColumn("_slot", of_edge(F.bround(F.col("y0") / SLOT_HEIGHT).cast("long"))).withColumn("_page", of_edge(F.col("page_no")))
+    apart = F.when(~F.col("_edge"), F.col("page_no"))  # what isn't marginal stays with its page instead of meeting in one task
+    text, slot = (Window.partitionBy("book_id", c, apart) for c in ("_fp", "_slot"))
+    found = lambda w: F.size(F.collect_set("_page").over(w))  # noqa: E731  pages, at most those of a book
+    ahead = found(text.orderBy("page_no").rangeBetween(0, WINDOW_PAGES - 1))
+    told = told.withColumn("_pages", found(text)).withColumn("_ahead", ahead).withColumn("_most", F.max("_ahead").over(text))
+    head = (F.col("_pages") >= LEAST_REPEATS) & (F.col("_most") >= max(LEAST_REPEATS, int(WINDOW_PAGES * WINDOW_SHARE)))
+    told = told.withColumn("_head", head).withColumn("_taken", found(slot) >= F.col("n_pages") * F.lit(SLOT_SHARE))
+    return told.withColumn("kind", F.when(F.col("_edge") & (F.col("_head") | F.col("_taken")), "skip").otherwise(F.col("kind"))).select(*paras.columns)
+
+
+def link_continuations(paras: DataFrame, order: list[str], keys: list[str] | None = None, page: str = "page_no", text: str = "text", takes: Column | None = None) -> DataFrame:
+    """``paras`` with cont_group: numbers of runs in which each goes on, on a later page, where the one before has no sentence end;
+    null for the others. ``takes`` tells which rows count; the others are passed over and have none."""
+    takes = F.lit(True) if takes is None else takes
+    w = Window.partitionBy(*(keys or ["book_id"]), takes).orderBy(*order)
     t, nxt = F.regexp_replace(F.col(text), r"(?U)\s+$", ""), X.strip(F.lead(text).over(w))
-    goes = (F.lead(page).over(w) > F.col(page)) & (t != "") & (nxt != "") & ~F.right(t, F.lit(1)).isin(*SENTENCE_ENDS)
+    goes = takes & (F.lead(page).over(w) > F.col(page)) & (t != "") & (nxt != "") & ~F.right(t, F.lit(1)).isin(*SENTENCE_ENDS)
     linked = paras.withColumn("_on", F.coalesce(goes, F.lit(False))).withColumn("_from", F.coalesce(F.lag("_on").over(w), F.lit(False)))
     begun = F.sum((F.col("_on") & ~F.col("_from")).cast("int")).over(w)
     return linked.withColumn("cont_group", F.when(F.col("_on") | F.col("_from"), begun).cast("int")).drop("_on", "_from")

@@ -431,7 +431,7 @@ def band_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = order_lines(spark, sf_dir, y0="double(l_linenumber * 12 + (l_partkey % 40) * 5)", x0="double(l_partkey % 300)", col="int(l_suppkey % 2)")
-    return layout.line_pitch(layout.reading_order(g)).select("page_no", "pitch")
+    return layout.with_pitch(layout.reading_order(g)).select("page_no", "pitch").distinct()
 
 
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

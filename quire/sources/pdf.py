@@ -27,8 +27,7 @@ def page_lines(spans: DataFrame) -> DataFrame:
     """Lines of (book_id, page_no, line_no, span_no, text, font, size, block_type, dx, dy, x0..y1): images, rotated and blank
     lines dropped, spans merged."""
     flat = spans.where((F.col("block_type") == 0) & layout.near_horizontal(F.col("dx"), F.col("dy")))
-    boxes = flat.groupBy("book_id", "page_no", "line_no").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
-    lines = layout.merge_spans(flat).where(X.strip(F.col("text")) != "").join(boxes, ["book_id", "page_no", "line_no"])
+    lines = layout.merge_spans(flat).where(X.strip(F.col("text")) != "")
     return lines.withColumnRenamed("line_no", "seq").withColumn("col", F.lit(0)).withColumn("end_para", F.lit(False))
 
 
@@ -92,9 +91,7 @@ def scan_paragraphs(lines: DataFrame, figures: DataFrame | None = None) -> DataF
 def book_blocks(paras: DataFrame, pages: DataFrame) -> DataFrame:
     """Blocks of paragraphs: kinds first, then running heads, then continuations, which take text only."""
     kinds = layout.mark_running(layout.classify(paras), pages)
-    text = layout.link_continuations(kinds.where("kind = 'text'"), ["page_no", "para_seq"])
-    rest = kinds.where("kind <> 'text'").withColumn("cont_group", F.lit(None).cast("int"))
-    return layout.to_blocks(text.unionByName(rest))
+    return layout.to_blocks(layout.link_continuations(kinds, ["page_no", "para_seq"], takes=F.col("kind") == "text"))
 
 
 def load(spans: DataFrame, images: DataFrame, pages: DataFrame, rasters: DataFrame | None = None, engine: Callable[[], Any] | None = None) -> DataFrame:
