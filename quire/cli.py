@@ -8,17 +8,20 @@ from __future__ import annotations
 
 import argparse
 import os
+import re
 import sys
 from pathlib import PurePath
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import providers, sinks, sources, translate
+from . import fonts, providers, sinks, sources, translate
 from .functions import text as X
 from .operators import chunking, glossary, state, status
 from .schemas import SCHEMA_VERSION
 from .session import local
+from .sources import pdf as pdf_source
 
 EXPLAIN = {"empty": "no target", "tag_mismatch": "its tags differ", "too_short": "much shorter than its source", "missing_number": "a number is missing", "missing_term": "a declared term is missing", "overflow": "doesn't fit its frame"}
 
@@ -90,6 +93,10 @@ def init(spark: SparkSession, a: argparse.Namespace) -> list[str]:
             raise Refused("no paragraph was found (only images, or protected?)")
     except sources.UnsupportedSource as e:
         raise Refused(str(e)) from None
+    except PySparkException as e:  # what a task found in a file
+        if told := re.search(r"unsupported source [^\n]*", str(e)):
+            raise Refused(told[0]) from None
+        raise
     facts = {"source_name": PurePath(a.source).name, "source_path": a.source, "chunk_chars": str(a.chunk_chars), "schema_version": str(SCHEMA_VERSION)}
     meta = blocks.select("book_id").distinct().select("book_id", F.explode(F.create_map(*(F.lit(x) for pair in facts.items() for x in pair))))
     project.store.commit(blocks=blocks, chunks=chunks, meta=meta)
@@ -206,19 +213,33 @@ def export(spark: SparkSession, a: argparse.Namespace) -> list[str]:
     files = sources.binary_files(spark, source)
     fmt = sources.sniff(files).first().format
 
-    def epub(target: str) -> str:
-        books = sinks.epub_books(files, sinks.epub_parts(p.blocks), a.bilingual)
+    def put(books: DataFrame, target: str) -> DataFrame:
+        """Writes each book to the target, several ones to files in a folder of its name; gives the books as written."""
         books.write.mode("overwrite").parquet(f"{target}.parts")
         parts, names = spark.read.parquet(f"{target}.parts"), {}
-        several = parts.limit(2).count() > 1  # each book has a file of its own, in a folder of the target's name
-        for r in parts.toLocalIterator():  # one book at a time
+        several = parts.limit(2).count() > 1
+        for r in parts.select("book_id", "content").toLocalIterator():  # one book at a time
             stem = PurePath(r.book_id).stem
             names[stem] = names.get(stem, 0) + 1
-            sinks.write_bytes(spark, f"{target}/{stem}{f'-{names[stem]}' if names[stem] > 1 else ''}.epub" if several else target, r.content)
+            sinks.write_bytes(spark, f"{target}/{stem}{f'-{names[stem]}' if names[stem] > 1 else ''}.{fmt}" if several else target, r.content)
+        return parts
+
+    def epub(target: str) -> str:
+        put(sinks.epub_books(files, sinks.epub_parts(p.blocks), a.bilingual), target)
         return target
 
-    def pdf(target: str, **_: object) -> str:
-        raise sinks.UnsupportedTarget("drawing needs a library: give sinks.draw_pages a builder")
+    def pdf(target: str, mode: str, pages: tuple[int, int] | None, dry_run: bool, probe: bool) -> str:
+        faces, sheets = fonts.choose(), pdf_source.tables(pdf_source.file_pages(files))[2]
+        items = (sinks.reflow_items if mode == "reflow" else sinks.pdf_items)(p.blocks, sheets, dry_run)
+        drawn = put(sinks.pdf_books(files, items, faces, mode, pages), target)
+        told = drawn.select("book_id", F.explode("stats").alias("s")).select("book_id", "s.*")
+        if probe:  # the report stands before the pages that it tells of
+            put(sinks.pdf_books(files, items, faces, mode, pages, [r.line for r in sinks.report_lines(told).collect()]), target)
+            told = spark.read.parquet(f"{target}.parts").select("book_id", F.explode("stats").alias("s")).select("book_id", "s.*")
+        if not dry_run:
+            p.store.commit(blocks=state.overflow_flags(p.blocks, told.where("overflow"), *(pages or (0, (1 << 31) - 1))))
+        r = status.render_totals(told).first()
+        return f"{target} ({r['items']} items, {r.overflows} don't fit)"
 
     out = []
     open_ = p.blocks.where("dst_html IS NULL").count()
@@ -226,7 +247,7 @@ def export(spark: SparkSession, a: argparse.Namespace) -> list[str]:
         out.append(f"{open_} blocks have no target yet and stay as they are")
     try:
         done = sinks.write(fmt, {"epub": epub, "pdf": pdf}, a.output or f"{p.path}/{sinks.output_name(fmt, a.bilingual)}", mode=a.mode, pages=p.range(a.pages), dry_run=a.dry_run, probe=a.probe)
-    except sinks.UnsupportedTarget as e:
+    except (sinks.UnsupportedTarget, fonts.MissingFont) as e:
         raise Refused(str(e)) from None
     return out + [f"written: {done}"]
 

@@ -11,8 +11,13 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from . import pdfdraw
+from .fonts import FontSet
 from .functions import text as X
+from .operators import layout, packing
 from .schemas import TITLE_PAGE, TOC_PAGE
 from .sources import html as html_source
 
@@ -113,10 +118,43 @@ def pdf_items(blocks: DataFrame, pages: DataFrame, dry_run: bool = False) -> Dat
     their source; a dry run shows it lengthened, as a stand-in for a target."""
     shown = X.pad_text(F.col("src_html")) if dry_run else F.coalesce("dst_html", "src_html")
     rows = blocks.where("kind <> 'skip' AND bbox IS NOT NULL").withColumn("shown", shown)
-    item = F.struct("pos", "block_id", "bbox", "shown", "kind", F.col("dst_html").isNotNull().alias("done"))
+    size = [F.get_json_object("layout", "$.size").cast("double").alias("size")] if "layout" in blocks.columns else []
+    done = F.lit(True) if dry_run else F.col("dst_html").isNotNull()
+    item = F.struct("pos", "block_id", "bbox", "shown", "kind", done.alias("done"), *size)
     return pages.join(rows.groupBy("book_id", "page_no").agg(F.sort_array(F.collect_list(item)).alias("items")), ["book_id", "page_no"], "left")
 
 
+def reflow_items(blocks: DataFrame, pages: DataFrame, dry_run: bool = False) -> DataFrame:
+    """The same with the place of every item on a white page (left, top, right, height): at the largest scale at which all of a page's
+    items fit by a rough measure; null where there is none, and the item is drawn in its own frame."""
+    items = pdf_items(blocks, pages, dry_run).select("book_id", "page_no", "page_width", "page_height", F.explode("items").alias("i")).select("book_id", "page_no", "page_width", "page_height", "i.*")
+    edge = F.split("bbox", ",")
+    boxed = items.withColumns({c: edge[k].cast("double") for k, c in enumerate(("x0", "y0", "x1", "y1"))}).join(layout.column_body_size(blocks), "book_id")
+    placed = packing.place_pages(boxed.withColumn("ord", F.col("pos")).withColumn("html", X.strip_tags(F.col("shown"))).withColumn("size", F.coalesce("size", F.lit(layout.DEFAULT_SIZE))))
+    fits = lambda c: F.when(F.col("scale").isNotNull(), F.col(c)).alias(c)
+    item = F.struct("pos", "block_id", "bbox", "shown", "kind", "done", (packing.font_size(F.col("kind"), F.col("size"), F.col("body_size")) * F.coalesce("scale", F.lit(1.0))).alias("size"), *map(fits, ("left", "top", "right", "height")))
+    return placed.groupBy("book_id", "page_no").agg(F.sort_array(F.collect_list(item)).alias("items"))
+
+
+DRAWN = "book_id string, content binary, stats array<struct<page_no: int, block_id: bigint, ratio: double, overflow: boolean>>"
+
+
+def pdf_books(files: DataFrame, items: DataFrame, fonts: FontSet, mode: str = "overlay", pages: tuple[int, int] | None = None, report: list[str] | None = None) -> DataFrame:
+    """(book_id, content, stats): PDF files (path, content) as double pages, the source beside its translation. ``items`` has the rows of
+    pdf_items or reflow_items; a task holds one book. The fonts' files have to be where the tasks run."""
+    by_book = items.where("items IS NOT NULL").groupBy("book_id").agg(F.collect_list(F.struct("page_no", "items")).alias("pages"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = to_arrow_schema(drawn)
+        for b in batches:
+            for r in b.to_pylist():
+                content, stats = pdfdraw.draw_book(r["content"], {p["page_no"]: p["items"] for p in r["pages"] or ()}, fonts, mode, pages, report or ())
+                yield pa.RecordBatch.from_pylist([{"book_id": r["path"], "content": content, "stats": [dict(zip(("page_no", "block_id", "ratio", "overflow"), s)) for s in stats]}], schema=kind)
+
+    drawn = T.StructType.fromDDL(DRAWN)
+    return files.join(by_book, files["path"] == by_book["book_id"], "left").select("path", "content", "pages").mapInArrow(run, DRAWN)
+
+
 def overlay_decision(target_fits: Column, usable: Column, has_target: Column) -> Column:
     """Of an item over the page's own image: replace, or keep the source (unusable frame, no target, or no fit)."""
     return F.when(~usable, "skip").when(~has_target, "keep").when(target_fits, "replace").otherwise("overflow")

@@ -3,13 +3,15 @@
 import io
 import struct
 import zipfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
-from test_operators import make_epub
+from test_operators import make_epub, make_pdf
 
-from quire import cli, fonts, sinks
+from quire import cli, fonts, pdfdraw, sinks
 from quire.operators import packing, state
+from quire.sources import pdffile
 
 
 def run(spark, capsys, *args):
@@ -116,3 +118,41 @@ def test_draw_pages(spark):
     r = sinks.draw_pages(sinks.pdf_items(blocks, pages), build).first()
     assert bytes(r.content) == b"two" and r.stats[0].block_id == 7 and r.stats[0].overflow
     assert spark.range(1).select(sinks.overlay_decision(F.lit(False), F.lit(True), F.lit(True))).first()[0] == "overflow"
+
+
+@pytest.mark.skipif(not all(Path(f).exists() for f in fonts.SYSTEM_SETS[0]), reason="needs the DejaVu fonts")
+def test_pdf_commands(spark, tmp_path, capsys):
+    prose = [(50, 100 + 14 * n, 10, f"Line {n} of the first page goes on") for n in range(6)]
+    (tmp_path / "b.pdf").write_bytes(make_pdf([[*prose, (0, 0, 0, None)], [], [(50, 100, 10, "Last page."), (50, 300, 10, "Its end")]]))
+    p, do = tmp_path / "p", lambda *a: run(spark, capsys, *a)
+    assert "3 blocks" in do("init", tmp_path / "b.pdf", "--dir", p)[1]
+    assert "changed" in do("edit", p, "--block", 1, "--set", "Một <b>dòng</b> ngắn &amp; rõ.")[1]
+    assert "changed" in do("edit", p, "--block", 2, "--set", "dài quá " * 200)[1]
+    said = do("export", p, "-o", tmp_path / "o.pdf", "--mode", "overlay", "--probe")[1]
+    assert "1 blocks have no target" in said and "(2 items, 1 don't fit)" in said and "overflow: 1" in do("status", p)[1]
+    pages = pdffile.Pdf((tmp_path / "o.pdf").read_bytes()).pages
+    texts = [["".join(s.text for s in line) for line in pdffile.lines_of(page.shown()[0])] for page in pages]
+    assert len(pages) == 4 and pages[1].size == (800.0, 600.0) and len(pages[1].shown()[1]) == 2
+    assert "items: 2 " in texts[0] and "page 3, block 2 " in texts[0]
+    assert texts[1][:6] == [t for *_, t in prose] and texts[1][6:] == ["Một dòng ngắn & rõ. ", "1 "]
+    assert texts[3].count("Last page.") == 2 and texts[3].count("Its end") == 2
+    do("export", p, "-o", tmp_path / "r.pdf", "--mode", "reflow", "--pages", "3")
+    pages = pdffile.Pdf((tmp_path / "r.pdf").read_bytes()).pages
+    right = " ".join(" ".join(s.text for s in pages[0].shown()[0] if s.box[0] > 400).split())
+    assert len(pages) == 1 and "Last" not in right and right.count("dài") == 200 and "Its end" in right
+    (tmp_path / "broken").write_bytes(b"%PDF-1.4 nothing")
+    assert do("init", tmp_path / "broken", "--dir", tmp_path / "q") == (1, f"unsupported source file:{tmp_path}/broken: the file has no catalogue of pages\n")
+
+
+def test_pen():
+    if not Path(fonts.SYSTEM_SETS[0][0]).exists():
+        pytest.skip("needs the DejaVu fonts")
+    pen = pdfdraw.Pen.of(fonts.choose(fonts.SYSTEM_SETS[:1]))
+    assert pen.words("a <b>b<i>c</i></b>d<br/>e &lt;f") == [[("R", "a")], [("B", "b"), ("B", "c"), ("R", "d")], [("R", "e")], [("R", "<f")]]
+    words = pen.words("one two three four five six")
+    assert pen.fit(words, 500, 13, 10)[:2] == (1.0, 1.0) and pen.fit(words, 500, 11.2, 10)[:2] == (1.0, 0.95) and pen.fit(words, 500, 5, 10) is None
+    assert pen.fit(pen.words("unbreakable" * 9), 50, 500, 10) is None and pen.fit([], 10, 0, 10)[2] == []
+    assert len(pen.broken(words, 60, 10)) > 2 and sum(pen.broken(words, 60, 10), []) == words
+    assert abs(pen.length([("R", "ab")]) - pen.length([("R", "a")]) - pen.length([("R", "b")])) < 1e-9
+    assert pdfdraw.framed({"bbox": "5,5,900,20"}, (400, 600)) == (5, 5, 400, 20) and pdfdraw.framed({"bbox": "-5,5,9,20"}, (400, 600)) is None
+    assert pdffile.Reader(pdfdraw.written({"A b": [1, -0.5, True, None, b"x(", pdffile.Ref(3), pdffile.Name("c#")]})).one() == {"A b": [1, -0.5, True, None, b"x(", pdffile.Ref(3), "c#"]}
