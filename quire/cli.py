@@ -12,6 +12,7 @@ import re
 import sys
 from pathlib import PurePath
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -93,8 +94,8 @@ def init(spark: SparkSession, a: argparse.Namespace) -> list[str]:
             raise Refused("no paragraph was found (only images, or protected?)")
     except sources.UnsupportedSource as e:
         raise Refused(str(e)) from None
-    except PySparkException as e:  # what a task found in a file
-        if told := re.search(r"unsupported source [^\n]*", str(e)):
+    except (PySparkException, Py4JJavaError) as e:  # what a task found in a file
+        if told := re.search(r"unsupported source .*?(?=\.? SQLSTATE|\n|$)", str(e)):
             raise Refused(told[0]) from None
         raise
     facts = {"source_name": PurePath(a.source).name, "source_path": a.source, "chunk_chars": str(a.chunk_chars), "schema_version": str(SCHEMA_VERSION)}
