@@ -48,6 +48,27 @@ def test_repetition_by_slices(texts):
     assert got == [plain_rules(t) for t in texts]
 
 
+def test_each_limit_rejects():
+    """A planted text for every limit that the base rule keeps; the same words said once are kept."""
+    told, once = {}, {}
+    for n in repetition.LIMITS:
+        long, rest = [f"{i:02d}".ljust(40, "x") for i in range(n)], [f"r{i}" for i in range(8 * n)]
+        told[n] = " ".join([*long, *rest[: 4 * n], *long, *rest[4 * n :]])
+        once[n] = " ".join([*long, *rest])
+    lines = [f"{i:02d}".ljust(40, "y") for i in range(9)]
+    told["lines"] = "\n".join([*lines, *lines[::-2], *lines[1::2], *(f"s{i}" for i in range(9))])
+    once["lines"] = "\n".join([*lines, *(f"s{i}" for i in range(9))])
+    told["symbols"], once["symbols"] = "a# b c# d e# f g# h i# j k# l", "a b c d e f# g h i j k l"
+    for texts, want in ((told, False), (once, True)):
+        failed, kept = repetition.verdict(repetition.measure(pa.array(list(texts.values()))))
+        assert not failed.any() and kept.tolist() == [want] * len(texts)
+    x = repetition.measure(pa.array(list(told.values())))
+    for at, n in enumerate(repetition.LIMITS):
+        assert x[f"dup_chars_{n}"][at] > repetition.LIMITS[n] * x["word_chars"][at] and (n == 10 or x[f"dup_chars_{n + 1}"][at] == 0)
+    at = list(told).index("lines")
+    assert x["dup_line_chars"][at] > repetition.LINE_LIMIT * x["text_chars"][at] and x["dup_chars_3"][at] == 0
+
+
 def test_repetition(spark, sf, edge_docs):
     for df in (spark.read.parquet(f"{sf}/documents.parquet"), edge_docs):
         got = sorted((str(r.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for r in repetition.assess(df).collect())
