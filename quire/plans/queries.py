@@ -383,13 +383,9 @@ def upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vertical_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders' lines placed on pages at each scale; the largest that fits."""
-    li = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS page_no", "struct(l_linenumber AS ord, double(l_partkey % 480) AS y, double(40 + l_suppkey % 90) AS h, double(l_partkey % 200) AS l, double(l_partkey % 200 + 80) AS r) AS i")
-    p = li.groupBy("page_no").agg(F.sort_array(F.collect_list("i")).alias("i")).withColumn("scale", F.explode(F.array(*map(F.lit, packing.PAGE_SCALES))))
-    arrays = p.selectExpr("page_no", "scale", "i.y AS y", "transform(i.h, v -> v * scale) AS h", "i.l AS l", "i.r AS r")
-    tops = arrays.withColumn("tops", packing.stack("y", "h", "l", "r", 22.0, 525.0, "4.0 * scale"))
-    best = tops.groupBy("page_no").agg(F.max_by(F.struct("scale", "tops"), F.when(F.col("tops").isNotNull(), F.col("scale"))).alias("b"))
-    return best.select("page_no", F.col("b.scale").cast("double").alias("scale"), F.size("b.tops").alias("items"), F.round(F.aggregate("b.tops", F.lit(0.0), lambda a, x: a + x), 6).alias("sum_of_tops"))
+    """Orders' lines placed on pages at the largest scale that fits all of a page's items; null scales where none does."""
+    i = order_lines(spark, sf_dir, kind="CASE l_partkey % 5 WHEN 0 THEN 'picture' WHEN 1 THEN 'heading' ELSE 'text' END", html="repeat('w', int(40 + l_suppkey % 90) * 5)", size="double(8 + l_partkey % 6)", x0="double(l_partkey % 200)", y0="double(l_partkey % 480)", x1="double(l_partkey % 200 + 80)", y1="double(l_partkey % 480 + 40)", page_width="double(350)", page_height="double(547)", body_size="9.1D")
+    return packing.place_pages(i.withColumnRenamed("seq", "ord")).select("page_no", "ord", "scale", *(F.round(c, 6).alias(c) for c in ("left", "right", "top", "height")))
 
 
 def vertical_stack(spark: SparkSession, sf_dir: str) -> DataFrame:

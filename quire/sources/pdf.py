@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -149,9 +150,10 @@ def file_pages(files: DataFrame) -> DataFrame:
 
 
 def tables(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(spans, images, pages) of ``file_pages``, as ``load`` takes them. Pages are exchanged once, so that the files aren't read for
-    each table and a book's pages are worked on by several tasks."""
-    dealt = found.repartition("book_id", "page_no")
+    """(spans, images, pages) of ``file_pages``, as ``load`` takes them. Page rows are exchanged, so that a book's pages are worked on by
+    several tasks, and kept (in memory, else on disk; a lost part is read anew), as each table is read more than once and a file is
+    to be parsed once. ``spark.catalog.clearCache()`` lets go of them."""
+    dealt = found.repartition("book_id", "page_no").persist(StorageLevel.MEMORY_AND_DISK)
     spans = dealt.select("book_id", "page_no", F.explode("spans").alias("s")).select("book_id", "page_no", "s.*", F.lit(0).alias("block_type"))
     images = dealt.select("book_id", "page_no", "page_width", "page_height", F.explode("images").alias("i")).select("book_id", "page_no", "i.*", "page_width", "page_height")
     return spans, images, dealt.select("book_id", "page_no", "page_width", "page_height", "n_pages")
