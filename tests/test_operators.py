@@ -240,6 +240,14 @@ def test_figure_noise_is_dropped(spark):
     assert sorted(r.seq for r in geometry.drop_figure_noise(lines, figures).collect()) == [1, 2]
 
 
+def test_figure_noise_of_lines_that_share_a_seq(spark):
+    box = "x0 double, y0 double, x1 double, y1 double"
+    lines = spark.createDataFrame([("b", 0, 7, 85.0, 70.0, 120.0, 80.0, "x"), ("b", 0, 7, 85.0, 300.0, 120.0, 310.0, "x"), ("b", 1, 7, 85.0, 70.0, 120.0, 80.0, "x"), ("b", 0, None, 85.0, 70.0, 120.0, 80.0, "x"), ("b", 0, 8, 85.0, 70.0, 120.0, 80.0, None)], f"book_id string, page_no int, seq int, {box}, text string")
+    figures = spark.createDataFrame([("b", 0, 80.0, 60.0, 130.0, 150.0), ("b", 0, 70.0, 60.0, 130.0, 150.0)], f"book_id string, page_no int, {box}")
+    kept = geometry.drop_figure_noise(lines, figures)
+    assert kept.columns == lines.columns and {(r.page_no, r.seq, r.y0) for r in kept.collect()} == {(0, 7, 300.0), (0, 8, 70.0), (1, 7, 70.0)}
+
+
 def test_whole_pages():
     import pyarrow as pa
 
