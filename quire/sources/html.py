@@ -6,6 +6,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from html.entities import html5
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +25,7 @@ TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style)\b{INSIDE}>.*?(?:</\1\s*>
 TAGS = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style)\b{INSIDE}>.*?(?:</\1\s*>|\Z)|</?[a-zA-Z]{INSIDE}>|<[^>]*>", re.S | re.I)
 OPENING = re.compile(rf"<([a-zA-Z][^\s/>]*+)({INSIDE})>")
 ATTRIBUTE = re.compile(r"\s+([^\s=\"'/>]+)(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);")
 SCHEMA = "page_id long, pos int, tag string, src_html string, text string"
 
 
@@ -75,23 +77,28 @@ def leaves(page: str) -> list[Leaf]:
     return sorted(out, key=lambda x: x.start)
 
 
-def text_of(inner: str) -> str:
-    return html.unescape(TAGS.sub("", inner))
+def text_of(inner: str, closed_only: bool = False) -> str:
+    """Without tags, references decoded: by HTML's rule, by which old names need no semicolon (``&amp<``), or with
+    ``closed_only`` those alone that end in one, as in XML; others stay as they are written."""
+    bare = TAGS.sub("", inner)
+    if not closed_only:
+        return html.unescape(bare)
+    return REFERENCE.sub(lambda m: html.unescape(m[0]) if m[0][1] == "#" or m[0][1:] in html5 else m[0], bare)
 
 
-def blocks_of(page: str) -> list[tuple[int, str, str, str]]:
+def blocks_of(page: str, closed_only: bool = False) -> list[tuple[int, str, str, str]]:
     """(pos, tag, inner html, text) of leaves with a letter; pos counts all leaves."""
     found = ((i, x.tag, page[x.inner : x.end].strip()) for i, x in enumerate(leaves(page)))
-    return [(i, tag, inner, t) for i, tag, inner in found if any(map(str.isalpha, t := text_of(inner)))]
+    return [(i, tag, inner, t) for i, tag, inner in found if any(map(str.isalpha, t := text_of(inner, closed_only)))]
 
 
-def leaf_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+def leaf_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", closed_only: bool = False) -> DataFrame:
     """(page_id, pos, tag, src_html, text) of every page. Map only: pages are parsed where they are read, without an exchange
-    of their tokens. A null page has no blocks."""
+    of their tokens. A null page has no blocks. ``closed_only``: see text_of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, *x) for i, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in blocks_of(page or "")]
+            rows = [(i, *x) for i, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in blocks_of(page or "", closed_only)]
             cols = zip(*rows) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()))], [x.split()[0] for x in SCHEMA.split(", ")])
 

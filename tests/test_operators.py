@@ -686,6 +686,13 @@ def test_attributes_that_hold_signs():
     assert '<p title="a>b">một</p><p class="bt-src">text</p>' in done and done.startswith('<html lang="vi">')
 
 
+def test_references_with_and_without_semicolon():
+    page = "<p>a &lt;&#65;&#x42;&amp;lt; &amp&ampx; &notit; &copy</p>"
+    assert [t for *_, t in html.blocks_of(page)] == ["a <AB&lt; &&x; ¬it; ©"]
+    assert [t for *_, t in html.blocks_of(page, closed_only=True)] == ["a <AB&lt; &amp&ampx; &notit; &copy"]
+    assert html.blocks_of("<p>&amp</p>") == [] and html.blocks_of("<p>&amp;</p>", closed_only=True) == []
+
+
 def test_attributes_that_hold_signs_in_sql(spark):
     import duckdb
     import pandas as pd
