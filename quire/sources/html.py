@@ -8,7 +8,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from html.entities import html5
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ SIBLING_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote div figcaption".split()
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BILINGUAL_CSS = ".bt-src{color:#777;font-size:0.9em;font-style:italic;}"
 
+SLICE_BYTES = 2 << 20
+
 #: Attributes up to the tag's end: a quoted value may hold ``>``.
 INSIDE = r"(?:[^>=\"']++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|[=\"'])*+"
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style)\b{INSIDE}>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)({INSIDE})>", re.S | re.I)
@@ -92,12 +96,23 @@ def blocks_of(page: str, closed_only: bool = False) -> list[tuple[int, str, str,
     return [(i, tag, inner, t) for i, tag, inner in found if any(map(str.isalpha, t := text_of(inner, closed_only)))]
 
 
+def page_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in row ranges of about SLICE_BYTES of html, so that a worker's memory doesn't follow the batch; a longer page stands alone."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column("html")), 0), np.int64))
+    first = 0
+    while first < batch.num_rows:
+        held = ends[first - 1] if first else 0
+        last = max(int(np.searchsorted(ends, held + SLICE_BYTES, "right")), first + 1)
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def leaf_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", closed_only: bool = False) -> DataFrame:
     """(page_id, pos, tag, src_html, text) of every page. Map only: pages are parsed where they are read, without an exchange
     of their tokens. A null page has no blocks. ``closed_only``: see text_of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in page_slices(whole)):
             rows = [(i, *x) for i, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in blocks_of(page or "", closed_only)]
             cols = zip(*rows) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()))], [x.split()[0] for x in SCHEMA.split(", ")])
@@ -143,7 +158,7 @@ def apply_targets(pages: DataFrame, targets: DataFrame, bilingual: bool = False)
     entries = targets.where("dst_html IS NOT NULL").groupBy("page_id").agg(F.collect_list(F.struct("pos", "dst_html")).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in page_slices(whole)):
             done = [put_back(p or "", {x["pos"]: x["dst_html"] for x in t or ()}, bilingual) for p, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(done, pa.string())], ["page_id", "html"])
 

@@ -693,6 +693,19 @@ def test_references_with_and_without_semicolon():
     assert html.blocks_of("<p>&amp</p>") == [] and html.blocks_of("<p>&amp;</p>", closed_only=True) == []
 
 
+def test_pages_are_sliced_by_bytes(spark):
+    import pyarrow as pa
+
+    n = html.SLICE_BYTES
+    sizes = [1, None, n - 1, 1, 3 * n, 2, 0]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array([None if s is None else "x" * s for s in sizes])], ["page_id", "html"])
+    assert [p.column(0).to_pylist() for p in html.page_slices(batch)] == [[0, 1, 2], [3], [4], [5, 6]] and not list(html.page_slices(batch.slice(7)))
+    pages = spark.range(40).selectExpr("id AS page_id", f"concat('<p>', repeat('ab ', {n // 10}), '</p><p>', id, ' c</p>') AS html").coalesce(1)
+    targets = pages.selectExpr("page_id", "1 AS pos", "concat('d', page_id) AS dst_html")
+    done = html.leaf_blocks(html.apply_targets(pages, targets)).where("pos = 1").select("page_id", "text")
+    assert html.leaf_blocks(pages).count() == 80 and sorted(map(tuple, done.collect())) == [(i, f"d{i}") for i in range(40)]
+
+
 def test_attributes_that_hold_signs_in_sql(spark):
     import duckdb
     import pandas as pd
